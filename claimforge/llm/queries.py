@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as op1
+from . import language as op8
 from . import mixing as op7
+from . import packing as op2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op8.identify(docs, op8.profiles(docs))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.mix(_table(spark, sf_dir, "documents"))
 
@@ -25,7 +36,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_packing": op2_packing,
         "op7_mixing": op7_mixing,
+        "op8_language": op8_language,
     }
 
 
