@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as op1
 from . import language as op8
+from . import licences as op9
 from . import mixing as op7
 from . import packing as op2
 
@@ -33,12 +34,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
+        "op9_licences": op9_licences,
     }
 
 
