@@ -11,6 +11,7 @@ from . import language as op8
 from . import licences as op9
 from . import mixing as op7
 from . import packing as op2
+from . import pii as op6
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(docs, op8.profiles(docs))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.detect(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.mix(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
         "op9_licences": op9_licences,
