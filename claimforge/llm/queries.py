@@ -12,6 +12,7 @@ from . import licences as op9
 from . import mixing as op7
 from . import packing as op2
 from . import pii as op6
+from . import toxicity as op4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(docs, op8.profiles(docs))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return op4.score(docs, op4.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.detect(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op4_toxicity": op4_toxicity,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
