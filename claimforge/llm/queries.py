@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import embedding_dedup as op5
 from . import exact_dedup as op1
 from . import language as op8
 from . import licences as op9
@@ -37,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.score(docs, op4.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.detect(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
