@@ -11,6 +11,7 @@ from . import exact_dedup as op1
 from . import language as op8
 from . import licences as op9
 from . import mixing as op7
+from . import ngram_join as op10
 from . import packing as op2
 from . import pii as op6
 from . import toxicity as op4
@@ -54,6 +55,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.ngram_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,
         "op9_licences": op9_licences,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
