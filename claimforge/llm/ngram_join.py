@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .partners import linked
 from .scratch import cut
 
 #: Bits of the map of shingles that occur more than once: 16 MB, whatever the input. A fuller map only prunes less.
@@ -118,19 +119,18 @@ def overlap_links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataF
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _may_link(na: str, ma: str, nb: str, mb: str, percent: int) -> Column:
+def _may_link(x: Column, y: Column, percent: int) -> Column:
     """Sizes, and what of each set any other set has, leave room for a link."""
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(ma, mb) >= percent * (F.col(na) + F.col(nb)))
+    close = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    return close & ((100 + percent) * F.least(x["m"], y["m"]) >= percent * (x["n"] + y["n"]))
 
 
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect whatever is connected, from ``rep, n, tokens``, one row per distinct set.
 
     The global order is by document frequency, then hash; two linked sets share a shingle among the first
-    ``n - ceil(percent n / 100) + 1`` of either. Sets are cut into fragments of that order. First each set tries one
-    partner a round, the set that heads most of its prefix shingles, the common ones first; shingles all of whose sets are then in one
-    component are done with. What is left is compared in full, across components only, so a group of thousands of near
-    copies never becomes all its pairs and no link between components is lost.
+    ``n - ceil(percent n / 100) + 1`` of either, so these are the posting lists; heads are the sets whose shingles are
+    the most common, as those of the text that the others were made from. Sets are cut into fragments of that order.
     """
     spread = classes.select("rep", "n", F.explode("tokens").alias("token"))
     rows = spread.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
@@ -145,49 +145,9 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     if len(set(cuts)) < len(cuts):  # most shingles are as rare: fragments by hash within the order's ties
         fragment = F.pmod(F.shiftrightunsigned("token", 40), F.lit(FRAGMENTS)).cast("int")
     fragments = cut(rows.groupBy("rep", "n", fragment.alias("fragment")).agg(F.collect_list("token").alias("part")), "ngram-fragments")
-    prefix = cut(rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("rep", "n", "m", "core", "token"), "ngram-prefix")
-
-    spark = classes.sparkSession
-    links = tried = spark.createDataFrame([], prefix.select(F.col("rep").alias("a"), F.col("rep").alias("b")).schema)
-    found = prefix.select("rep").distinct().withColumn("component", F.col("rep"))
-    for k in range(ROUNDS + 1):
-        posted = prefix.join(found, "rep")
-        mixed = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        if k == ROUNDS:
-            break
-        open_rows = cut(posted.join(mixed.select("token"), "token"), "ngram-open")
-        if open_rows.isEmpty():
-            return links
-        # Heads are the sets whose shingles are the most common, as those of the text that the others were made from;
-        # then, within components in another order each round, the next such.
-        rank = F.struct(*([F.xxhash64("component", F.lit(k))] if k else []), -F.col("core"), F.col("rep"))
-        heads = open_rows.groupBy("token").agg(
-            F.min_by(F.struct("rep", "component", "n", "m"), rank).alias("head"),
-        )
-        votes = open_rows.join(heads, "token").filter("component != head.component")
-        votes = votes.filter(_may_link("n", "m", "head.n", "head.m", percent))
-        votes = votes.groupBy("rep", F.col("head.rep").alias("other")).count()
-        best = votes.groupBy("rep").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        links = cut(links.unionByName(overlap_links(pairs, fragments, percent)), "ngram-links")
-        found = _found(prefix, links)
-    open_rows = cut(posted.join(mixed.select("token"), "token"), "ngram-open")
-    left = open_rows.select("token", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    right = open_rows.select("token", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    close = _may_link("na", "ma", "nb", "mb", percent)
-    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
-    return links.unionByName(overlap_links(pairs, fragments, percent))
-
-
-def _found(prefix: DataFrame, links: DataFrame) -> DataFrame:
-    own = components(links).withColumnRenamed("id", "rep")
-    ids = prefix.select("rep").distinct().join(own, "rep", "left")
-    return cut(ids.select("rep", F.coalesce("component_id", "rep").alias("component")), "ngram-components")
+    prefix = cut(rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "core", F.struct("n", "m").alias("about")), "ngram-prefix")
+
+    return linked(prefix, lambda x, y: _may_link(x, y, percent), lambda pairs: overlap_links(pairs, fragments, percent), ROUNDS)
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,8 +164,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     grouped = cut(some.groupBy("digest", "n").agg(F.min("id").alias("rep")), "ngram-classes")
     likely = some.filter(F.col("tokens").isNotNull()).join(grouped.withColumnRenamed("rep", "id").drop("n"), ["digest", "id"], "left_semi")
     likely = cut(likely.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "tokens"), "ngram-likely")
-    linked = components(class_links(likely, percent)).withColumnRenamed("id", "rep")
-    whole = grouped.join(linked, "rep", "left").select("digest", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    joined = components(class_links(likely, percent)).withColumnRenamed("id", "rep")
+    whole = grouped.join(joined, "rep", "left").select("digest", "n", F.coalesce("component_id", "rep").alias("component_id"))
     out = some.select("id", "n", "digest").join(whole, ["digest", "n"]).select("id", "n", "component_id")
     none = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return out.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -10,6 +10,7 @@ from . import embedding_dedup as op5
 from . import exact_dedup as op1
 from . import language as op8
 from . import licences as op9
+from . import line_dedup as op3
 from . import mixing as op7
 from . import ngram_join as op10
 from . import packing as op2
@@ -34,6 +35,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.identify(docs, op8.profiles(docs))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.fuzzy_lines(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return op4.score(docs, op4.learn(docs, _table(spark, sf_dir, "labels")))
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_pii": op6_pii,
