@@ -101,31 +101,51 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return dict(sorted(found.items()))
 
 
+def _judge(text: str | None, langs: list[str], matrix: np.ndarray) -> tuple[str, float]:
+    ids = trigram_ids(text or "")
+    if not len(ids) or not langs:
+        return UNDETERMINED, 0.0
+    v = bundle(ids)
+    cos = matrix @ (v / max(float(np.linalg.norm(v)), 1e-12))
+    k = int(np.argmax(cos))
+    return langs[k], float(min(1.0, max(0.0, cos[k])))
+
+
+def _matrix(model: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    return list(model), np.array(list(model.values()), np.float32).reshape(len(model), DIM)
+
+
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, lang_pred, score`` for every row; ``score`` is the cosine with the nearest prototype, 0 at least.
 
     Null texts, texts without a letter and all texts under an empty model are ``und`` with score 0. Equal cosines go to
     the first language by name. Repeated rows are judged alike; an empty table gives an empty result.
     """
-    langs = list(model)
-    matrix = np.array([model[k] for k in langs], np.float32).reshape(len(langs), DIM)
+    langs, matrix = _matrix(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = [], []
-            for text in b.column(2):
-                ids = trigram_ids(text.as_py() or "")
-                if not len(ids) or not langs:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                v = bundle(ids)
-                cos = matrix @ (v / max(float(np.linalg.norm(v)), 1e-12))
-                k = int(np.argmax(cos))
-                names.append(langs[k])
-                scores.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
+            judged = [_judge(text.as_py(), langs, matrix) for text in b.column(2)]
+            names, scores = pa.array([j[0] for j in judged], pa.string()), pa.array([j[1] for j in judged], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, scores], [id_col, "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"))
     return wanted.mapInArrow(judge, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+
+
+def determined(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language can be told, in one narrow pass; a null ``lang_col`` becomes the prediction."""
+    langs, matrix = _matrix(model)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_judge(text.as_py(), langs, matrix)[0] for text in b.column(names.index(text_col))]
+            old = b.column(names.index(lang_col)).to_pylist()
+            lang = pa.array([o or f for o, f in zip(old, found, strict=True)], b.column(names.index(lang_col)).type)
+            columns = [lang if n == lang_col else c for n, c in zip(names, b.columns, strict=True)]
+            mask = pa.array([f != UNDETERMINED for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(mask)
+
+    return docs.mapInArrow(keep, docs.schema)
