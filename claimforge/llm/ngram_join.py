@@ -120,9 +120,9 @@ def overlap_links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataF
 
 
 def _may_link(x: Column, y: Column, percent: int) -> Column:
-    """Sizes, and what of each set any other set has, leave room for a link."""
-    close = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
-    return close & ((100 + percent) * F.least(x["m"], y["m"]) >= percent * (x["n"] + y["n"]))
+    """What of each set the other has, if this token is the first that both have, leaves room for a link: at most what
+    stands from here on in the order. A pair that links passes at the first token it shares."""
+    return (100 + percent) * F.least(x["rest"], y["rest"]) >= percent * (x["n"] + y["n"])
 
 
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
@@ -145,7 +145,9 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     if len(set(cuts)) < len(cuts):  # most shingles are as rare: fragments by hash within the order's ties
         fragment = F.pmod(F.shiftrightunsigned("token", 40), F.lit(FRAGMENTS)).cast("int")
     fragments = cut(rows.groupBy("rep", "n", fragment.alias("fragment")).agg(F.collect_list("token").alias("part")), "ngram-fragments")
-    prefix = cut(rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "core", F.struct("n", "m").alias("about")), "ngram-prefix")
+    about = F.struct("n", (F.col("n") - F.col("place") + 1).alias("rest"))
+    prefix = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "core", about.alias("about"))
+    prefix = cut(prefix, "ngram-prefix")
 
     return linked(prefix, lambda x, y: _may_link(x, y, percent), lambda pairs: overlap_links(pairs, fragments, percent), ROUNDS)
 
