@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -11,8 +11,15 @@ from .scratch import cut
 
 #: Characters of a shingle; least length of a line that is compared; similarity of near copies.
 WIDTH, LEAST, SIMILAR = 10, 24, 0.8
-#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.986.
-BANDS, ROWS = 6, 3
+#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.997.
+BANDS, ROWS = 8, 3
+#: Lines of many anchors are signed by the shingles that begin at an anchor: any character but a letter of a script with
+#: spaces, so mostly the space before a word. Lines of few are signed by all their shingles; between the two bounds a
+#: line is signed both ways, so two similar lines have a way in common.
+FEW_ANCHORS, MANY_ANCHORS = 30, 45
+#: Least filled buckets of a signature, below which a band with a single filled bucket is a key too.
+FILLED = 14
+_LETTER = r"\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{M}"
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -22,30 +29,43 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "line_no", line.alias("line"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
 
 
+def _shingles(line: str, width: int, first: str = ".") -> Column:
+    """The shingles of a line, repeats too: all, or those that begin with ``first``. One pass of look-aheads."""
+    return F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=({first}.{{{width - 1}}}))"), F.lit(1))
+
+
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``k1, k2`` and the minima ``m0 ...`` of one-permutation MinHash: a shingle's hash names its bucket, and each
-    bucket keeps its least value. All copies of a line add to one group, first of all within their task."""
-    wide = F.encode("line", "UTF-16BE")  # two bytes a character, so a shingle is cut out in one step
-    last = (F.octet_length(wide) / 2 - width).cast("int")
-    places = lines.select("k1", "k2", wide.alias("wide"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    h = places.select("k1", "k2", F.xxhash64(F.substring("wide", 2 * F.col("at") + 1, F.lit(2 * width))).alias("h"))
-    h = h.select("k1", "k2", F.pmod("h", F.lit(BANDS * ROWS)).cast("int").alias("bucket"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
-    return h.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("bucket") == j, F.col("v"))).alias(f"m{j}") for j in range(BANDS * ROWS)])
+    """``k1, least``: one-permutation MinHash. The high bits of a shingle's hash name its bucket, so in the sorted
+    hashes each bucket's least value is the first of its run."""
+    sets = lines.select("k1", "line", _shingles("line", width, f"[^{_LETTER}]").alias("anchored"))
+    anchors = F.size("anchored")
+    ways = F.array(F.when(anchors >= FEW_ANCHORS, F.col("anchored")), F.when(anchors < MANY_ANCHORS, _shingles("line", width)))
+    sets = sets.select("k1", F.explode(F.array_compact(ways)).alias("shingles"))
+    hashes = sets.select("k1", F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"))
+    starts = F.filter("h", lambda x, i: (i == 0) | (_part(x, BANDS * ROWS) != _part(F.get("h", i - 1), BANDS * ROWS)))
+    return hashes.select("k1", starts.alias("least"))
+
+
+def _part(h: Column, parts: int) -> Column:
+    """Which of as many equal parts of the range of 64-bit hashes ``h`` is in."""
+    return F.shiftright((F.shiftright(h, 40) + 2**23) * parts, 24)
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """``token, k1``: the band keys of each line; bands without a shingle say nothing."""
-    keys = []
-    for b in range(BANDS):
-        own = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
-        keys.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(c, F.lit(-1)) for c in own])))
-    return signed.select("k1", F.explode(F.array_compact(F.array(*keys))).alias("token"))
+    """Distinct ``token, k1``: the band keys of each line. Bands without a shingle say nothing, and those with one say
+    little, so they are keys of very short lines only. All copies of a line add the same rows, which fall together
+    within their tasks first."""
+
+    def within(band: int) -> Column:
+        return F.filter("least", lambda x: _part(x, BANDS) == band)
+
+    own = [within(b) for b in range(BANDS)]
+    keys = F.array(*[F.when((F.size(o) > 1) | ((F.size(o) == 1) & (F.size("least") < FILLED)), F.xxhash64(F.lit(b), o)) for b, o in enumerate(own)])
+    return signed.select("k1", F.explode(F.array_compact(keys)).alias("token")).distinct()
 
 
 def _shingle_set(line: str, width: int) -> Column:
-    wide = F.encode(F.col(line), "UTF-16BE")
-    at = F.sequence(F.lit(0), (F.octet_length(wide) / 2 - width).cast("int"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(wide, 2 * i + 1, F.lit(2 * width)))))
+    return F.array_distinct(F.transform(_shingles(line, width), lambda s: F.xxhash64(s)))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -73,9 +93,9 @@ def fuzzy_lines(
     lines = everything.filter(F.length("line") >= max(least, width))
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("group_lines"))
     classes = cut(classes, "lines-classes")
-    tokens = bands(signatures(lines, width))
-    met = tokens.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("met > 1").select("token", "k1")
-    met = cut(met, "lines-bands")
+    tokens = cut(bands(signatures(lines, width)), "lines-tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
+    met = cut(tokens.join(shared.select("token"), "token"), "lines-bands")
     ids = met.select("k1").distinct()
     texts = cut(lines.select("k1", "line").join(ids, "k1", "left_semi").dropDuplicates(["k1"]), "lines-texts")
     sized = texts.select("k1", F.length("line").alias("about"))
