@@ -11,15 +11,13 @@ from .scratch import cut
 
 #: Characters of a shingle; least length of a line that is compared; similarity of near copies.
 WIDTH, LEAST, SIMILAR = 10, 24, 0.8
-#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.997.
-BANDS, ROWS = 8, 3
-#: Lines of many anchors are signed by the shingles that begin at an anchor: any character but a letter of a script with
-#: spaces, so mostly the space before a word. Lines of few are signed by all their shingles; between the two bounds a
-#: line is signed both ways, so two similar lines have a way in common.
-FEW_ANCHORS, MANY_ANCHORS = 30, 45
+#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.986.
+BANDS, ROWS = 6, 3
+#: Lines of many words are signed by the shingles that begin with a space, lines of few spaces by all their shingles;
+#: between the two bounds a line is signed both ways, so two similar lines have a way in common.
+FEW_SPACES, MANY_SPACES = 24, 36
 #: Least filled buckets of a signature, below which a band with a single filled bucket is a key too.
-FILLED = 14
-_LETTER = r"\p{Lu}\p{Ll}\p{Lt}\p{Lm}\p{M}"
+FILLED = 11
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,9 +35,9 @@ def _shingles(line: str, width: int, first: str = ".") -> Column:
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """``k1, least``: one-permutation MinHash. The high bits of a shingle's hash name its bucket, so in the sorted
     hashes each bucket's least value is the first of its run."""
-    sets = lines.select("k1", "line", _shingles("line", width, f"[^{_LETTER}]").alias("anchored"))
-    anchors = F.size("anchored")
-    ways = F.array(F.when(anchors >= FEW_ANCHORS, F.col("anchored")), F.when(anchors < MANY_ANCHORS, _shingles("line", width)))
+    sets = lines.select("k1", "line", _shingles("line", width, " ").alias("spaced"))
+    spaces = F.size("spaced")
+    ways = F.array(F.when(spaces >= FEW_SPACES, F.col("spaced")), F.when(spaces < MANY_SPACES, _shingles("line", width)))
     sets = sets.select("k1", F.explode(F.array_compact(ways)).alias("shingles"))
     hashes = sets.select("k1", F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"))
     starts = F.filter("h", lambda x, i: (i == 0) | (_part(x, BANDS * ROWS) != _part(F.get("h", i - 1), BANDS * ROWS)))
