@@ -91,9 +91,8 @@ def _jp(text: Column) -> Column:
     lettered = rf"(?<![A-Z])([{''.join(ERA_LETTERS)}])\s*(\d{{1,2}}){_DASH}(\d{{3,}})"
     west = rf"(19|20)(\d{{2}}){_DASH}?(\d{{3,}})"
     pick = lambda group: F.when(s.rlike(named), F.regexp_extract(s, named, group)).otherwise(F.regexp_extract(s, lettered, group))
-    base = F.lit(None).cast("int")
-    for era, year in {**ERAS, **ERA_LETTERS}.items():
-        base = F.when(pick(1) == era, year).otherwise(base)
+    years = F.create_map(*[F.lit(x) for pair in {**ERAS, **ERA_LETTERS}.items() for x in pair])
+    base = F.try_element_at(years, pick(1))
     year = (base + pick(2).try_cast("int")).cast("string")
     filled = lambda serial: F.when(F.length(serial) < 6, F.lpad(serial, 6, "0")).otherwise(serial)
     kind_a = F.coalesce(own, F.lit("A"))
@@ -122,15 +121,16 @@ def normalised(raw: Column) -> Column:
     up = F.upper(s)
     digits = _digits(up)
     none = F.lit(None).cast("string")
+    japanese = s.rlike(r"[぀-ヿ一-鿿]")
+    latin = lambda *prefixes: ~japanese & F.substring(up, 1, 3).rlike(f"^({'|'.join(prefixes)})")
     empty = _row("UNKNOWN", F.lit(""), none, F.lit("unknown"), F.lit(""), F.lit(0.0), F.array(F.lit("empty input")))
     lost = _row("UNKNOWN", digits, none, F.lit("unknown"), digits, F.lit(0.4), F.array(F.lit("no office prefix; jurisdiction cannot be determined from the number alone")))
     return (
         F.when(s == "", empty)
-        .when(s.rlike(r"[぀-ヿ一-鿿]"), _jp(s))
-        .when(F.startswith(up, F.lit("US")), _us(up))
-        .when(F.startswith(up, F.lit("EP")), _ep(up))
-        .when(F.startswith(up, F.lit("WO")) | F.startswith(up, F.lit("PCT")), _wo(up))
-        .when(F.startswith(up, F.lit("JP")), _jp(F.substring(up, 3, F.length(up))))
+        .when(latin("US"), _us(up))
+        .when(latin("EP"), _ep(up))
+        .when(latin("WO", "PCT"), _wo(up))
+        .when(japanese | latin("JP"), _jp(F.when(japanese, s).otherwise(F.substring(up, 3, F.length(up)))))
         .otherwise(lost)
     )
 

@@ -42,41 +42,37 @@ def best_sentence(matched: Column, parts: Column) -> Column:
     return F.when(top["n"] > 0, top["text"])
 
 
-def strict(element: Column, spec: Column, parts: Column) -> Column:
-    """Exact token overlap; ``element`` and ``spec`` are token arrays."""
-    matched = F.array_intersect(element, spec)
+def strict(element: Column, matched: Column, span: Column) -> Column:
+    """Exact token overlap, from the element's tokens, those matched, and the best sentence for them."""
     n, size = F.size(matched), F.size(element)
     share = n / F.nullif(size, F.lit(0))
     label = F.when(size == 0, "UNCLEAR").when(n == 0, "MISSING").when((share >= MATCH_SHARE) & (n >= MATCH_TOKENS), "MATCH").otherwise("UNCLEAR")
     confidence = F.when(size == 0, 0.0).when(n == 0, 1.0).otherwise(share)
-    return verdict(label, F.when(label != "MISSING", best_sentence(matched, parts)), confidence)
+    return verdict(label, F.when(n > 0, span), confidence)
 
 
 def lenient_matches(element: Column, stems: Column) -> Column:
     """Tokens whose stem is a stem of the specification, or contains one or is contained, from four characters on."""
 
-    def met(t: Column) -> Column:
-        own = stem(t)
+    def met(e: Column) -> Column:
+        own = e["stem"]
         inside = lambda s: (F.length(own) >= 4) & (F.length(s) >= 4) & (F.contains(s, own) | F.contains(own, s))
         return F.exists(stems, lambda s: (s == own) | inside(s))
 
-    return F.filter(element, met)
+    stemmed = F.transform(element, lambda t: F.struct(t.alias("token"), stem(t).alias("stem")))
+    return F.filter(stemmed, met)["token"]
 
 
-def lenient(element: Column, spec: Column, stems: Column, parts: Column) -> Column:
+def lenient(element: Column, matched: Column, span: Column) -> Column:
     """Stem overlap, for recall; its span comes from surface tokens only, so a match by stems alone becomes unclear."""
-    matched = lenient_matches(element, stems)
     n, size = F.size(matched), F.size(element)
     share = n / F.nullif(size, F.lit(0))
     label = F.when(size == 0, "UNCLEAR").when(n == 0, "MISSING").when(share >= LENIENT_SHARE, "MATCH").otherwise("UNCLEAR")
     confidence = F.when(size == 0, 0.0).when(n == 0, 1.0).otherwise(share)
-    return verdict(label, F.when(label != "MISSING", best_sentence(F.array_intersect(matched, spec), parts)), confidence)
+    return verdict(label, F.when(n > 0, span), confidence)
 
 
-CHANNELS = {
-    "strict": lambda: strict(F.col("element_tokens"), F.col("spec_tokens"), F.col("spec_sentences")),
-    "recall": lambda: lenient(F.col("element_tokens"), F.col("spec_tokens"), F.col("spec_stems"), F.col("spec_sentences")),
-}
+CHANNELS = {"strict": strict, "recall": lenient}
 
 
 def coerce(label: Column, confidence: Column, span: Column, spec: Column) -> Column:
@@ -93,7 +89,12 @@ def coerce(label: Column, confidence: Column, span: Column, spec: Column) -> Col
 def judge(elements: DataFrame, spec: DataFrame) -> DataFrame:
     """``elements`` (with ``element``) with both channels' verdicts; the specification is one row."""
     rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(spec.limit(1)))
-    return rows.select(*elements.columns, "element_tokens", "spec_tokens", *[make().alias(name) for name, make in CHANNELS.items()])
+    # Matches and spans are columns of their own, so that each is worked out once however often a verdict refers to it.
+    exact = F.array_intersect("element_tokens", "spec_tokens")
+    rows = rows.withColumns({"_strict": exact, "_recall": lenient_matches(F.col("element_tokens"), F.col("spec_stems"))})
+    rows = rows.withColumns({"_strict_span": best_sentence(F.col("_strict"), F.col("spec_sentences")), "_recall_span": best_sentence(F.array_intersect("_recall", "spec_tokens"), F.col("spec_sentences"))})
+    verdicts = [make(F.col("element_tokens"), F.col(f"_{name}"), F.col(f"_{name}_span")).alias(name) for name, make in CHANNELS.items()]
+    return rows.select(*elements.columns, "element_tokens", "spec_tokens", *verdicts)
 
 
 def coverage(one: Column) -> Column:

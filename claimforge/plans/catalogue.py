@@ -64,7 +64,7 @@ _NUM = cte("v_numbers") + f""", a AS (SELECT p_partkey, raw, trim(raw) AS s, upp
     b AS (SELECT *, CASE WHEN s = '' THEN 'E' WHEN starts_with(s, '特') THEN 'JP' WHEN starts_with(up, 'US') THEN 'US' WHEN starts_with(up, 'EP') THEN 'EP'
             WHEN starts_with(up, 'WO') THEN 'WO' ELSE 'X' END AS o, nullif(regexp_extract(up, {_K}, 2), '') AS k0,
             CASE WHEN regexp_extract(up, {_K}, 1) = '' THEN up ELSE regexp_extract(up, {_K}, 1) END AS head FROM a),
-    c AS (SELECT *, CASE WHEN o = 'JP' THEN CASE WHEN s LIKE '特開平%' THEN concat('1998', lpad(regexp_extract(s, '-([0-9]+)', 1), greatest(6, length(regexp_extract(s, '-([0-9]+)', 1))), '0'))
+    c AS (SELECT *, CASE WHEN o = 'JP' THEN CASE WHEN s LIKE '特開平%' THEN concat('1998', lpad(regexp_extract(s, '-([0-9]+)', 1), greatest(6, length(regexp_extract(s, '-([0-9]+)', 1)))::INTEGER, '0'))
             ELSE regexp_replace(s, '[^0-9]', '', 'g') END ELSE regexp_replace(head, '[^0-9]', '', 'g') END AS number FROM b),
     d AS (SELECT *, CASE WHEN o = 'JP' THEN CASE WHEN s LIKE '特許%' THEN 'B' ELSE 'A' END WHEN o IN ('WO') THEN coalesce(k0, 'A1') WHEN o = 'US' AND length(number) = 11 THEN coalesce(k0, 'A1') WHEN o IN ('US', 'EP') THEN k0 END AS kind FROM c),
     n AS (SELECT p_partkey, CASE o WHEN 'E' THEN 'UNKNOWN' WHEN 'X' THEN 'UNKNOWN' ELSE o END AS office, number, kind,
@@ -127,7 +127,7 @@ def fetch_semi(spark, sf_dir):
 
 
 _CHAIN = cte("v_records") + _ASKED + """, x AS (SELECT DISTINCT canonical FROM asked), k AS (SELECT canonical, p_partkey FROM v_records),
-    h AS (SELECT x.canonical, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey IS NOT NULL THEN 2 ELSE 3 END AS at FROM x LEFT JOIN k USING (canonical))"""
+    h AS (SELECT x.canonical, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 5 < 3 THEN 1 WHEN p_partkey IS NOT NULL THEN 2 ELSE 3 END AS hop FROM x LEFT JOIN k USING (canonical))"""
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -135,13 +135,13 @@ def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return records.fallback(_asked(spark, sf_dir), [("fixture", rows.filter("p_partkey % 3 = 0")), ("export", rows.filter("p_partkey % 5 < 3")), ("bulk", rows)])
 
 
-@query(_CHAIN + " SELECT canonical, ['fixture', 'export', 'bulk'][at + 1] AS source FROM h WHERE at < 3")
+@query(_CHAIN + " SELECT canonical, ['fixture', 'export', 'bulk'][hop + 1] AS source FROM h WHERE hop < 3")
 def fallback_chain(spark, sf_dir):
     return _chain(spark, sf_dir)[0].select("canonical", "source")
 
 
-@query(_CHAIN + """ SELECT canonical, CAST(seq AS INTEGER) AS seq, ['fixture', 'export', 'bulk'][seq + 1] AS source, CASE WHEN seq = at THEN 'hit' ELSE 'miss' END AS outcome
-    FROM h, range(3) r(seq) WHERE seq <= at""")
+@query(_CHAIN + """ SELECT canonical, CAST(seq AS INTEGER) AS seq, ['fixture', 'export', 'bulk'][seq + 1] AS source, CASE WHEN seq = hop THEN 'hit' ELSE 'miss' END AS outcome
+    FROM h, range(3) r(seq) WHERE seq <= hop""")
 def fallback_trail(spark, sf_dir):
     return _chain(spark, sf_dir)[1]
 
