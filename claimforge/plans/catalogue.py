@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import evaluation, judges, legal, records, scoring, search, state
+from ..render import markdown
 from . import oracle_text as O
 from .views import BRIEF, QUERY, SPEC, cte, spec, view
 
@@ -559,7 +560,6 @@ def eval_accuracy(spark, sf_dir):
     return evaluation.accuracy(_evaluated(spark, sf_dir))
 
 
-DISCLAIMER = "Screening support only; not a legal conclusion."
 
 
 @query(JUDGED + ", nn AS (" + _NUM.replace("WITH v_numbers AS", "WITH v_numbers AS", 1) + """ SELECT * FROM n), g AS (SELECT 'G-NORMALIZE-REVIEW' AS gate, count(*) AS checked FROM nn UNION ALL SELECT 'G-PROVENANCE', count(*) FROM v_records UNION ALL SELECT 'G-DISCLAIMER', count(*) FROM v_records
@@ -568,9 +568,9 @@ DISCLAIMER = "Screening support only; not a legal conclusion."
 def gates(spark, sf_dir):
     rows = _records(spark, sf_dir)
     verdicts = judges.judge(scoring.claim_elements(rows), spec(spark)).select("canonical", "strict.*")
-    reports = records.summaries(rows).select(F.concat_ws("\n", "one_line", F.lit(DISCLAIMER)).alias("text"))
+    reports = records.summaries(rows).select(F.concat_ws("\n", "one_line", F.lit(markdown.DISCLAIMER)).alias("text"))
     hashed = state.hashed(rows, ("abstract", "assignee", "claims", "title")).select("canonical", "content_hash", F.lit("1").alias("fetched_at"))
-    return evaluation.gates(_numbers(spark, sf_dir), rows.withColumn("source", F.lit("fixture")), verdicts, SPEC, reports, DISCLAIMER, state.to_save(hashed, hashed))
+    return evaluation.gates(_numbers(spark, sf_dir), rows.withColumn("source", F.lit("fixture")), verdicts, SPEC, reports, markdown.DISCLAIMER, state.to_save(hashed, hashed))
 
 
 @query()
@@ -595,3 +595,25 @@ def bench_median(spark, sf_dir):
 def html_title_extract(spark, sf_dir):
     title = T.escaped(F.regexp_extract("html", "<title>(.*?)</title>", 1))
     return _table(spark, sf_dir, "pages").select("page_id", title.alias("title"), T.safe_link(F.col("url")).alias("link"), T.safe_name(F.col("url")).alias("file"))
+
+
+# ---- reports and streams ----
+
+
+@query(_DIFF + """, t AS (SELECT canonical, fetched_at, field, concat('| ', fetched_at, ' | ', field, ' | changed | ', coalesce(before, ''), ' | ', coalesce(after, ''), ' |') AS line FROM c)
+    SELECT canonical, concat('## ', canonical, chr(10), chr(10), '| When | Field | Kind | Before | After |', chr(10), '|---|---|---|---|---|', chr(10),
+        string_agg(line, chr(10) ORDER BY fetched_at, field), chr(10), chr(10), 'Screening support only; not a legal conclusion.') AS text FROM t GROUP BY 1""")
+def diff_report(spark, sf_dir):
+    return markdown.diff_reports(history_diff(spark, sf_dir))
+
+
+@query(_SDI + """, nw AS (SELECT theme, pub FROM h JOIN d USING (theme) WHERE run_date = last AND NOT EXISTS (SELECT 1 FROM h o WHERE o.theme = h.theme AND o.pub = h.pub AND o.run_date < last)),
+    l AS (SELECT theme, string_agg(concat('- ', pub), chr(10) ORDER BY pub) AS t FROM nw GROUP BY 1)
+    SELECT theme, concat('## ', theme, chr(10), chr(10), coalesce(t, 'No change since the last run.'), chr(10), chr(10), 'Screening support only; not a legal conclusion.') AS text FROM d LEFT JOIN l USING (theme)""")
+def watch_report(spark, sf_dir):
+    return markdown.watch_reports(view(spark, sf_dir, "v_runs"), search.split_seen(*_hits(spark, sf_dir))[0])
+
+
+@query()
+def patent_report(spark, sf_dir):
+    return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), _fused(spark, sf_dir))
