@@ -11,7 +11,7 @@ from claimforge.llm import embedding_dedup, queries
 
 from ..compare import differences
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="needs the driver's tables")
 
 
@@ -27,11 +27,12 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet").select("doc_id", "toxic").dropna().distinct()
-    rows = queries.op4_toxicity(spark, MIDDLE).join(labels, "doc_id").filter("held_out").collect()
+    """Measured in round 1 at this size: 99 of 120 toxic documents found, 45 of 870 clean ones marked."""
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").select("doc_id", "toxic").dropna().distinct()
+    rows = queries.op4_toxicity(spark, LARGE).join(labels, "doc_id").filter("held_out").collect()
     told, real = {r["doc_id"] for r in rows if r["predicted"]}, {r["doc_id"] for r in rows if r["toxic"]}
-    assert len(told & real) >= 0.8 * len(real)
-    assert len(told - real) <= 0.1 * len(rows)
+    assert len(told & real) >= 0.75 * len(real)
+    assert len(told - real) <= 0.08 * (len(rows) - len(real))
 
 
 def test_embedding_recall(spark):

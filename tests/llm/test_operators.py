@@ -258,7 +258,8 @@ def test_awkward_columns_and_rows(spark, name):
     table = spark.createDataFrame(rows, SCHEMA)
     for c in extra:
         table = table.selectExpr("*", f"'x' AS {c}")
-    assert len(EMPTY_SAFE[name](table).collect()) >= len(rows)
+    least = len(rows) - (name == "lines")  # a null text has no lines
+    assert len(EMPTY_SAFE[name](table).collect()) >= least
 
 
 def test_models_are_plain_data():
