@@ -11,13 +11,10 @@ from .scratch import cut
 
 #: Characters of a shingle; least length of a line that is compared; similarity of near copies.
 WIDTH, LEAST, SIMILAR = 10, 24, 0.8
-#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.986.
-BANDS, ROWS = 6, 3
-#: Lines of many words are signed by the shingles that begin with a space, lines of few spaces by all their shingles;
-#: between the two bounds a line is signed both ways, so two similar lines have a way in common.
-FEW_SPACES, MANY_SPACES = 24, 36
+#: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.997.
+BANDS, ROWS = 8, 3
 #: Least filled buckets of a signature, below which a band with a single filled bucket is a key too.
-FILLED = 11
+FILLED = 14
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,19 +24,19 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "line_no", line.alias("line"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
 
 
-def _shingles(line: str, width: int, first: str = ".") -> Column:
-    """The shingles of a line, repeats too: all, or those that begin with ``first``. One pass of look-aheads."""
-    return F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=({first}.{{{width - 1}}}))"), F.lit(1))
+def _shingle_set(line: str, width: int) -> Column:
+    """Hashes of the distinct shingles of a line. Four bytes to a character make each a slice of the bytes; the outer
+    lambda holds them, so a line is coded once."""
+    places = lambda b: F.sequence(F.lit(1), F.length(b) - 4 * width + 1, F.lit(4))
+    slices = lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * width))))
+    hashes = F.transform(F.array(F.encode(F.col(line), "UTF-32")), slices)[0]
+    return F.when(F.length(line) >= width, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
 
 
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``k1, least``: one-permutation MinHash. The high bits of a shingle's hash name its bucket, so in the sorted
-    hashes each bucket's least value is the first of its run."""
-    sets = lines.select("k1", "line", _shingles("line", width, " ").alias("spaced"))
-    spaces = F.size("spaced")
-    ways = F.array(F.when(spaces >= FEW_SPACES, F.col("spaced")), F.when(spaces < MANY_SPACES, _shingles("line", width)))
-    sets = sets.select("k1", F.explode(F.array_compact(ways)).alias("shingles"))
-    hashes = sets.select("k1", F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))).alias("h"))
+    """``k1, least``: one-permutation MinHash of all shingles. The high bits of a
+    shingle's hash name its bucket, so in the sorted hashes each bucket's least value is the first of its run."""
+    hashes = lines.select("k1", F.sort_array(_shingle_set("line", width)).alias("h"))
     starts = F.filter("h", lambda x, i: (i == 0) | (_part(x, BANDS * ROWS) != _part(F.get("h", i - 1), BANDS * ROWS)))
     return hashes.select("k1", starts.alias("least"))
 
@@ -62,10 +59,6 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select("k1", F.explode(F.array_compact(keys)).alias("token")).distinct()
 
 
-def _shingle_set(line: str, width: int) -> Column:
-    return F.array_distinct(F.transform(_shingles(line, width), lambda s: F.xxhash64(s)))
-
-
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similar`` at least, computed exactly."""
     a = texts.select(F.col("k1").alias("a"), F.col("line").alias("la"))

@@ -98,6 +98,22 @@ def test_fuzzy_lines(docs):
     assert dropped <= {k for k in want if want[k] != k}, "no line goes without a near copy"
 
 
+def kept_of(spark, lines: list[str]) -> list[int]:
+    """For each of the lines, documents of their own, the document whose line stays."""
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r["keep_id"] for r in sorted(line_dedup.fuzzy_lines(table).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_lines_that_differ_in_their_spaced_words_only(spark):
+    rng = random.Random(4)
+    body = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6000)) for _ in range(6)]
+    words = lambda: "".join(" " + "".join(rng.choices("abcdefgh", k=4)) for _ in range(45))
+    lines = [b + words() for b in body[:3] for _ in range(2)]
+    for b in body[3:]:
+        lines += [b, " ".join([b[k * 20 : k * 20 + 20] for k in range(40)] + [b[800:]])]
+    assert kept_of(spark, lines) == [i - i % 2 for i in range(12)]
+
+
 def test_line_dedup_keeps_columns_and_blank_lines(spark):
     rows = [(1, "First line of a text that is long enough.\n\nshort\nend", "x", 9), (2, "First line of a text that is long enough.", "y", 9), (3, None, "z", 9)]
     out = {r["doc_id"]: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, line string, k1 int")).collect()}
