@@ -34,11 +34,11 @@ def _shingle_set(line: str, width: int) -> Column:
 
 
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``k1, least``: one-permutation MinHash of all shingles. The high bits of a
+    """``k1, n, least``: number of distinct shingles and one-permutation MinHash of all of them. The high bits of a
     shingle's hash name its bucket, so in the sorted hashes each bucket's least value is the first of its run."""
     hashes = lines.select("k1", F.sort_array(_shingle_set("line", width)).alias("h"))
     starts = F.filter("h", lambda x, i: (i == 0) | (_part(x, BANDS * ROWS) != _part(F.get("h", i - 1), BANDS * ROWS)))
-    return hashes.select("k1", starts.alias("least"))
+    return hashes.select("k1", F.size("h").alias("n"), starts.alias("least"))
 
 
 def _part(h: Column, parts: int) -> Column:
@@ -47,7 +47,7 @@ def _part(h: Column, parts: int) -> Column:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """Distinct ``token, k1``: the band keys of each line. Bands without a shingle say nothing, and those with one say
+    """Distinct ``token, k1, n``: the band keys of each line. Bands without a shingle say nothing, and those with one say
     little, so they are keys of very short lines only. All copies of a line add the same rows, which fall together
     within their tasks first."""
 
@@ -56,7 +56,7 @@ def bands(signed: DataFrame) -> DataFrame:
 
     own = [within(b) for b in range(BANDS)]
     keys = F.array(*[F.when((F.size(o) > 1) | ((F.size(o) == 1) & (F.size("least") < FILLED)), F.xxhash64(F.lit(b), o)) for b, o in enumerate(own)])
-    return signed.select("k1", F.explode(F.array_compact(keys)).alias("token")).distinct()
+    return signed.select("k1", "n", F.explode(F.array_compact(keys)).alias("token")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
@@ -89,10 +89,9 @@ def fuzzy_lines(
     met = cut(tokens.join(shared.select("token"), "token"), "lines-bands")
     ids = met.select("k1").distinct()
     texts = cut(lines.select("k1", "line").join(ids, "k1", "left_semi").dropDuplicates(["k1"]), "lines-texts")
-    sized = texts.select("k1", F.length("line").alias("about"))
-    postings = met.join(sized, "k1").select("token", F.col("k1").alias("rep"), F.lit(0).alias("core"), "about")
-    near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y) - width
-    links = linked(cut(postings, "lines-postings"), near, lambda pairs: similar_pairs(pairs, texts, width, similar))
+    postings = met.select("token", F.col("k1").alias("rep"), F.lit(0).alias("core"), F.col("n").alias("about"))
+    near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
+    links = linked(postings, near, lambda pairs: similar_pairs(pairs, texts, width, similar))
     found = components(links).withColumnRenamed("id", "k1")
     whole = classes.join(found, "k1", "left").withColumn("component", F.coalesce("component_id", "k1"))
     whole = cut(whole.select("k1", "k2", "first", "group_lines", "component"), "lines-components")

@@ -114,6 +114,12 @@ def test_lines_that_differ_in_their_spaced_words_only(spark):
     assert kept_of(spark, lines) == [i - i % 2 for i in range(12)]
 
 
+def test_lines_that_repeat_themselves(spark):
+    sentence = "This sentence says again what it said. "
+    lines = ["-" * 30, "-" * 60, ("ist " * 18).strip(), ("ist " * 50).strip(), (sentence * 3).strip(), (sentence * 5).strip()]
+    assert kept_of(spark, lines) == [0, 0, 2, 2, 4, 4]
+
+
 def test_line_dedup_keeps_columns_and_blank_lines(spark):
     rows = [(1, "First line of a text that is long enough.\n\nshort\nend", "x", 9), (2, "First line of a text that is long enough.", "y", 9), (3, None, "z", 9)]
     out = {r["doc_id"]: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, line string, k1 int")).collect()}
