@@ -9,8 +9,10 @@ from .components import components
 from .partners import linked
 from .scratch import cut
 
-#: Characters of a shingle; least length of a line that is compared; similarity of near copies.
+#: Characters of a shingle; least length of a line compared by such shingles; similarity of near copies.
 WIDTH, LEAST, SIMILAR = 10, 24, 0.8
+#: Characters of a shingle where one of the two lines is shorter than that.
+NARROW = 4
 #: Bands and rows of a signature: a pair at the least similarity meets in some band with probability 0.997.
 BANDS, ROWS = 8, 3
 #: Least filled buckets of a signature, below which a band with a single filled bucket is a key too.
@@ -46,7 +48,7 @@ def _part(h: Column, parts: int) -> Column:
     return F.shiftright((F.shiftright(h, 40) + 2**23) * parts, 24)
 
 
-def bands(signed: DataFrame) -> DataFrame:
+def bands(signed: DataFrame, kind: int = 0) -> DataFrame:
     """Distinct ``token, k1, n``: the band keys of each line. Bands without a shingle say nothing, and those with one say
     little, so they are keys of very short lines only. All copies of a line add the same rows, which fall together
     within their tasks first."""
@@ -55,53 +57,73 @@ def bands(signed: DataFrame) -> DataFrame:
         return F.filter("least", lambda x: _part(x, BANDS) == band)
 
     own = [within(b) for b in range(BANDS)]
-    keys = F.array(*[F.when((F.size(o) > 1) | ((F.size(o) == 1) & (F.size("least") < FILLED)), F.xxhash64(F.lit(b), o)) for b, o in enumerate(own)])
+    keys = F.array(*[F.when((F.size(o) > 1) | ((F.size(o) == 1) & (F.size("least") < FILLED)), F.xxhash64(F.lit(kind * BANDS + b), o)) for b, o in enumerate(own)])
     return signed.select("k1", "n", F.explode(F.array_compact(keys)).alias("token")).distinct()
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similar`` at least, computed exactly."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float, least: int = LEAST, narrow: int = NARROW) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similar`` at least, computed exactly:
+    ``narrow`` shingles if one of the lines is shorter than ``least``."""
+    short = F.least(F.length("la"), F.length("lb")) < least
+    sets = lambda line: F.when(short, _shingle_set(line, narrow)).otherwise(_shingle_set(line, width))
     a = texts.select(F.col("k1").alias("a"), F.col("line").alias("la"))
     b = texts.select(F.col("k1").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", _shingle_set("la", width).alias("sa"), _shingle_set("lb", width).alias("sb"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.filter(F.col("common") >= similar * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def fuzzy_lines(
-    docs: DataFrame, width: int = WIDTH, least: int = LEAST, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    width: int = WIDTH,
+    least: int = LEAST,
+    similar: float = SIMILAR,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    narrow: int = NARROW,
 ) -> DataFrame:
     """One row per line: ``id_col, line_no, keep_id, keep_line, group_lines, kept``.
 
     Lines (parted by ``\\n``, trimmed of spaces) of ``least`` characters or more are near copies when the Jaccard
     similarity of their sets of ``width``-character shingles is ``similar`` or more; of each component the line with
-    the smallest id and number stays, and the rest go. Shorter and blank lines are not compared and stay. Equal lines
+    the smallest id and number stays, and the rest go. Where one of two lines is shorter, their ``narrow`` shingles are
+    compared; lines without any of those have exact copies only. Blank lines are not compared and stay. Equal lines
     are one class from the start, so a line in a third of all documents costs one row per task. Null texts have no
     lines; an empty text has one blank line. Rows with an equal id are lines of one document told apart by number only:
     equal rows then keep their lines twice. An empty table gives an empty result. Other columns are not read.
     """
     everything = lines_of(docs, id_col, text_col)
-    lines = everything.filter(F.length("line") >= max(least, width))
+    visible, least = F.col("line").rlike(r"\S"), max(least, width)
+    lines = everything.filter(visible)
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("group_lines"))
     classes = cut(classes, "lines-classes")
-    tokens = cut(bands(signatures(lines, width)), "lines-tokens")
+    # A line shorter than ``least`` has so few narrow shingles that a longer one with more than ``most`` can't be similar;
+    # the start of a line has no more of them than the whole.
+    most = int((least - narrow) / similar + 1e-9)
+    few = F.when(F.length("line") < least, F.length("line") >= narrow).otherwise(
+        F.size(_shingle_set("start", narrow)) <= most
+    )
+    brief = lines.select("k1", "line", F.substring("line", 1, 2 * least).alias("start")).filter(few)
+    wide = bands(signatures(lines.filter(F.length("line") >= least), width))
+    tokens = wide.unionByName(bands(signatures(brief, narrow).filter(F.col("n") <= most), 1))
+    tokens = cut(tokens, "lines-tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     met = cut(tokens.join(shared.select("token"), "token"), "lines-bands")
     ids = met.select("k1").distinct()
     texts = cut(lines.select("k1", "line").join(ids, "k1", "left_semi").dropDuplicates(["k1"]), "lines-texts")
     postings = met.select("token", F.col("k1").alias("rep"), F.lit(0).alias("core"), F.col("n").alias("about"))
     near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
-    links = linked(postings, near, lambda pairs: similar_pairs(pairs, texts, width, similar))
+    links = linked(postings, near, lambda pairs: similar_pairs(pairs, texts, width, similar, least, narrow))
     found = components(links).withColumnRenamed("id", "k1")
     whole = classes.join(found, "k1", "left").withColumn("component", F.coalesce("component_id", "k1"))
     whole = cut(whole.select("k1", "k2", "first", "group_lines", "component"), "lines-components")
     kept = whole.groupBy("component").agg(F.min("first").alias("keep"), F.sum("group_lines").alias("group_lines"))
     fate = whole.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep", "group_lines")
     fate = cut(fate, "lines-fate")
-    judged = everything.select("id", "line_no", "k1", "k2", (F.length("line") >= max(least, width)).alias("long"))
-    out = judged.filter("long").join(fate, ["k1", "k2"]).select("id", "line_no", "keep", "group_lines")
-    short = judged.filter("NOT long").select("id", "line_no", F.struct("id", "line_no").alias("keep"), F.lit(1).cast("long").alias("group_lines"))
-    return out.unionByName(short).select(
+    judged = everything.select("id", "line_no", "k1", "k2", visible.alias("visible"))
+    out = judged.filter("visible").join(fate, ["k1", "k2"]).select("id", "line_no", "keep", "group_lines")
+    blank = judged.filter("NOT visible").select("id", "line_no", F.struct("id", "line_no").alias("keep"), F.lit(1).cast("long").alias("group_lines"))
+    return out.unionByName(blank).select(
         F.col("id").alias(id_col),
         "line_no",
         F.col("keep.id").alias("keep_id"),

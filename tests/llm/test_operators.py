@@ -120,6 +120,11 @@ def test_lines_that_repeat_themselves(spark):
     assert kept_of(spark, lines) == [0, 0, 2, 2, 4, 4]
 
 
+def test_short_lines(spark):
+    lines = ["Les.", "Les.", "x", "x", "Go back to the start", "Go back to the start!", "Next page of results now", "Next page of results no", "", "", "-" * 9, "-" * 70, "Les!"]
+    assert kept_of(spark, lines) == [0, 0, 2, 2, 4, 4, 6, 6, 8, 9, 10, 10, 12]
+
+
 def test_line_dedup_keeps_columns_and_blank_lines(spark):
     rows = [(1, "First line of a text that is long enough.\n\nshort\nend", "x", 9), (2, "First line of a text that is long enough.", "y", 9), (3, None, "z", 9)]
     out = {r["doc_id"]: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string, line string, k1 int")).collect()}
