@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import cut
@@ -12,8 +12,8 @@ HASH_BITS, COARSE_BITS, FINE_BITS = 48, 12, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Narrow rows: id, source, size in words, and the place of the id on the hash line."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carried: Column) -> DataFrame:
+    """Narrow rows: id, source, size in words, and the place of the id on the hash line; and columns to carry along."""
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 64 - HASH_BITS)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     return docs.select(
@@ -23,6 +23,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         u.alias("u"),
         F.shiftright(u, HASH_BITS - COARSE_BITS).alias("coarse"),
         F.shiftright(u, HASH_BITS - COARSE_BITS - FINE_BITS).bitwiseAND(2**FINE_BITS - 1).alias("fine"),
+        *carried,
     )
 
 
@@ -80,7 +81,11 @@ def mix(
     repeated rows count each; an empty table gives an empty result. Other columns are not read.
     """
     rows = cut(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    return taken(rows, marks(rows, weights, budget, cap)).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def marks(rows: DataFrame, weights: tuple[float, ...], budget: float, cap: float) -> DataFrame:
+    """One row per source: its plan, and the buckets of its ``rows`` where the budget ends."""
     coarse = cut(rows.groupBy("source", "coarse").agg(F.sum("size").alias("words")), "mix-sums")
     plan = targets(coarse.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -96,9 +101,13 @@ def mix(
     fine = border.groupBy("source", "need", "fine").agg(F.sum("size").alias("words"))
     second = cut(_threshold(fine, "fine"), "mix-fine")
 
-    marks = plan.join(first.withColumnRenamed("source", "f_source"), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
-    marks = marks.join(second.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_source")
-    marks = cut(marks.withColumnRenamed("source", "m_source").coalesce(1), "mix-marks")
+    found = plan.join(first.withColumnRenamed("source", "f_source"), F.col("source").eqNullSafe(F.col("f_source")), "left").drop("f_source")
+    found = found.join(second.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")), "left").drop("g_source")
+    return cut(found.withColumnRenamed("source", "m_source").coalesce(1), "mix-marks")
+
+
+def taken(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with all their columns and ``source_size, target, taken``."""
     all_rows = rows.join(marks, rows["source"].eqNullSafe(marks["m_source"]))
     on_edge = (F.col("coarse") == F.col("coarse_at")) & (F.col("fine") == F.col("fine_at"))
     below = (F.col("coarse") < F.col("coarse_at")) | ((F.col("coarse") == F.col("coarse_at")) & (F.col("fine") < F.col("fine_at")))
@@ -106,19 +115,22 @@ def mix(
     before = F.sum("size").over(Window.partitionBy("source").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     left = F.col("need") - F.col("coarse_before") - F.col("fine_before") - before
     last = all_rows.filter(on_edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    return whole.unionByName(last).select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("times") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
-    )
+    return whole.unionByName(last.select(*whole.columns)).withColumn("taken", (F.col("times") * F.col("size") + F.col("extra")).cast("long"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: every row as often as its whole text is taken (a part of half or more counts as one)."""
-    plan = mix(docs, id_col=id_col, **how)
-    copies = plan.select(F.col(id_col).alias("_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("_n"))
-    copies = copies.filter("_n > 0").groupBy("_id").agg(F.max("_n").alias("_n"))
-    joined = docs.join(copies, docs[id_col] == copies["_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_copy", "_n", "_id")
+def mixed(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    budget: float = 1.5,
+    cap: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every row as often as its whole text is taken (a part of half or more counts as one). The rows
+    carry their columns through the mix, so a null or repeated id is no matter."""
+    planned = marks(cut(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, budget, cap)
+    rows = taken(sized(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")), planned)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rows = rows.withColumn("copies", times).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

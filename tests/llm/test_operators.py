@@ -163,6 +163,20 @@ def test_mixing(docs):
     assert sorted(rows) == sorted(mixing.mix(docs.repartition(2)).collect())
 
 
+def test_mixed_holds_what_the_mix_takes(spark):
+    """Null and repeated ids and clashing column names too."""
+    rows = [(None if i % 5 == 0 else i % 7, " ".join(prose(i, 20)), "en", "ab"[i % 2], i) for i in range(200)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({c: mixing.F.lit("x") for c in ("id", "size", "fine", "row", "taken", "m_source", "copies")})
+    out = mixing.mixed(table)
+    count = lambda ids: sorted((k is None, k or 0, n) for k, n in ids.items() if n)
+    got, want = defaultdict(int), defaultdict(int)
+    for r in out.collect():
+        got[r["doc_id"]] += 1
+    for r in mixing.mix(table).collect():
+        want[r["doc_id"]] += int(r["taken"] / r["size"] + 0.5)
+    assert out.columns == table.columns and got[None] and count(got) == count(want)
+
+
 def test_packing_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
