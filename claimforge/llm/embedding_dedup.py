@@ -7,15 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import cut
 
-#: Rows to a cluster; rows per label and in all from which clusters are fitted; how much less similar than the nearest
-#: centroid another may be for a row to join its shard as well (the two nearest always take it).
-CLUSTER, PER_LABEL, IN_ALL, MARGIN = 1200, 3000, 60_000, 0.1
+#: Rows to a cluster; sampled rows to a centroid; how much less similar than the nearest centroid another may be for a
+#: row to join its shard as well (the two nearest always take it); clusters to a shard at most, before it is split.
+CLUSTER, SAMPLED, MARGIN, MOST = 1200, 8, 0.1, 4
+#: Centroids fitted at once: more are fitted within the clusters of a coarser fit.
+AT_ONCE = 128
 #: The graph: candidates a node is given, neighbours it keeps, and how much nearer a kept one must be to shadow another.
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 #: Search goes on through nodes that miss the threshold by no more than this.
@@ -29,6 +31,9 @@ def _unit(vectors) -> np.ndarray:
 
 def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from rows taken at even steps; centroids much alike are merged, so a dense group has one."""
+    if k > AT_ONCE:
+        own = (x @ centroids(x, AT_ONCE // 2, rounds).T).argmax(axis=1)
+        return np.concatenate([centroids(x[own == j], min(int(n), -(-k * int(n) // len(x))), rounds) for j, n in enumerate(np.bincount(own)) if 0 < n < len(x)] or [centroids(x, AT_ONCE, rounds)])
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(rounds):
         own = (x @ c.T).argmax(axis=1)
@@ -131,40 +136,61 @@ def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, block: int
 
 
 def _shards(classes: DataFrame, cluster: int) -> DataFrame:
-    """The classes, each in every shard that its similarity to the centroids puts it in."""
-    counts = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
-    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
-    crowded = counts.filter(F.col("rows") > 2 * cluster)
-    sample = classes.join(crowded, ["label", "dim"]).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LABEL).limit(IN_ALL)
-    fitted: dict[tuple, np.ndarray] = {}
-    rows = sample.select("label", "dim", "rows", "vec").toPandas()
-    for (label, dim), part in rows.groupby(["label", "dim"]):
+    """The classes, each in every shard that its similarity to the centroids puts it in; ``pair`` tells the sub-shards of
+    a shard over ``MOST`` clusters.
+
+    A crowded label is sampled by a hash threshold that follows from its count, fitted in one task, and has a centroid
+    for every ``cluster`` rows, so the centroids held are a row in ``cluster``. A shard that stays too large, as of a
+    dense group, is dealt into parts by hash, and there is a sub-shard for every two parts: no pair is out of reach.
+    """
+    by = ["label", "dim"]
+    crowded = classes.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 2 * cluster)
+    place = F.pmod(F.xxhash64(F.lit("sample"), "rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = SAMPLED * F.ceil(F.col("rows") / cluster)
+    sample = classes.join(crowded, by).filter(place < wanted / F.col("rows"))
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rep", kind="stable")
         x = _unit(part["vec"])
-        fitted[(label, dim)] = centroids(x, min(len(x) // 8 + 1, -(-int(part["rows"].iloc[0]) // cluster)))
-    held = classes.sparkSession.sparkContext.broadcast(fitted)  # IN_ALL / 8 centroids at most
+        found = centroids(x, min(len(x), -(-int(part["rows"].iloc[0]) // cluster)))
+        return pd.DataFrame({"crowd": part["crowd"].iloc[0], "centre": list(found)})
+
+    crowd = F.xxhash64(*by).alias("crowd")
+    fits = sample.select(crowd, "rows", "rep", "vec").groupBy("crowd").applyInPandas(fit, "crowd long, centre array<double>")
+    fitted = {k: np.array(part["centre"].tolist()) for k, part in fits.toPandas().groupby("crowd")}
+    held = classes.sparkSession.sparkContext.broadcast(fitted)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, shards = b.to_pandas(), []
-            for label, dim, vec in zip(t["label"], t["dim"], t["vec"], strict=True):
-                c = held.value.get((label, dim))
+            t = b.to_pandas()
+            shards: list = [[0]] * len(t)
+            for key, at in t.groupby("crowd").indices.items():
+                c = held.value.get(key)
                 if c is None:
-                    shards.append([0])
                     continue
-                sims = c @ _unit([vec])[0]
-                near = np.sort(sims)[::-1]
-                shards.append(np.flatnonzero(sims >= min(near[0] - MARGIN, near[min(1, len(near) - 1)])).tolist())
-            out = t.loc[t.index.repeat([len(s) for s in shards])].assign(shard=[k for s in shards for k in s])
-            yield pa.RecordBatch.from_pandas(out[["label", "dim", "shard", "rep", "vec"]], schema=schema, preserve_index=False)
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    rep_type = classes.schema["rep"].dataType.simpleString()
-    spark_schema = f"label {label_type}, dim int, shard int, rep {rep_type}, vec array<double>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(spark_schema))
-    return classes.select("label", "dim", "rep", "vec").mapInArrow(assign, spark_schema)
+                for some in np.split(at, range(256, len(at), 256)):
+                    sims = _unit(t["vec"].iloc[some]) @ c.T
+                    near = np.sort(sims, axis=1)[:, ::-1]
+                    bound = np.minimum(near[:, 0] - MARGIN, near[:, min(1, len(c) - 1)])
+                    for i, row in zip(some, sims >= bound[:, None], strict=True):
+                        shards[i] = np.flatnonzero(row).tolist()
+            at = pa.array(np.repeat(np.arange(len(t)), [len(k) for k in shards]))
+            out = b.take(at)
+            yield pa.RecordBatch.from_arrays([*(out.column(n) for n in names), pa.array([k for ks in shards for k in ks], pa.int32())], [*names, "shard"])
+
+    names = ["label", "dim", "rep", "vec"]
+    types = dict(classes.select(*names).dtypes)
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", shard int"
+    dealt = cut(classes.select(*names, crowd).mapInArrow(assign, schema), "vectors-dealt")
+    by.append("shard")
+    sizes = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > MOST * cluster)
+    parts = F.ceil(F.col("rows") / (MOST * cluster / 2.0)).cast("int").alias("parts")
+    split = dealt.join(F.broadcast(sizes.select(*by, parts)), by, "left")
+    part = F.pmod(F.xxhash64(F.lit("part"), "rep"), F.col("parts")).cast("int")
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, part) * F.col("parts") + F.greatest(o, part))
+    # a part alone is within each of its sub-shards with another part
+    pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(other, lambda p: p != part * F.col("parts") + part))
+    return split.select(*names, "shard", F.explode(pairs).alias("pair"))
 
 
 def near_duplicates(
@@ -215,7 +241,7 @@ def links(classes: DataFrame, threshold: float, cluster: int = CLUSTER) -> DataF
         ids, lists = part["rep"].to_numpy(), both_ways(neighbours(_unit(part["vec"])))
         return pd.DataFrame({"rep": ids, "near": [ids[a].tolist() for a in lists]})
 
-    lists = shards.groupBy("label", "dim", "shard").applyInPandas(build, f"rep {rep}, near array<{rep}>")
+    lists = shards.groupBy("label", "dim", "shard", "pair").applyInPandas(build, f"rep {rep}, near array<{rep}>")
     union = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +251,7 @@ def links(classes: DataFrame, threshold: float, cluster: int = CLUSTER) -> DataF
         a, b, s, _ = search(x, lists, threshold)
         return pd.DataFrame({"a": ids[a], "b": ids[b], "cosine": s})
 
-    walked = shards.join(union, "rep").groupBy("label", "dim", "shard").applyInPandas(walk, f"a {rep}, b {rep}, cosine double")
+    walked = shards.join(union, "rep").groupBy("label", "dim", "shard", "pair").applyInPandas(walk, f"a {rep}, b {rep}, cosine double")
     return walked.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
 
 

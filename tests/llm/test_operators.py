@@ -234,6 +234,19 @@ def test_embeddings_against_all_pairs(spark):
     assert all(r["kept"] == (r["component_id"] == r["vec_id"]) for r in got)
 
 
+def test_shards_stay_bounded(spark):
+    """A label that is one dense group, and one of many: sub-shards hold all its pairs, and none is too large."""
+    rng = np.random.default_rng(5)
+    dense, base = rng.normal(size=16), rng.normal(size=(200, 16))
+    rows = [(i, [float(x) for x in (dense if i < 600 else base[i % 200]) + rng.normal(size=16) * 0.02], int(i >= 600)) for i in range(1800)]
+    classes = spark.createDataFrame(rows, "rep long, vec array<double>, label int").withColumn("dim", embedding_dedup.F.lit(16))
+    shards = embedding_dedup._shards(classes, 40).toPandas().groupby(["label", "shard", "pair"])["rep"].apply(set)
+    assert max(map(len, shards)) <= 1.5 * embedding_dedup.MOST * 40
+    assert shards[1].index.get_level_values("shard").nunique() > 1200 // 40 // 2
+    together = {a: set().union(*(s for s in shards[0] if a in s)) for a in range(0, 600, 97)}
+    assert all(met == set(range(600)) for met in together.values())
+
+
 def test_personal_data(spark):
     texts = {1: "mail a.b@c.de, 10.0.0.7 and 999.1.1.1 or +1 (555) 010-2233", 2: "card 4111 1111 1111 1111 and 4111 1111 1111 1112", 3: None, 4: "", 5: "plain words", 6: "a\U0001f600 x@y.zz"}
     got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
