@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -193,6 +193,16 @@ def _shards(classes: DataFrame, cluster: int) -> DataFrame:
     return split.select(*names, "shard", F.explode(pairs).alias("pair"))
 
 
+def _classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str, *sums: Column) -> tuple[DataFrame, DataFrame]:
+    """``id, key`` of every row, the key null where it links with nothing, and ``key, rep, members, label, vec, dim`` of
+    equal vectors, with other ``sums`` over their rows."""
+    sound = F.coalesce(F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0), F.lit(False))
+    vec = F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0))
+    rows = vectors.select(F.col(id_col).alias("id"), F.when(sound & F.col(label_col).isNotNull(), F.struct(F.col(label_col).alias("label"), vec.alias("vec"))).alias("key"))
+    classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"), *sums)
+    return rows, classes.select("key", "rep", "members", "key.label", "key.vec", F.size("key.vec").alias("dim"), *[c for c in classes.columns[3:]])
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
@@ -207,14 +217,11 @@ def near_duplicates(
     classes counts for all their members, and members of a class link with each other. Rows whose label or vector is
     null, and vectors that are empty, zero or hold a null or non-finite number, link with nothing. Every pair reported
     has its cosine in double precision at or above the threshold; which pairs are found depends on the search (see
-    ``recall``). Rows with an equal id are rows of their own with one id. An empty table gives an empty result.
+    ``audit``). Rows with an equal id are rows of their own with one id. An empty table gives an empty result.
     """
-    sound = F.coalesce(F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0), F.lit(False))
-    vec = F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(id_col).alias("id"), F.when(sound & F.col(label_col).isNotNull(), F.struct(F.col(label_col).alias("label"), vec.alias("vec"))).alias("key"))
+    rows, classes = _classes(vectors, id_col, vec_col, label_col)
     usable = rows.filter(F.col("key").isNotNull())
-    classes = usable.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    classes = cut(classes.select("key", "rep", "members", "key.label", "key.vec", F.size("key.vec").alias("dim")), "vectors-classes")
+    classes = cut(classes, "vectors-classes")
     pairs = cut(links(classes, threshold, cluster), "vectors-links")
 
     size = classes.select("rep", "members")
@@ -266,3 +273,43 @@ def recall(vectors: pd.DataFrame, result: pd.DataFrame, threshold: float = 0.98,
         want += int(((x[labels == labels[i]] @ x[i]) >= threshold).sum()) - 1
         got += n[sound["vec_id"].iloc[i]]
     return got / want if want else 1.0
+
+
+def audit(
+    vectors: DataFrame,
+    result: DataFrame,
+    threshold: float = 0.98,
+    every: int = 50,
+    block: int = 10_000,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    label_col: str = "label",
+) -> DataFrame:
+    """One row: ``asked, wanted, found, recall``. The rows with an id divisible by ``every`` are compared with all rows
+    of their label, block by block, and the links so ``wanted`` with those that ``result`` counts. No link is reported
+    below the threshold, so the share of the counts is the recall. An asked row that links with nothing counts too."""
+    asks = F.col("id") % every == 0
+    _, classes = _classes(vectors, id_col, vec_col, label_col, F.count_if(asks).alias("asks"))
+    classes = cut(classes.drop("key"), "audit-classes")
+    blocks = lambda of, name: F.ceil(F.count_if(of) / F.lit(float(block))).cast("int").alias(name)
+    counts = classes.groupBy("label", "dim").agg(blocks(F.lit(True), "all_blocks"), blocks(F.col("asks") > 0, "asked_blocks"))
+    dealt = classes.join(F.broadcast(counts.filter("asked_blocks > 0")), ["label", "dim"])
+    own = lambda n: F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    by = ["label", "dim", "part", "asked_part"]
+    asked = dealt.filter("asks > 0").withColumn("asked_part", own("asked_blocks")).withColumn("part", each("all_blocks"))
+    asked = cut(asked.select(*by, "asks", "vec"), "audit-asked")
+    everything = dealt.withColumn("part", own("all_blocks")).withColumn("asked_part", each("asked_blocks")).select(*by, "members", "vec")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, n = _unit(a["vec"]), _unit(b["vec"]), 0
+        for at in range(0, len(x) if len(y) else 0, 512):
+            n += int((((x[at : at + 512] @ y.T) >= threshold) @ b["members"].to_numpy() * a["asks"].to_numpy()[at : at + 512]).sum())
+        return pd.DataFrame({"links": [n]})
+
+    met = asked.groupBy(*by).cogroup(everything.groupBy(*by)).applyInPandas(compare, "links long")
+    own_links = classes.agg(F.coalesce(F.sum("asks"), F.lit(0)).alias("own"))  # each asked row met itself
+    wanted = met.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links")).crossJoin(own_links).select((F.col("links") - F.col("own")).alias("wanted"))
+    found = result.filter(F.col(id_col) % every == 0).agg(F.count(F.lit(1)).alias("asked"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
+    share = F.when(F.col("wanted") > 0, F.col("found") / F.col("wanted")).otherwise(1.0)
+    return found.crossJoin(wanted).select("asked", "wanted", "found", share.alias("recall"))

@@ -48,6 +48,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_recall_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that op5_embedding_dedup finds for the rows with an id divisible by 50, against all rows of their label."""
+    return op5.audit(_table(spark, sf_dir, "embeddings"), op5_embedding_dedup(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.detect(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_embedding_dedup": op5_embedding_dedup,
+        "op5_recall_audit": op5_recall_audit,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_language": op8_language,

@@ -247,6 +247,22 @@ def test_shards_stay_bounded(spark):
     assert all(met == set(range(600)) for met in together.values())
 
 
+def test_recall_audit_over_several_shards(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, [float(x) for x in base[i % 60] + rng.normal(size=16) * 0.05], i % 2) for i in range(900)]
+    rows += [(900, rows[1][1], 1), (950, rows[1][1], 1), (951, None, 1), (1000, None, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    result = embedding_dedup.near_duplicates(table, cluster=50).cache()
+    sound = [(i, np.array(v) / np.linalg.norm(v), y) for i, v, y in rows if v]
+    wanted = sum(float(x @ z) >= 0.98 for i, x, y in sound if i % 50 == 0 for j, z, w in sound if y == w and i != j)
+    got = embedding_dedup.audit(table, result, block=100).first()
+    assert (got["asked"], got["wanted"]) == (21, wanted) and wanted > 20
+    assert 0.9 <= got["recall"] <= 1
+    none = result.withColumn("n_links", embedding_dedup.F.lit(0))
+    assert embedding_dedup.audit(table, none, block=100).first()["recall"] == 0
+
+
 def test_personal_data(spark):
     texts = {1: "mail a.b@c.de, 10.0.0.7 and 999.1.1.1 or +1 (555) 010-2233", 2: "card 4111 1111 1111 1111 and 4111 1111 1111 1112", 3: None, 4: "", 5: "plain words", 6: "a\U0001f600 x@y.zz"}
     got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
