@@ -82,10 +82,9 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
 def filling(room: int, sizes: list[int], left: dict[int, int], nodes: int = NODES) -> tuple[int, ...]:
     """The sizes (largest first) that fill ``room`` with least waste, from ``left`` (size: how many).
 
-    Starts from best fit, the largest that still goes in, as incumbent. A branch ends when all that is left for it
-    couldn't beat the incumbent's waste. A filling to which a remaining size could be added, or in which two sizes
-    could be replaced by one that is their sum, is dominated: the first is never closed with room for another, and the
-    second never comes first, as single sizes are tried before their parts.
+    Starts from best fit, the largest that still goes in, as incumbent, and tries larger sizes first. A search ends at
+    no waste or after ``nodes``, and looks at seven sizes beside the largest piece at most; branches are not bounded by
+    the waste that they could reach, and dominated fillings are not pruned.
     """
     best: list = [room, ()]
 
