@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: MinHash signatures of character shingles, banding, exact verification, star components."""
+"""Fuzzy line dedup: MinHash signatures of character shingles, banding, exact verification, components by union and find."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .partners import linked
-from .scratch import cut
+from .partners import completion, linked, ordered, prefixes
+from .scratch import cut, free
+from .skew import salted_join
 
 #: Characters of a shingle; least length of a line compared by such shingles; similarity of near copies.
 WIDTH, LEAST, SIMILAR = 10, 24, 0.8
@@ -17,6 +18,8 @@ NARROW = 4
 BANDS, ROWS = 8, 3
 #: Least filled buckets of a signature, below which a band with a single filled bucket is a key too.
 FILLED = 14
+#: A bucket's least value is under so many times its mean but for one in e**5.
+LOW = 5
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,51 +29,57 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "line_no", line.alias("line"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
 
 
-def _shingle_set(line: str, width: int) -> Column:
-    """Hashes of the distinct shingles of a line. Four bytes to a character make each a slice of the bytes; the outer
-    lambda holds them, so a line is coded once."""
+def _shingles(line: str, width: int) -> Column:
+    """Hashes of the shingles of a line, with repeats. Four bytes to a character make each a slice of the bytes; the
+    outer lambda holds them, so a line is coded once."""
     places = lambda b: F.sequence(F.lit(1), F.length(b) - 4 * width + 1, F.lit(4))
     slices = lambda b: F.transform(places(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * width))))
     hashes = F.transform(F.array(F.encode(F.col(line), "UTF-32")), slices)[0]
-    return F.when(F.length(line) >= width, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.length(line) >= width, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``k1, n, least``: number of distinct shingles and one-permutation MinHash of all of them. The high bits of a
-    shingle's hash name its bucket, so in the sorted hashes each bucket's least value is the first of its run."""
-    hashes = lines.select("k1", F.sort_array(_shingle_set("line", width)).alias("h"))
-    starts = F.filter("h", lambda x, i: (i == 0) | (_part(x, BANDS * ROWS) != _part(F.get("h", i - 1), BANDS * ROWS)))
-    return hashes.select("k1", F.size("h").alias("n"), starts.alias("least"))
+def spread_shingles(lines: DataFrame, width: int, *keys: str) -> DataFrame:
+    """``keys, h``: a row for the hash of every shingle of ``line``, with repeats. Rows of numbers, in generated code."""
+    coded = lines.filter(F.length("line") >= width).select(*keys, F.encode("line", "UTF-32").alias("coded"), (F.length("line") - width).alias("last"))
+    places = coded.select(*keys, "coded", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("at"))
+    return places.select(*keys, F.xxhash64(F.substring("coded", 4 * F.col("at") + 1, F.lit(4 * width))).alias("h"))
 
 
-def _part(h: Column, parts: int) -> Column:
-    """Which of as many equal parts of the range of 64-bit hashes ``h`` is in."""
-    return F.shiftright((F.shiftright(h, 40) + 2**23) * parts, 24)
+def bands(lines: DataFrame, width: int, kind: int = 0) -> DataFrame:
+    """``k1, k2, tokens``: the band keys of each line's one-permutation MinHash.
 
-
-def bands(signed: DataFrame, kind: int = 0) -> DataFrame:
-    """Distinct ``token, k1, n``: the band keys of each line. Bands without a shingle say nothing, and those with one say
-    little, so they are keys of very short lines only. All copies of a line add the same rows, which fall together
-    within their tasks first."""
-
-    def within(band: int) -> Column:
-        return F.filter("least", lambda x: _part(x, BANDS) == band)
-
-    own = [within(b) for b in range(BANDS)]
-    keys = F.array(*[F.when((F.size(o) > 1) | ((F.size(o) == 1) & (F.size("least") < FILLED)), F.xxhash64(F.lit(kind * BANDS + b), o)) for b, o in enumerate(own)])
-    return signed.select("k1", "n", F.explode(F.array_compact(keys)).alias("token")).distinct()
+    The high bits of a shingle's hash name its bucket, the low ones are its value, and each bucket's least value is a
+    plain minimum over the rows of the line's shingles, so copies of a line fall together within their tasks. Values over
+    ``LOW`` times the mean of a bucket's least one aren't looked at; a bucket with no other counts as empty, as it mostly
+    does in near copies too. Bands without a shingle say nothing, and those with one say little, so they are keys of very
+    short lines only.
+    """
+    buckets = BANDS * ROWS
+    h = F.col("h")
+    part = F.shiftright((F.shiftright(h, 40) + 2**23) * buckets, 24).cast("int")
+    value = h.bitwiseAND(2**30 - 1)
+    low = value * F.col("size") < LOW * buckets * 2**30
+    lines = lines.select("line", "k1", "k2", F.length("line").alias("size"))
+    rows = spread_shingles(lines, width, "k1", "k2", "size").filter(low).select("k1", "k2", part.alias("part"), value.cast("int").alias("value"))
+    signed = rows.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("part") == j, F.col("value"))).alias(f"m{j}") for j in range(buckets)])
+    own = [[F.col(f"m{b * ROWS + r}") for r in range(ROWS)] for b in range(BANDS)]
+    filled = lambda columns: sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
+    few = filled([c for o in own for c in o]) < FILLED
+    keys = [F.when((filled(o) > 1) | ((filled(o) == 1) & few), F.xxhash64(F.lit(kind * BANDS + b), *[F.coalesce(c, F.lit(-1)) for c in o])) for b, o in enumerate(own)]
+    return signed.select("k1", "k2", F.array_compact(F.array(*keys)).alias("tokens"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float, least: int = LEAST, narrow: int = NARROW) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similar`` at least, computed exactly:
-    ``narrow`` shingles if one of the lines is shorter than ``least``."""
+    ``narrow`` shingles if one of the lines is shorter than ``least``. A rep that is in very many pairs is dealt to many
+    tasks."""
     short = F.least(F.length("la"), F.length("lb")) < least
-    sets = lambda line: F.when(short, _shingle_set(line, narrow)).otherwise(_shingle_set(line, width))
-    a = texts.select(F.col("k1").alias("a"), F.col("line").alias("la"))
-    b = texts.select(F.col("k1").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.filter(F.col("common") >= similar * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    sets = lambda line: F.when(short, _shingles(line, narrow)).otherwise(_shingles(line, width))
+    a = texts.select(F.col("rep").alias("a"), F.col("line").alias("la"))
+    b = texts.select(F.col("rep").alias("b"), F.col("line").alias("lb"))
+    both = salted_join(salted_join(pairs, a, ["a"]), b, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    both = both.select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
+    return both.filter(F.size(F.array_intersect("sa", "sb")) >= similar * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
 def fuzzy_lines(
@@ -95,33 +104,46 @@ def fuzzy_lines(
     everything = lines_of(docs, id_col, text_col)
     visible, least = F.col("line").rlike(r"\S"), max(least, width)
     lines = everything.filter(visible)
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("group_lines"))
-    classes = cut(classes, "lines-classes")
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "lines-classes")
     # A line shorter than ``least`` has so few narrow shingles that a longer one with more than ``most`` can't be similar;
     # the start of a line has no more of them than the whole.
     most = int((least - narrow) / similar + 1e-9)
-    few = F.when(F.length("line") < least, F.length("line") >= narrow).otherwise(
-        F.size(_shingle_set("start", narrow)) <= most
-    )
-    brief = lines.select("k1", "line", F.substring("line", 1, 2 * least).alias("start")).filter(few)
-    wide = bands(signatures(lines.filter(F.length("line") >= least), width))
-    tokens = wide.unionByName(bands(signatures(brief, narrow).filter(F.col("n") <= most), 1))
-    tokens = cut(tokens, "lines-tokens")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
-    met = cut(tokens.join(shared.select("token"), "token"), "lines-bands")
-    ids = met.select("k1").distinct()
-    texts = cut(lines.select("k1", "line").join(ids, "k1", "left_semi").dropDuplicates(["k1"]), "lines-texts")
-    postings = met.select("token", F.col("k1").alias("rep"), F.lit(0).alias("core"), F.col("n").alias("about"))
-    near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
-    links = linked(postings, near, lambda pairs: similar_pairs(pairs, texts, width, similar, least, narrow))
-    found = components(links).withColumnRenamed("id", "k1")
-    whole = classes.join(found, "k1", "left").withColumn("component", F.coalesce("component_id", "k1"))
-    whole = cut(whole.select("k1", "k2", "first", "group_lines", "component"), "lines-components")
-    kept = whole.groupBy("component").agg(F.min("first").alias("keep"), F.sum("group_lines").alias("group_lines"))
-    fate = whole.select("k1", "k2", "component").join(kept, "component").select("k1", "k2", "keep", "group_lines")
-    fate = cut(fate, "lines-fate")
+    few = lambda line: F.size(F.array_distinct(_shingles(line, narrow))) <= most
+    start = F.substring("line", 1, 2 * least)
+    brief = lines.withColumn("start", start).filter(F.when(F.length("line") < least, F.length("line") >= narrow).otherwise(few("start") & few("line")))
+    signed = bands(lines.filter(F.length("line") >= least), width).unionByName(bands(brief.select("line", "k1", "k2"), narrow, 1))
+    signed = cut(signed.join(classes.select("k1", "k2", "rep", "n"), ["k1", "k2"]).select("rep", F.col("n").alias("core"), "tokens"), "lines-bands")
+    tokens = signed.select("rep", "core", F.explode("tokens").alias("token"))
+    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lines-shared")
+    postings = salted_join(tokens, shared.select("token"), ["token"], shared)
+    postings = cut(postings.select("token", "rep", "core", F.lit(0).alias("about")), "lines-postings")
+    free(signed, shared)
+
+    place = F.xxhash64("id", "line_no").alias("place")
+    met = postings.select("rep").distinct().join(classes, "rep").select("rep", "k1", "k2", F.xxhash64("first.id", "first.line_no").alias("place"))
+    texts = lines.select("k1", "k2", place, "line").join(met, ["k1", "k2", "place"]).dropDuplicates(["k1", "k2", "place"])
+    texts = cut(texts.select("rep", "line"), "lines-texts")
+    verify = lambda pairs: similar_pairs(pairs, texts, width, similar, least, narrow)
+    links, left = linked(postings, verify)
+    if left is not None:
+        # One table for both kinds of shingles: a rep's low bit tells the kind.
+        percent, rest = int(100 * similar), texts.join(left, "rep")
+        long = spread_shingles(rest.filter(F.length("line") >= least), width, "rep", "component").withColumn("kind", F.lit(0))
+        short = spread_shingles(rest.filter((F.length("line") < least) | few("line")), narrow, "rep", "component").withColumn("kind", F.lit(1))
+        both = long.unionByName(short).select((2 * F.col("rep") + F.col("kind")).alias("rep"), "component", F.xxhash64("h", "kind").alias("token"))
+        spread = cut(both.distinct(), "lines-left")
+        sizes = spread.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+        pairs = completion(prefixes(ordered(spread.join(sizes, "rep"), percent), percent), percent)
+        pairs = cut(pairs.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")).distinct(), "lines-pairs")
+        links = links.unionByName(cut(verify(pairs), "lines-links"))
+    found = components(links).withColumnRenamed("id", "rep")
+    whole = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component_id", "rep"))
+    whole = whole.select("k1", "k2", "first", "n", "component")
+    kept = whole.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("group_lines"))
+    fate = cut(whole.select("k1", "k2", "n", "component").join(kept, "component").select("k1", "k2", "n", "keep", "group_lines"), "lines-fate")
     judged = everything.select("id", "line_no", "k1", "k2", visible.alias("visible"))
-    out = judged.filter("visible").join(fate, ["k1", "k2"]).select("id", "line_no", "keep", "group_lines")
+    out = salted_join(judged.filter("visible"), fate.drop("n"), ["k1", "k2"], fate).select("id", "line_no", "keep", "group_lines")
     blank = judged.filter("NOT visible").select("id", "line_no", F.struct("id", "line_no").alias("keep"), F.lit(1).cast("long").alias("group_lines"))
     return out.unionByName(blank).select(
         F.col("id").alias(id_col),

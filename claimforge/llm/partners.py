@@ -1,56 +1,134 @@
-"""Which pairs of a posting table to compare: a partner a round for everyone, then what is left in full."""
+"""Which pairs of a posting table to compare: hubs first, then an exact completion of what they leave apart."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import cut, free
+from .skew import salted_join
+
+#: Rounds of hubs before the completion; how much larger the next bucket of set sizes is.
+ROUNDS, STEP = 3, 1.1
 
 
 def linked(
     postings: DataFrame,
-    may_link: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
-    rounds: int = 4,
-) -> DataFrame:
-    """Links ``a < b`` that connect whatever candidates connect, from ``token, rep, core, about``.
-
-    Two reps are candidates when they share a token and ``may_link`` of their ``about`` columns holds; ``verify`` keeps
-    those of a pair table that link. In each round a rep tries one partner: of the reps that head its tokens' lists (the
-    highest ``core`` first, by component and then in another order each round), the one that heads most of them. Tokens
-    all of whose reps are then in one component are done with. What is left is compared in full, across components
-    only: a group of thousands of near copies never becomes all its pairs, and no link between components is lost.
+    may_link: Callable[[Column, Column], Column] | None = None,
+    rounds: int = ROUNDS,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Links from ``token, rep, core, about``, and ``rep, component`` of the reps that still share a token with a rep of
+    another component that they haven't been compared with (null if there is none).
+
+    Two reps are candidates when they share a token and ``may_link`` of their ``about`` holds; ``verify`` keeps the pairs
+    ``a, b`` that link. Each token has a hub, the member of highest ``core``. In the first round a rep tries one hub, the
+    one that most of its tokens have. In each later round all members of a token that aren't in its hub's component try
+    the hub, which then leaves the token: nothing is lost by that, and the pairs of a round are fewer than the postings.
     """
-    spark = postings.sparkSession
-    links = tried = spark.createDataFrame([], postings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).schema)
-    found = postings.select("rep").distinct().withColumn("component", F.col("rep"))
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    found = cut(postings.select("rep").distinct().withColumn("component", F.col("rep")), "partners-found")
+    rows = postings
     for k in range(rounds + 1):
-        posted = postings.join(found, "rep")
-        mixed = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        open_rows = cut(posted.join(mixed.select("token"), "token"), "partners-open")
-        if k == rounds or open_rows.isEmpty():
-            break
-        rank = F.struct(*([F.xxhash64("component", F.lit(k))] if k else []), -F.col("core"), F.col("rep"))
-        heads = open_rows.groupBy("token").agg(F.min_by(F.struct("rep", "component", "about"), rank).alias("head"))
-        votes = open_rows.join(heads, "token").filter("component != head.component").filter(may_link(F.col("about"), F.col("head.about")))
-        votes = votes.groupBy("rep", F.col("head.rep").alias("other")).count()
-        best = votes.groupBy("rep").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        pairs = best.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "partners-pairs")
-        if pairs.isEmpty():
+        placed = rows.join(found, "rep")
+        rank = F.struct(-F.col("core"), F.xxhash64("rep", F.lit(k)), F.col("rep"))
+        heads = placed.groupBy("token").agg(
+            F.min_by(F.struct("rep", "component", "about"), rank).alias("head"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        heads = cut(heads.filter("low < high").select("token", "head", "n"), "partners-heads")
+        if heads.isEmpty():
+            return links if links is not None else _no_links(postings), None
+        met = cut(salted_join(placed, heads.select("token", "head"), ["token"], heads), "partners-met")
+        apart = met.filter(F.col("component") != F.col("head.component"))
+        if may_link is not None:
+            apart = apart.filter(may_link(F.col("about"), F.col("head.about")))
+        pairs = apart.select("rep", F.col("head.rep").alias("other"))
+        if k == 0:
+            votes = pairs.groupBy("rep", "other").count()
+            pairs = votes.groupBy("rep").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "partners-pairs")
+        if k and pairs.isEmpty():
+            rows = met.filter("rep != head.rep").select("token", "rep", "core", "about")
             continue
-        tried = tried.unionByName(pairs)
-        links = cut(links.unionByName(verify(pairs)), "partners-links")
-        own = components(links).withColumnRenamed("id", "rep")
-        ids = postings.select("rep").distinct().join(own, "rep", "left")
-        found = cut(ids.select("rep", F.coalesce("component_id", "rep").alias("component")), "partners-found")
-    left = open_rows.select("token", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("about").alias("xa"))
-    right = open_rows.select("token", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("about").alias("xb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(F.col("xa"), F.col("xb"))
-    pairs = left.join(right, (left["token"] == right["token"]) & apart).select("a", "b").distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "partners-pairs")
-    return links if pairs.isEmpty() else links.unionByName(verify(pairs))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = cut(verify(pairs), "partners-links")
+        links = new if links is None else links.unionByName(new)
+        found = found if new.isEmpty() else _joined(found, new)
+        rows = met.select("token", "rep", "core", "about") if k == 0 else met.filter("rep != head.rep").select("token", "rep", "core", "about")
+    left = rows.join(found, "rep")
+    open_tokens = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    open_tokens = cut(open_tokens.select("token", "n"), "partners-open")
+    if open_tokens.isEmpty():
+        return links, None
+    return links, cut(salted_join(left, open_tokens.select("token"), ["token"], open_tokens).select("rep", "component").distinct(), "partners-left")
+
+
+def _no_links(postings: DataFrame) -> DataFrame:
+    return postings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, component`` after ``links``: the components are contracted to nodes first, so only what changes is walked."""
+    ends = links.join(found.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a")
+    ends = ends.join(found.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "component")
+    out = found.join(moved, "component", "left").select("rep", F.coalesce("component_id", "component").alias("component"))
+    out = cut(out, "partners-found")
+    free(found)
+    return out
+
+
+def ordered(spread: DataFrame, percent: int) -> DataFrame:
+    """``rep, n, component, token, df, place, core`` from ``rep, n, component, token``, the distinct tokens of each set:
+    its place in the global order, by document frequency and then token, for tokens that two sets have at least. Sets
+    without enough such tokens for a link are left out; ``core`` is high where a set's tokens are common."""
+    counts = cut(spread.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "order-counts")
+    rows = salted_join(spread, counts.select("token", F.col("n").alias("df")), ["token"], counts)
+    rows = cut(rows.select("rep", "n", "component", "token", "df"), "order-tokens")
+    whole = Window.partitionBy("rep")
+    rows = rows.withColumn("m", F.count(F.lit(1)).over(whole)).withColumn("core", F.sum("df").over(whole) / F.col("n"))
+    rows = rows.filter(100 * F.col("m") >= percent * F.col("n"))
+    place = F.row_number().over(whole.orderBy("df", "token")) + F.col("n") - F.col("m")
+    out = cut(rows.withColumn("place", place).drop("m"), "order-places")
+    return out
+
+
+def prefixes(places: DataFrame, percent: int) -> DataFrame:
+    """The tokens among the first ``n - ceil(percent n / 100) + 1`` of each set: two sets that link share one of them."""
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return places.filter(F.col("place") <= last).withColumn("rest", F.col("n") - F.col("place") + 1)
+
+
+def completion(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs ``a, b`` that may link across components, from ``token, rep, component, n, rest``.
+
+    ``rest`` is what a set has from the token on in the order. If the token is the first that two sets share, they have
+    ``least(rest, rest)`` tokens in common at most, so a row asks only for partners of the sizes that leave room for a
+    link: a set that differs from all others in a tenth of its own asks for none of them. Of each token's rows those of
+    its largest component don't ask, so a group of near copies, once joined, never meets itself.
+    """
+    p = percent / 100.0
+    sizes = prefix.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    tokens = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    tokens = cut(tokens.filter("parts > 1"), "completion-tokens")
+    rows = cut(salted_join(prefix.select("token", "rep", "component", F.col("n").alias("size"), "rest"), tokens.select("token", "main"), ["token"], tokens), "completion-rows")
+    bucket = lambda size: F.floor(F.log(size) / F.log(F.lit(STEP))).cast("int")
+    least = F.col("size") * p
+    most = F.least(F.col("size") / p, F.col("rest") * (1 + p) / p - F.col("size"))
+    asks = rows.filter("component != main").withColumn("low", bucket(least - 1e-6)).withColumn("high", bucket(most + 1e-6))
+    asks = asks.filter(F.col("low") <= F.col("high")).withColumn("bucket", F.explode(F.sequence("low", "high")))
+    asks = asks.select("token", "bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    told = rows.select("token", bucket(F.col("size") + 0.0).alias("bucket"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    met = salted_join(told, asks, ["token", "bucket"]).filter(F.col("ca") != F.col("cb"))
+    met = met.filter((100 + percent) * F.least("ra", "rb") >= percent * (F.col("na") + F.col("nb")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
