@@ -8,17 +8,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .partners import linked
-from .scratch import cut
+from .partners import completion, linked, ordered, prefixes
+from .scratch import cut, free
+from .skew import salted_join
 
 #: Bits of the map of shingles that occur more than once: 16 MB, whatever the input. A fuller map only prunes less.
 MAP_BITS = 27
-#: Fragments of the global order; rounds that try one partner per document before all that is left is compared.
-FRAGMENTS, ROUNDS = 4, 4
+#: Fragments of the global order.
+FRAGMENTS = 4
 #: Shingles a task gathers before it sends them on.
 CHUNK = 4_000_000
 
@@ -51,7 +52,7 @@ def repeated_map(texts: DataFrame, n: int) -> np.ndarray:
     """
     spark = texts.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    range_bits = min(14, max(7, (2 * wide - 1).bit_length()))
+    range_bits = min(20, max(7, (2 * wide - 1).bit_length()))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -114,7 +115,8 @@ def overlap_links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataF
     """Those of ``pairs`` (a, b) that link: each fragment's common shingles are counted by themselves, then summed."""
     left = fragments.select(F.col("rep").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("pa"))
     right = fragments.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("pb"))
-    counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
+    met = salted_join(salted_join(pairs, left, ["a"]), right, ["b", "fragment"])
+    counted = met.select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("common"))
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
@@ -125,49 +127,61 @@ def _may_link(x: Column, y: Column, percent: int) -> Column:
     return (100 + percent) * F.least(x["rest"], y["rest"]) >= percent * (x["n"] + y["n"])
 
 
+def cut_order(places: DataFrame, count: int) -> DataFrame:
+    """``rep, n, fragment, part``: the sets cut vertically into ``count`` fragments of the global order.
+
+    The order is by document frequency, then token; a frequency and the token's place on the line of hashes make one
+    number of the two, whose quantiles are the cuts, so ties of the frequency are cut as well."""
+    key = F.col("df") + (F.shiftright("token", 11) + F.lit(2.0**52)) / F.lit(2.0**53)
+    rows = places.select("rep", "n", "token", key.alias("key"))
+    cuts = rows.stat.approxQuantile("key", [k / count for k in range(1, count)], 0.01)
+    fragment = sum(((F.col("key") > c).cast("int") for c in cuts), F.lit(0))
+    return rows.groupBy("rep", "n", fragment.alias("fragment")).agg(F.collect_list("token").alias("part"))
+
+
 def class_links(classes: DataFrame, percent: int) -> DataFrame:
     """Links that connect whatever is connected, from ``rep, n, tokens``, one row per distinct set.
 
     The global order is by document frequency, then hash; two linked sets share a shingle among the first
-    ``n - ceil(percent n / 100) + 1`` of either, so these are the posting lists; heads are the sets whose shingles are
-    the most common, as those of the text that the others were made from. Sets are cut into fragments of that order.
+    ``n - ceil(percent n / 100) + 1`` of either, so these are the posting lists; hubs are the sets whose shingles are
+    the most common, as those of the text that the others were made from. What hubs leave apart is completed exactly.
     """
-    spread = classes.select("rep", "n", F.explode("tokens").alias("token"))
-    rows = spread.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
-    rows = cut(rows, "ngram-tokens")
-    enough = rows.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("m"), (F.sum("df") / F.col("n")).alias("core")).filter(100 * F.col("m") >= percent * F.col("n"))
-    rows = rows.join(enough.select("rep", "m", "core"), "rep")
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token")) + F.col("n") - F.col("m")
-    rows = cut(rows.withColumn("place", place), "ngram-order")
-
-    cuts = rows.stat.approxQuantile("df", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 0.01)
-    fragment = sum(((F.col("df") > c).cast("int") for c in cuts), F.lit(0))
-    if len(set(cuts)) < len(cuts):  # most shingles are as rare: fragments by hash within the order's ties
-        fragment = F.pmod(F.shiftrightunsigned("token", 40), F.lit(FRAGMENTS)).cast("int")
-    fragments = cut(rows.groupBy("rep", "n", fragment.alias("fragment")).agg(F.collect_list("token").alias("part")), "ngram-fragments")
-    about = F.struct("n", (F.col("n") - F.col("place") + 1).alias("rest"))
-    prefix = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("token", "rep", "core", about.alias("about"))
-    prefix = cut(prefix, "ngram-prefix")
-
-    return linked(prefix, lambda x, y: _may_link(x, y, percent), lambda pairs: overlap_links(pairs, fragments, percent), ROUNDS)
+    spread = classes.select("rep", "n", F.col("rep").alias("component"), F.explode("tokens").alias("token"))
+    places = ordered(spread, percent)
+    fragments = cut(cut_order(places, FRAGMENTS), "ngram-fragments")
+    about = F.struct("n", "rest").alias("about")
+    prefix = cut(prefixes(places, percent).select("token", "rep", "core", "n", "rest"), "ngram-prefix")
+    free(places)
+    verify = lambda pairs: overlap_links(pairs, fragments, percent)
+    links, left = linked(prefix.select("token", "rep", "core", about), verify, lambda x, y: _may_link(x, y, percent))
+    if left is not None:
+        pairs = completion(prefix.join(left, "rep"), percent)
+        links = links.unionByName(verify(cut(pairs, "ngram-pairs")))
+    return links
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: ``id_col, n_shingles, component_id``.
 
     Documents link when the Jaccard similarity of their sets of ``n``-word shingles is at least ``percent`` hundredths;
-    ``component_id`` is the smallest id reachable by links. Equal sets are one class from the start. Null texts and
-    texts without a word have no shingles and link with nothing. Rows with an equal id and text count as one document
-    each and share a component; rows with a null id keep a null component unless they equal or link with others. An
-    empty table gives an empty result. Other columns are not read.
+    ``component_id`` is the smallest id reachable by links. Equal sets are one class from the start, told by a 128-bit
+    digest, whatever their ids. Null texts and texts without a word have no shingles and link with nothing. Rows with an
+    equal id are documents of their own; rows with a null id keep a null component unless they equal or link with
+    others. An empty table gives an empty result. Other columns are not read.
     """
     rows = cut(sets(_texts(docs, id_col, text_col), n, percent), "ngram-sets")
     some = rows.filter("n > 0")
-    grouped = cut(some.groupBy("digest", "n").agg(F.min("id").alias("rep")), "ngram-classes")
-    likely = some.filter(F.col("tokens").isNotNull()).join(grouped.withColumnRenamed("rep", "id").drop("n"), ["digest", "id"], "left_semi")
-    likely = cut(likely.dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "tokens"), "ngram-likely")
+    grouped = some.groupBy("digest", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    grouped = cut(grouped.withColumn("rep", F.monotonically_increasing_id()), "ngram-classes")
+    likely = some.filter(F.col("tokens").isNotNull()).select("digest", "n", "tokens").dropDuplicates(["digest", "n"])
+    likely = cut(likely.join(grouped, ["digest", "n"]).select("rep", "n", "tokens"), "ngram-likely")
     joined = components(class_links(likely, percent)).withColumnRenamed("id", "rep")
-    whole = grouped.join(joined, "rep", "left").select("digest", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    out = some.select("id", "n", "digest").join(whole, ["digest", "n"]).select("id", "n", "component_id")
-    none = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.unionByName(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    whole = grouped.join(joined, "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
+    least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
+    fate = cut(whole.join(least, "component").select("digest", "n", F.col("copies").alias("_copies"), "component_id"), "ngram-fate")
+    counts = fate.select("digest", F.col("n").alias("_n"), F.col("_copies").alias("n"))
+    asked = some.select("id", F.col("n").alias("_n"), "digest")
+    out = salted_join(asked, fate.select("digest", F.col("n").alias("_n"), "component_id"), ["digest", "_n"], counts)
+    none = rows.filter("n = 0").select("id", F.col("n").alias("_n"), F.col("id").alias("component_id"))
+    out = out.select("id", "_n", "component_id").unionByName(none)
+    return out.select(F.col("id").alias(id_col), F.col("_n").alias("n_shingles"), "component_id")
