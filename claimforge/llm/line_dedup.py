@@ -71,13 +71,12 @@ def bands(lines: DataFrame, width: int, kind: int = 0) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float, least: int = LEAST, narrow: int = NARROW) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``similar`` at least, computed exactly:
-    ``narrow`` shingles if one of the lines is shorter than ``least``. A rep that is in very many pairs is dealt to many
-    tasks."""
+    ``narrow`` shingles if one of the lines is shorter than ``least``. A ``b`` of very many pairs is dealt to many tasks."""
     short = F.least(F.length("la"), F.length("lb")) < least
     sets = lambda line: F.when(short, _shingles(line, narrow)).otherwise(_shingles(line, width))
     a = texts.select(F.col("rep").alias("a"), F.col("line").alias("la"))
     b = texts.select(F.col("rep").alias("b"), F.col("line").alias("lb"))
-    both = salted_join(salted_join(pairs, a, ["a"]), b, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    both = salted_join(pairs.join(a, "a"), b, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
     both = both.select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
     return both.filter(F.size(F.array_intersect("sa", "sb")) >= similar * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
@@ -129,12 +128,13 @@ def fuzzy_lines(
     if left is not None:
         # One table for both kinds of shingles: a rep's low bit tells the kind.
         percent, rest = int(100 * similar), texts.join(left, "rep")
-        long = spread_shingles(rest.filter(F.length("line") >= least), width, "rep", "component").withColumn("kind", F.lit(0))
-        short = spread_shingles(rest.filter((F.length("line") < least) | few("line")), narrow, "rep", "component").withColumn("kind", F.lit(1))
-        both = long.unionByName(short).select((2 * F.col("rep") + F.col("kind")).alias("rep"), "component", F.xxhash64("h", "kind").alias("token"))
-        spread = cut(both.distinct(), "lines-left")
-        sizes = spread.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-        pairs = completion(prefixes(ordered(spread.join(sizes, "rep"), percent), percent), percent)
+        sets = lambda kind, w: F.struct(F.lit(kind).alias("kind"), F.array_distinct(_shingles("line", w)).alias("h"))
+        brief = (F.length("line") < least) | few("line")
+        kinds = F.array_compact(F.array(F.when(F.length("line") >= least, sets(0, width)), F.when(brief, sets(1, narrow))))
+        spread = rest.select("rep", "component", F.explode(kinds).alias("of"))
+        spread = spread.select((2 * F.col("rep") + F.col("of.kind")).alias("rep"), "component", F.size("of.h").alias("n"), "of.kind", F.explode("of.h").alias("h"))
+        spread = cut(spread.select("rep", "component", "n", F.xxhash64("h", "kind").alias("token")), "lines-left")
+        pairs = completion(prefixes(ordered(spread, percent), percent), percent)
         pairs = cut(pairs.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")).distinct(), "lines-pairs")
         links = links.unionByName(cut(verify(pairs), "lines-links"))
     found = components(links).withColumnRenamed("id", "rep")

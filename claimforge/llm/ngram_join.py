@@ -147,7 +147,7 @@ def class_links(classes: DataFrame, percent: int) -> DataFrame:
     the most common, as those of the text that the others were made from. What hubs leave apart is completed exactly.
     """
     spread = classes.select("rep", "n", F.col("rep").alias("component"), F.explode("tokens").alias("token"))
-    places = ordered(spread, percent)
+    places = cut(ordered(spread, percent), "ngram-places")
     fragments = cut(cut_order(places, FRAGMENTS), "ngram-fragments")
     about = F.struct("n", "rest").alias("about")
     prefix = cut(prefixes(places, percent).select("token", "rep", "core", "n", "rest"), "ngram-prefix")

@@ -7,85 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
 from .scratch import cut, free
 from .skew import salted_join
 
-#: Rounds of hubs before the completion; how much larger the next bucket of set sizes is.
-ROUNDS, STEP = 3, 1.1
+#: Hubs of a token in the second round; how much larger the next bucket of set sizes is.
+HUBS, STEP = 4, 1.1
 
 
 def linked(
     postings: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[Column, Column], Column] | None = None,
-    rounds: int = ROUNDS,
+    hubs: int = HUBS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Links from ``token, rep, core, about``, and ``rep, component`` of the reps that still share a token with a rep of
     another component that they haven't been compared with (null if there is none).
 
     Two reps are candidates when they share a token and ``may_link`` of their ``about`` holds; ``verify`` keeps the pairs
-    ``a, b`` that link. Each token has a hub, the member of highest ``core``. In the first round a rep tries one hub, the
-    one that most of its tokens have. In each later round all members of a token that aren't in its hub's component try
-    the hub, which then leaves the token: nothing is lost by that, and the pairs of a round are fewer than the postings.
+    ``a, b`` that link. First, a rep tries one hub: of the members of highest ``core`` of its tokens, the one that heads
+    most of them. Then all members of a token try its members of highest ``core`` among each of ``hubs`` parts, unless
+    they are linked by then. Those hubs leave the token, and nothing is lost by that: the pairs of both rounds are at
+    most ``hubs + 1`` times the postings.
     """
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    found = cut(postings.select("rep").distinct().withColumn("component", F.col("rep")), "partners-found")
-    rows = postings
-    for k in range(rounds + 1):
-        placed = rows.join(found, "rep")
-        rank = F.struct(-F.col("core"), F.xxhash64("rep", F.lit(k)), F.col("rep"))
-        heads = placed.groupBy("token").agg(
-            F.min_by(F.struct("rep", "component", "about"), rank).alias("head"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        )
-        heads = cut(heads.filter("low < high").select("token", "head", "n"), "partners-heads")
-        if heads.isEmpty():
-            return links if links is not None else _no_links(postings), None
-        met = cut(salted_join(placed, heads.select("token", "head"), ["token"], heads), "partners-met")
-        apart = met.filter(F.col("component") != F.col("head.component"))
-        if may_link is not None:
-            apart = apart.filter(may_link(F.col("about"), F.col("head.about")))
-        pairs = apart.select("rep", F.col("head.rep").alias("other"))
-        if k == 0:
-            votes = pairs.groupBy("rep", "other").count()
-            pairs = votes.groupBy("rep").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "partners-pairs")
-        if k and pairs.isEmpty():
-            rows = met.filter("rep != head.rep").select("token", "rep", "core", "about")
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = cut(verify(pairs), "partners-links")
-        links = new if links is None else links.unionByName(new)
-        found = found if new.isEmpty() else _joined(found, new)
-        rows = met.select("token", "rep", "core", "about") if k == 0 else met.filter("rep != head.rep").select("token", "rep", "core", "about")
-    left = rows.join(found, "rep")
-    open_tokens = left.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    open_tokens = cut(open_tokens.select("token", "n"), "partners-open")
-    if open_tokens.isEmpty():
-        return links, None
-    return links, cut(salted_join(left, open_tokens.select("token"), ["token"], open_tokens).select("rep", "component").distinct(), "partners-left")
-
-
-def _no_links(postings: DataFrame) -> DataFrame:
-    return postings.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-
-
-def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, component`` after ``links``: the components are contracted to nodes first, so only what changes is walked."""
-    ends = links.join(found.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a")
-    ends = ends.join(found.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("id", "component")
-    out = found.join(moved, "component", "left").select("rep", F.coalesce("component_id", "component").alias("component"))
-    out = cut(out, "partners-found")
-    free(found)
-    return out
+    best = lambda *more: F.min_by(F.struct("rep", "about", *more), F.struct(-F.col("core"), F.col("rep"))).alias("head")
+    heads = cut(postings.groupBy("token").agg(best(), F.count(F.lit(1)).alias("n")).filter("n > 1"), "partners-heads")
+    tries = salted_join(postings, heads.select("token", "head"), ["token"], heads)
+    votes = _apart(tries, may_link).groupBy("a", "b").count()
+    first = votes.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    first = cut(first, "partners-pairs")
+    links = cut(verify(first), "partners-links")
+
+    rows = cut(postings.join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "partners-rows")
+    part = F.pmod(F.xxhash64(F.lit("hub"), "rep"), F.lit(hubs)).alias("part")
+    heads = rows.groupBy("token", part).agg(best("component"), F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = heads.groupBy("token").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    heads = cut(heads.select("token", "head").join(sizes.select("token", "n"), "token"), "partners-heads")
+    counts = heads.groupBy("token").agg(F.first("n").alias("n"))
+    tries = salted_join(rows, heads.select("token", "head"), ["token"], counts).filter("component != head.component")
+    second = _apart(tries, may_link).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = cut(second.join(done, ["a", "b"], "left_anti"), "partners-pairs")
+    links = cut(links.unionByName(verify(second)), "partners-links")
+
+    rest = rows.join(counts.select("token"), "token", "left_semi").join(heads.select("token", F.col("head.rep").alias("rep")), ["token", "rep"], "left_anti")
+    rest = rest.drop("component").join(_labels(links), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = cut(rest.select("token", "rep", "component"), "partners-rest")
+    free(rows)
+    sizes = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    left = cut(rest.join(sizes.select("token"), "token", "left_semi").select("rep", "component").distinct(), "partners-left")
+    return links, None if left.isEmpty() else left
+
+
+def _apart(tries: DataFrame, may_link: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs ``a`` (the rep) and ``b`` (its hub)."""
+    tries = tries.filter(F.col("rep") != F.col("head.rep"))
+    tries = tries if may_link is None else tries.filter(may_link(F.col("about"), F.col("head.about")))
+    return tries.select(F.col("rep").alias("a"), F.col("head.rep").alias("b"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """``rep, component`` of linked reps: the smallest rep within two links, which makes one of each star. Where reps of
+    one component get different labels they are only compared once more."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    far = both.join(near.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("low").alias("low"))
+    return far.select(F.col("a").alias("rep"), F.least("a", "low").alias("component"))
 
 
 def ordered(spread: DataFrame, percent: int) -> DataFrame:
@@ -94,13 +80,12 @@ def ordered(spread: DataFrame, percent: int) -> DataFrame:
     without enough such tokens for a link are left out; ``core`` is high where a set's tokens are common."""
     counts = cut(spread.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "order-counts")
     rows = salted_join(spread, counts.select("token", F.col("n").alias("df")), ["token"], counts)
-    rows = cut(rows.select("rep", "n", "component", "token", "df"), "order-tokens")
+    rows = rows.select("rep", "n", "component", "token", "df")
     whole = Window.partitionBy("rep")
     rows = rows.withColumn("m", F.count(F.lit(1)).over(whole)).withColumn("core", F.sum("df").over(whole) / F.col("n"))
     rows = rows.filter(100 * F.col("m") >= percent * F.col("n"))
     place = F.row_number().over(whole.orderBy("df", "token")) + F.col("n") - F.col("m")
-    out = cut(rows.withColumn("place", place).drop("m"), "order-places")
-    return out
+    return rows.withColumn("place", place).drop("m")
 
 
 def prefixes(places: DataFrame, percent: int) -> DataFrame:
