@@ -22,12 +22,12 @@ def effect(code: Column, description: Column) -> Column:
 
 def classify(events: DataFrame) -> DataFrame:
     """``canonical, status, evidence, needs_review`` from ``canonical, pos, date, code, description``: the last decisive
-    event counts, by position; activity is never inferred."""
+    event counts, by position; activity is never inferred. Only an end has evidence: a revival clears it."""
     rows = events.withColumn("effect", effect(F.col("code"), F.col("description")))
     line = F.concat(F.coalesce("date", F.lit("?")), F.lit(" "), F.coalesce("code", F.lit("")), F.lit(": "), F.coalesce("description", F.lit("")))
     last = rows.groupBy("canonical").agg(F.max_by(F.struct("effect", line.alias("evidence")), F.when(F.col("effect").isNotNull(), F.col("pos"))).alias("last"), F.count("effect").alias("n"))
     status = F.when(F.col("n") > 0, F.col("last.effect")).otherwise("UNKNOWN")
-    evidence = F.when(F.col("n") > 0, F.col("last.evidence")).otherwise("")
+    evidence = F.when(is_final(status), F.col("last.evidence"))
     return last.select("canonical", status.alias("status"), evidence.alias("evidence"), (status == "UNKNOWN").alias("needs_review"))
 
 
@@ -35,7 +35,7 @@ def apply(records: DataFrame, status: DataFrame) -> DataFrame:
     """Records with their legal status; one without a found status gets a note."""
     joined = records.join(status.select("canonical", F.col("status").alias("_s"), F.col("evidence").alias("_e")), "canonical", "left")
     note = F.when(F.col("_s").isNull(), "legal status: no record at the provider").when(F.col("_s") == "UNKNOWN", "legal status UNKNOWN: not determined from events").otherwise(F.concat(F.lit("legal status evidence: "), F.col("_e")))
-    notes = F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.array(note)) if "notes" in records.columns else F.array(note)
+    notes = F.concat(F.coalesce("notes", F.array().cast("array<string>")), F.array_compact(F.array(note))) if "notes" in records.columns else F.array_compact(F.array(note))
     keep = [c for c in records.columns if c not in ("notes", "legal_status")]
     old = F.col("legal_status") if "legal_status" in records.columns else F.lit(None).cast("string")
     return joined.select(*keep, F.coalesce("_s", old, F.lit("UNKNOWN")).alias("legal_status"), notes.alias("notes"))

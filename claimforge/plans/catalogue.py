@@ -208,7 +208,7 @@ def summary_one_line(spark, sf_dir):
 
 _LEGAL = cte("v_legal") + f""", e AS (SELECT *, {O.effect()} AS effect FROM v_legal),
     l AS (SELECT canonical, count(effect) AS n, arg_max(effect, pos) FILTER (effect IS NOT NULL) AS effect, arg_max(concat(date, ' ', code, ': ', description), pos) FILTER (effect IS NOT NULL) AS evidence FROM e GROUP BY 1),
-    s AS (SELECT canonical, coalesce(effect, 'UNKNOWN') AS status, coalesce(evidence, '') AS evidence FROM l)"""
+    s AS (SELECT canonical, coalesce(effect, 'UNKNOWN') AS status, CASE WHEN effect <> 'UNKNOWN' THEN evidence END AS evidence FROM l)"""
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:

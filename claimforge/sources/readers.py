@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import re
+import warnings
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -47,9 +49,19 @@ def publications(spark: SparkSession, path: str) -> DataFrame:
     """An export of publication rows: a JSON array, or one object a line. The first character tells which."""
     head = spark.read.text(path).filter(F.trim("value") != "").limit(1).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     rows = spark.read.schema(PUBLICATION).option("multiLine", bool(head) and head["c"] == "[").json(path)
-    rows = rows.filter("publication_number IS NOT NULL AND publication_number <> ''").withColumn("_pos", F.monotonically_increasing_id())
-    last = Window.partitionBy("publication_number").orderBy(F.desc("_pos"))
-    return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k", "_pos")
+    rows = rows.select("*", *_place()).filter("publication_number IS NOT NULL AND publication_number <> ''")
+    return _last(rows, "publication_number")
+
+
+def _place() -> list[Column]:
+    """Where a row stands: file name, start of the part of the file that one task reads, and order within that."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_pos")]
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key the last by file name and place, however the files were split."""
+    order = Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_start"), F.desc("_pos"))
+    return rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "_file", "_start", "_pos")
 
 
 def legal_status(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +70,7 @@ def legal_status(spark: SparkSession, path: str) -> DataFrame:
     events = rows.select("canonical", F.posexplode("v.events").alias("pos", "e")).select("canonical", "pos", "e.date", "e.code", "e.description")
     found = classify(events)
     status = F.coalesce(F.nullif("v.status", F.lit("")), found["status"], F.lit("UNKNOWN"))
-    return rows.join(found, "canonical", "left").select("canonical", status.alias("status"), F.coalesce(found["evidence"], F.lit("")).alias("evidence"), (status == "UNKNOWN").alias("needs_review"))
+    return rows.join(found, "canonical", "left").select("canonical", status.alias("status"), found["evidence"], (status == "UNKNOWN").alias("needs_review"))
 
 
 def worksheet(spark: SparkSession, path: str) -> DataFrame:
@@ -100,31 +112,39 @@ def bulk_grants(spark: SparkSession, path: str) -> DataFrame:
     """Records of weekly bulk files: XML, several documents to a file, or ZIP files whose largest member is such a file.
 
     Plain files are cut at their prologs by Spark's text reader, so one file is read by many tasks; each ZIP is one.
-    Broken documents are passed over; of equal numbers the last counts.
+    Broken documents, and files that can't be read, are passed over with a warning in the task's log; text that isn't
+    UTF-8 is read as Latin-1. Of equal numbers the last counts, by file name and place.
     """
-    plain = spark.read.option("lineSep", "<?xml").option("pathGlobFilter", "*.xml").text(path).select(F.regexp_replace("value", r"^[^>]*\?>", "").alias("xml"))
-    zipped = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
+    plain = spark.read.option("lineSep", "<?xml").option("pathGlobFilter", "*.xml").option("ignoreCorruptFiles", True).text(path)
+    legible = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    plain = plain.select(F.regexp_replace(legible, r"^[^>]*\?>", "").alias("xml"), *_place())
+    zipped = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("ignoreCorruptFiles", True).load(path).select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    data = z.read(max(z.infolist(), key=lambda i: i.file_size))
+            for name, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        data = z.read(max(z.infolist(), key=lambda i: i.file_size))
+                except (zipfile.BadZipFile, zlib.error, OSError, ValueError, NotImplementedError, RuntimeError) as e:
+                    warnings.warn(f"{name}: {e}", stacklevel=1)
+                    continue
                 try:
                     text = data.decode("utf-8")
                 except UnicodeDecodeError:
                     text = data.decode("latin-1")
-                yield pd.DataFrame({"xml": [re.sub(r"^[^>]*\?>", "", part) for part in text.split("<?xml")]})
+                parts = [re.sub(r"^[^>]*\?>", "", part) for part in text.split("<?xml")]
+                yield pd.DataFrame({"xml": parts, "_file": name, "_start": 0, "_pos": range(len(parts))})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [r for x in b["xml"] if x.strip() and (r := grant_record(x.strip()))]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in RECORD.split(", ")])
+            found = [r | {p: x[p] for p in places} for x in b.to_dict("records") if (r := grant_record(x["xml"].strip()))]
+            yield pd.DataFrame(found, columns=[*(c.split()[0] for c in RECORD.split(", ")), *places])
 
-    documents = plain.unionByName(zipped.mapInPandas(members, "xml string"))
-    rows = documents.filter(F.trim("xml") != "").mapInPandas(parse, RECORD).withColumn("_pos", F.monotonically_increasing_id())
-    last = Window.partitionBy("canonical").orderBy(F.desc("_pos"))
-    return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k", "_pos")
+    places = ("_file", "_start", "_pos")
+    where = "_file string, _start bigint, _pos bigint"
+    documents = plain.unionByName(zipped.mapInPandas(members, f"xml string, {where}"))
+    return _last(documents.filter(F.trim("xml") != "").mapInPandas(parse, f"{RECORD}, {where}"), "canonical")
 
 
 def week_file(day) -> F.Column:

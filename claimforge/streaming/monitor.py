@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.search import absorb, split_seen
-from ..operators.state import to_save
+from ..operators.state import changes, latest
 
 HITS = "theme string, run_date string, pub string"
 SNAPSHOT = "canonical string, fetched_at string, content_hash string"
+#: Folders of the store: a batch reads those of its own records only.
+SHARDS = 256
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,14 +56,26 @@ def watch(spark: SparkSession, incoming: str, state: str, checkpoint: str) -> St
 
 
 def snapshots(spark: SparkSession, incoming: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Run once over hashed records that have come in: new and changed ones are appended to the store."""
-    _table(spark, store, SNAPSHOT)
+    """Run once over hashed records that have come in: of each record the snapshots unlike the one before, in the store
+    or in the batch, are appended to the store, so A, B, A within one batch keeps three.
+
+    The store is laid out by a hash of the record, and a batch reads only the folders of its records. A batch that runs
+    again after its rows were stored finds them there, equal to its own, and adds nothing: snapshots no later than the
+    stored one are not new.
+    """
+    columns = ["canonical", "fetched_at", "content_hash"]
+    sharded = f"{SNAPSHOT}, shard int"
+    spark.createDataFrame([], sharded).write.mode("append").partitionBy("shard").parquet(store)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(SNAPSHOT).parquet(store)
-        last = batch.groupBy("canonical").agg(F.max_by(F.struct("fetched_at", "content_hash"), "fetched_at").alias("s")).select("canonical", "s.*")
-        saved = to_save(last, stored).filter("is_new OR changed").select("canonical", "fetched_at", "content_hash")
-        saved.write.mode("append").parquet(store)
+        batch = batch.withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(SHARDS)).cast("int"))
+        batch.persist()
+        stored = spark.read.schema(sharded).parquet(store).join(F.broadcast(batch.select("shard").distinct()), "shard")
+        last = latest(stored.join(batch.select("canonical").distinct(), "canonical", "left_semi").select(*columns, "shard"))
+        came = batch.join(last.select("canonical", F.col("fetched_at").alias("_last")), "canonical", "left").filter("_last IS NULL OR fetched_at > _last")
+        both = came.select(*columns, "shard", F.lit(True).alias("_new")).unionByName(last.select(*columns, "shard", F.lit(False).alias("_new")))
+        changes(both).filter("_new").select(*columns, "shard").write.mode("append").partitionBy("shard").parquet(store)
+        batch.unpersist()
 
     stream = spark.readStream.schema(SNAPSHOT).json(incoming)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -47,8 +47,16 @@ def test_bulk_grants_plain_and_zipped(spark, tmp_path):
 def test_legal_status_map(spark, tmp_path):
     event = lambda code, text: {"date": "2020-01-01", "code": code, "description": text}
     (tmp_path / "l.json").write_text(json.dumps({"A": {"events": [event("GRANT", "granted")]}, "B": {"events": [event("X", "lapsed"), event("Y", "reinstated")]}, "C": {"events": [event("X", "lapsed due to fee")]}, "D": {"status": "ACTIVE", "events": []}}))
-    got = {r["canonical"]: r["status"] for r in readers.legal_status(spark, str(tmp_path / "l.json")).collect()}
-    assert got == {"A": "UNKNOWN", "B": "UNKNOWN", "C": "LAPSED", "D": "ACTIVE"}
+    got = {r["canonical"]: (r["status"], r["evidence"]) for r in readers.legal_status(spark, str(tmp_path / "l.json")).collect()}
+    assert got == {"A": ("UNKNOWN", None), "B": ("UNKNOWN", None), "C": ("LAPSED", "2020-01-01 X: lapsed due to fee"), "D": ("ACTIVE", None)}
+
+
+def test_bulk_grants_pass_over_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "old.xml").write_bytes(GRANT.format(number="0123").replace("hinge", "hing\u00e9").encode("latin-1"))
+    (tmp_path / "new.xml").write_text(GRANT.format(number="0123").replace("hinge", "newer hinge"))
+    got = readers.bulk_grants(spark, str(tmp_path)).collect()
+    assert [(r["canonical"], r["title"]) for r in got] == [("US-123-B1", "A bold hing\u00e9")]
 
 
 def test_legal_xml_in_any_namespace(spark):

@@ -31,3 +31,14 @@ def test_snapshots_keep_changes_only(spark, tmp_path):
         monitor.snapshots(spark, str(files), store, mark).awaitTermination()
     kept = sorted((r["fetched_at"], r["content_hash"]) for r in spark.read.parquet(store).collect())
     assert kept == [("2024-01-01", "a"), ("2024-01-03", "b")]
+
+
+def test_snapshots_of_one_batch_are_compared_in_turn(spark, tmp_path):
+    store, mark, files = str(tmp_path / "store"), str(tmp_path / "mark"), tmp_path / "in"
+    shot = lambda day, value: {"canonical": "X", "fetched_at": f"2024-01-0{day}", "content_hash": value}
+    drop(files, "0.json", [shot(1, "a")])
+    monitor.snapshots(spark, str(files), store, mark).awaitTermination()
+    drop(files, "1.json", [shot(2, "a"), shot(3, "b"), shot(4, "a"), shot(5, "a")])
+    monitor.snapshots(spark, str(files), store, mark).awaitTermination()
+    kept = sorted((r["fetched_at"], r["content_hash"]) for r in spark.read.parquet(store).collect())
+    assert kept == [("2024-01-01", "a"), ("2024-01-03", "b"), ("2024-01-04", "a")]
