@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import functools
 import zlib
 from collections.abc import Iterator
@@ -16,56 +15,60 @@ from .scratch import cut
 
 CAPACITY = 1024
 END_ID = 2
-#: Nodes that one search for a filling may visit before its best-fit incumbent is taken.
-NODES = 4000
+#: Fillings that the search may try before it takes its incumbent.
+NODES = 20_000
 #: Chunks whose ids a Python worker remembers.
 REMEMBERED = 400_000
 
 
-class _Chunks(dict):
-    """Ids (little-endian 32 bit) of a chunk: a word with the one space before it. Pieces of the vocabulary's splitting
-    pattern never reach over a space between two visible characters, so chunks can be encoded one by one."""
+class Encoder:
+    """Ids (little-endian 32 bit) of texts, by way of chunks: a word with the one space before it. Pieces of the
+    vocabulary's splitting pattern never reach over a space between two visible characters, so chunks can be encoded one
+    by one; texts with other white space before a word, or with an added token of the vocabulary, are encoded whole."""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, vocabulary: str | None):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.asarray(self.encode(chunk), dtype="<u4").tobytes()
-        self[chunk] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {"": b""}
 
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-@functools.cache
-def _chunks(vocabulary: str | None) -> _Chunks:
-    import public_tokenizers
-    import tiktoken
+    def _chunks(self, text: str) -> list[str] | None:
+        first, *rest = text.split(" ")
+        if "" in rest or any(w[0].isspace() or p[-1:].isspace() for p, w in zip([first, *rest], rest, strict=False)):
+            return None  # runs of white space: no safe cut
+        return None if any(a in text for a in self.added) else [first, *(" " + w for w in rest)]
 
-    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return _Chunks(tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunked = [self._chunks(t) for t in texts]
+        whole = iter(self._encoded([t for t, c in zip(texts, chunked, strict=True) if c is None]))
+        needed = set().union(*(c for c in chunked if c))
+        if len(self.known) + len(needed) > REMEMBERED:
+            self.known = {"": b""}
+        new = list(needed.difference(self.known))
+        self.known.update(zip(new, self._encoded(new), strict=True))
+        return [next(whole) if c is None else b"".join([self.known[w] for w in c]) for c in chunked]
 
 
-def token_ids(text: str, chunks: _Chunks) -> bytes:
-    """The ids of a text, four bytes each."""
-    first, *rest = text.split(" ")
-    if "" in rest or any(w[0].isspace() or p[-1:].isspace() for p, w in zip([first, *rest], rest, strict=False)):
-        return np.asarray(chunks.encode(text), dtype="<u4").tobytes()  # runs of white space: no safe cut
-    return (chunks[first] if first else b"") + b"".join([chunks[" " + w] for w in rest])
+@functools.cache
+def encoder(vocabulary: str | None) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, vocabulary: str | None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids with ``end_id`` after them."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end = _chunks(vocabulary), int(end_id).to_bytes(4, "little")
+        own, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = token_ids(text.as_py() or "", chunks) + end
+            encoded = own.encode([text.as_py() or "" for text in batch.column(1)])
+            for doc, text_ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = text_ids + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
@@ -79,80 +82,129 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
     return wanted.mapInArrow(cut_up, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def filling(room: int, sizes: list[int], left: dict[int, int], nodes: int = NODES) -> tuple[int, ...]:
-    """The sizes (largest first) that fill ``room`` with least waste, from ``left`` (size: how many).
+def fillings(room: int, sizes: list[int], left: dict[int, int], waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """``(waste, sizes)`` of fillings of ``room`` from ``left`` (size: how many), least waste first, up to ``waste``.
 
-    Starts from best fit, the largest that still goes in, as incumbent, and tries larger sizes first. A search ends at
-    no waste or after ``nodes``, and looks at seven sizes beside the largest piece at most; branches are not bounded by
-    the waste that they could reach, and dominated fillings are not pruned.
+    Bit ``t`` of ``reach[i]`` tells whether the sizes from the i-th on can fill exactly ``t``, so each waste is met or
+    ruled out before any size is tried. Of the fillings of one waste only the one with the largest sizes first is given,
+    which mostly dominates the others: what it leaves for later are smaller pieces, which fit in more places. Fillings
+    that others of that waste don't dominate in the strict sense aren't tried.
     """
-    best: list = [room, ()]
-
-    def incumbent() -> None:
-        rest, got = room, []
-        for s in sizes:
-            k = min(left[s], rest // s)
-            got += [s] * k
-            rest -= k * s
-            if not rest:
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, count, step = reach[-1], min(left[s], room // s), 1
+        while count:
+            take = min(step, count)
+            bits |= bits << (take * s) & mask
+            count, step = count - take, 2 * step
+        reach.append(bits)
+    reach.reverse()
+    for missed in range(min(waste, room) + 1):
+        if not reach[0] >> (room - missed) & 1:
+            continue
+        got, goal = [], room - missed
+        for i, s in enumerate(sizes):
+            for k in range(min(left[s], goal // s), -1, -1):
+                if reach[i + 1] >> (goal - k * s) & 1:
+                    got += [s] * k
+                    goal -= k * s
+                    break
+            if not goal:
                 break
-        best[:] = [rest, tuple(got)]
-
-    incumbent()
-    budget = nodes
-
-    def search(start: int, rest: int, got: tuple[int, ...], used: int) -> None:
-        nonlocal budget
-        for i in range(start, len(sizes)):
-            s = sizes[i]
-            if s > rest:
-                continue
-            have = left[s] - (used if got and got[-1] == s else 0)
-            if have <= 0:
-                continue
-            budget -= 1
-            if budget < 0 or best[0] == 0:
-                return
-            now = rest - s
-            if now < best[0]:
-                best[:] = [now, (*got, s)]
-                if now == 0:
-                    return
-            if now >= smallest and len(got) < 6:
-                search(i, now, (*got, s), (used if got and got[-1] == s else 0) + 1)
-
-    smallest = sizes[-1] if sizes else room + 1
-    if best[0] and sizes:
-        search(0, room, (), 0)
-    return best[1]
-
-
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """``(size, first rank, end rank, first sequence, offset)``: pieces of a size by rank, to places in sequences.
-
-    The largest size left is put first, its room filled by ``filling``, and the filled pattern used as often as its
-    sizes last, so there are about as many patterns as sizes, whatever the number of pieces.
+        yield missed, tuple(got)
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used: the largest size left, then the largest that still goes in, and so on."""
+    left, out = {s: n for s, n in histogram.items() if n > 0}, []
+    while left:
+        need, rest = {}, capacity
+        for s in sorted(left, reverse=True):
+            if k := min(left[s], rest // s):
+                need[s] = k
+                rest -= k * s
+        _use(left, need, times := min(left[s] // k for s, k in need.items()))
+        out.append((tuple(s for s, k in need.items() for _ in range(k)), times))
+    return out
+
+
+def _use(left: dict[int, int], need: dict[int, int], times: int) -> None:
+    for s, k in need.items():
+        left[s] = left.get(s, 0) - k * times
+        if not left[s]:
+            del left[s]
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """What no packing can go below: all tokens, or all pieces of which no two share a sequence."""
+    total = sum(s * n for s, n in histogram.items())
+    return max(-(-total // capacity), sum(n for s, n in histogram.items() if 2 * s > capacity))
+
+
+def patterns(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of few sequences, by branch and bound over fillings around the largest size left.
+
+    The incumbent is best fit. A branch takes the largest size left and a filling of its room, as often as the sizes
+    last, so there are about as many patterns as sizes, whatever the number of pieces. A filling is tried only while the
+    waste of the branch leaves a sequence less than the incumbent's. The search ends when the incumbent meets the bound
+    that no packing goes below, when no branch is left, or after ``nodes`` fillings.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
-    ranks = dict.fromkeys(left, 0)
-    out, sequence = [], 0
-    while left:
+    best = best_fit(left, capacity)
+    count = sum(n for _, n in best)
+    total, bound = sum(s * n for s, n in left.items()), least_sequences(left, capacity)
+    taken: list[tuple[tuple[int, ...], int]] = []
+    wasted = 0
+
+    def branches() -> Iterator[tuple[int, tuple[int, ...]]]:
         largest = max(left)
         left[largest] -= 1
         sizes = sorted((s for s, n in left.items() if n and s <= capacity - largest), reverse=True)
-        pattern = (largest, *filling(capacity - largest, sizes, left))
+        room = (count - 1) * capacity - total - wasted
+        found = fillings(capacity - largest, sizes, dict(left), room) if room >= 0 else iter(())
         left[largest] += 1
-        need = {s: pattern.count(s) for s in pattern}
+        return ((w, (largest, *got)) for w, got in found)
+
+    stack = [branches()] if count > bound else []
+    while stack and count > bound and nodes > 0:
+        step = next(stack[-1], None)
+        while step is not None and wasted + step[0] > (count - 1) * capacity - total:
+            step = None  # fillings come by waste: all further ones waste more
+        if step is None:
+            stack.pop()
+            if taken:
+                pattern, times = taken.pop()
+                wasted -= (capacity - sum(pattern)) * times
+                _use(left, {s: pattern.count(s) for s in set(pattern)}, -times)
+            continue
+        nodes -= 1
+        waste, pattern = step
+        need = {s: pattern.count(s) for s in set(pattern)}
         times = min(left[s] // k for s, k in need.items())
+        if waste:
+            times = min(times, ((count - 1) * capacity - total - wasted) // waste)
+        _use(left, need, times)
+        taken.append((pattern, times))
+        wasted += waste * times
+        if left:
+            stack.append(branches())
+            continue
+        count, best = sum(n for _, n in taken), list(taken)
+        pattern, times = taken.pop()
+        wasted -= waste * times
+        _use(left, need, -times)
+    return best
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, int, int, int, int]]:
+    """``(size, first rank, end rank, first sequence, offset)``: pieces of a size by rank, to places in sequences."""
+    ranks, out, sequence = dict.fromkeys(histogram, 0), [], 0
+    for pattern, times in patterns(histogram, capacity, nodes):
         offset = 0
         for s in pattern:
             out.append((s, ranks[s], ranks[s] + times, sequence, offset))
             ranks[s] += times
             offset += s
-        for s, k in need.items():
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
         sequence += times
     return out
 

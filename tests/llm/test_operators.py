@@ -207,8 +207,9 @@ def test_packing_round_trip(docs):
 
 def test_filling_finds_the_exact_sum():
     left = {700: 1, 500: 2, 450: 1, 350: 3, 60: 1}
-    assert sum(packing.filling(760, sorted(left, reverse=True), left)) == 760
-    assert packing.filling(10, [], {}) == ()
+    waste, sizes = next(packing.fillings(760, sorted(left, reverse=True), left, 760))
+    assert waste == 0 and sum(sizes) == 760
+    assert list(packing.fillings(10, [], {}, 10)) == [(10, ())] and list(packing.fillings(10, [], {}, 9)) == []
 
 
 def test_embeddings_against_all_pairs(spark):
