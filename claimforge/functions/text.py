@@ -117,6 +117,24 @@ def escaped(x: Column) -> Column:
     return x
 
 
+def specification_title(x: Column) -> Column:
+    """The first line that isn't blank, without heading marks, cut to 80 characters."""
+    first = F.get(F.filter(F.transform(F.split(x, r"\R"), strip), lambda s: s != ""), F.lit(0))
+    return F.coalesce(F.nullif(F.substring(strip(F.regexp_replace(first, r"^#+", "")), 1, 80), F.lit("")), F.lit("(no title)"))
+
+
+def reply_json(x: Column) -> Column:
+    """The JSON object in a model's reply, as compact text: the reply without its code fence, else what stands between
+    its outermost braces, else an empty object."""
+    plain = strip(F.regexp_replace(strip(F.coalesce(x, F.lit(""))), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+    read = lambda s: F.to_json(F.try_parse_json(s))
+    return F.coalesce(read(F.nullif(plain, F.lit(""))), read(F.nullif(F.regexp_extract(plain, r"(?s)\{.*\}", 0), F.lit(""))), F.lit("{}"))
+
+
+def clamped_percent(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x.cast("double")))
+
+
 def content_hash(**fields: Column) -> Column:
     """SHA-256 of compact JSON with sorted keys and nulls kept."""
     row = F.struct(*[fields[k].alias(k) for k in sorted(fields)])

@@ -116,6 +116,35 @@ def snippet(text: Column, term: str, around: int = 60) -> Column:
     return F.when(at > 0, F.trim(F.substring(text, F.greatest(F.lit(1), at - around), F.least(at - 1, F.lit(around)) + len(term) + around)))
 
 
+def _first_hit(texts: Column, terms: tuple[str, ...]) -> Column:
+    """``struct<term, said>`` of the first term that the first text with any of them has; null without one."""
+    known = [t for t in terms if t.strip()]
+    hits = lambda x: F.array(*[F.when(F.contains(F.lower(x["text"]), F.lit(t.strip().lower())), F.struct(F.lit(t).alias("term"), snippet(x["text"], t.strip()).alias("said"))) for t in known])
+    if not known:
+        return F.lit(None).cast("struct<term:string,said:string>")
+    return F.get(F.filter(F.flatten(F.transform(texts, hits)), lambda h: h.isNotNull()), F.lit(0))
+
+
+def explained(rows: DataFrame, brief: Brief) -> DataFrame:
+    """``rank`` with ``matched_terms``, ``evidence`` and ``notes``: the term and the words around it that each keyword
+    group scored by, the first class of each prefix, evidence that backs two of them once, and what to verify."""
+    title, abstract = F.col("title_localized"), F.col("abstract_localized")
+    found = [(_first_hit(title, g), _first_hit(abstract, g)) for g in brief.keywords]
+    named = rows.filter("publication_number IS NOT NULL").select("publication_number", F.struct(*[F.struct(t.alias("title"), a.alias("abstract")).alias(f"g{i}") for i, (t, a) in enumerate(found)], F.lit(0).alias("_")).alias("_f"), "cpc")
+    groups = [F.col(f"_f.g{i}") for i in range(len(found))]
+    quoted = lambda where, said: F.concat(F.lit(f"{where}: “"), said, F.lit("”"))
+    terms = [F.coalesce(g["title"]["term"], g["abstract"]["term"]) for g in groups]
+    said = [F.when(g["title"].isNotNull(), quoted("title", g["title"]["said"])).when(g["abstract"].isNotNull(), quoted("abstract", g["abstract"]["said"])) for g in groups]
+    for prefix in brief.cpc:
+        codes = F.transform(F.filter("cpc", lambda c: F.startswith(F.upper(c["code"]), F.lit(prefix.upper()))), lambda c: c["code"])  # noqa: B023
+        said.append(F.concat(F.lit("cpc: "), F.array_min(codes)))
+    texts = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
+    hits = F.size(texts(terms))
+    note = F.when(hits < len(groups), F.concat(hits.cast("string"), F.lit(f" of {len(groups)} keyword groups stand in title or abstract; the others may stand in claims only: verify before triage")))
+    more = named.select("publication_number", texts(terms).alias("matched_terms"), F.array_distinct(texts(said)).alias("evidence"), texts([note]).alias("notes"))
+    return rank(rows, brief).join(more.dropDuplicates(["publication_number"]), "publication_number")
+
+
 def one_per_family(ranked: DataFrame) -> DataFrame:
     """The best member of each family, by score and then number, both from the highest, with its siblings; rows without
     a family stay as they are."""

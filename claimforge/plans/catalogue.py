@@ -388,6 +388,12 @@ def search_rank(spark, sf_dir):
     return _ranked(spark, sf_dir)
 
 
+@query()
+def rank_evidence(spark, sf_dir):
+    """What each score rests on; rows only, as the snippets are held against the rules in the tests."""
+    return search.explained(_publications(spark, sf_dir), BRIEF).select("publication_number", "score", "matched_terms", "evidence", "notes")
+
+
 _FAMILY = _PUB + _HITS + """, b AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY score DESC, publication_number DESC) AS k, list(publication_number) OVER (PARTITION BY family_id) AS l FROM r)"""
 
 

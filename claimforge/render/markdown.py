@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
@@ -38,6 +38,39 @@ def screening_rows(scores: DataFrame) -> DataFrame:
 SCREENING_HEAD = _table("Patent", "Band", "Coverage", "Range", "Gaps", "To review")
 
 
+FACTS_HEAD = _table("Number", "Office", "Title", "Status", "Claims", "Family", "Source")
+
+
+def fact_rows(records: DataFrame) -> DataFrame:
+    """``canonical, line``: the facts of each record; what isn't known is a dash."""
+    shown = lambda c: F.nullif(F.col(c), F.lit(""))
+    claims = F.coalesce(F.size("claims"), F.lit(0))
+    return records.select("canonical", _row(F.col("canonical"), shown("office"), shown("title"), shown("legal_status"), claims, shown("family_id"), shown("source")).alias("line"))
+
+
+def semantic_tables(verdicts: DataFrame) -> DataFrame:
+    """``canonical, text``: each element's verdict, the span that it rests on and the confidence, in claim order."""
+    cut = lambda c, n: F.replace(F.substring(c, 1, n), F.lit("|"), F.lit("｜"))
+    span = F.when(F.length("span") > 100, F.concat(cut("span", 100), F.lit("…"))).otherwise(cut("span", 100))
+    line = _row(cut("element", 80), F.col("verdict"), F.nullif(span, F.lit("")), F.format_number("confidence", 2))
+    out = _lines(verdicts, "canonical", [F.col("pos")], line, "rows")
+    return out.select("canonical", F.concat(F.lit(_table("Element", "Verdict", "Evidence", "Confidence") + "\n"), F.col("rows")).alias("text"))
+
+
+def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200) -> DataFrame:
+    """One row ``text``: how many candidates a search has, and the best ``shown`` with number, evidence and notes."""
+    best = explained.orderBy(F.desc("score"), "publication_number").limit(shown)
+    ranked = best.withColumn("k", F.row_number().over(Window.orderBy(F.desc("score"), "publication_number")))  # ``shown`` rows
+    joined = lambda c: cell(F.array_join(c, "; "), 200)
+    groups = F.concat(F.col("groups_hit").cast("string"), F.lit("/"), F.col("groups_total").cast("string"))
+    line = _row(F.col("k"), F.col("publication_number"), F.col("score"), groups, joined("evidence"), joined("notes"))
+    table = _lines(ranked.withColumn("name", F.lit(name)), "name", [F.col("k")], line, "rows").select("rows")
+    counts = explained.agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_review").alias("review"))
+    head = F.concat(F.lit(f"## {name}\n\n{purpose}\n\nCandidates: "), F.col("n").cast("string"), F.lit(", to review: "), F.col("review").cast("string"))
+    body = F.coalesce(F.concat(F.lit(_table("No.", "Publication", "Score", "Groups", "Evidence", "Notes") + "\n"), F.col("rows")), F.lit("No candidates."))
+    return counts.join(table, how="left").select(F.concat_ws("\n\n", head, body, F.lit(DISCLAIMER)).alias("text"))
+
+
 def claim_charts(fused: DataFrame) -> DataFrame:
     """``canonical, chart``: elements in claim order with coverage, evidence and the review mark."""
     line = _row(cell(F.col("element"), 80), F.col("band"), F.round("p_coverage", 2), cell(F.col("span"), 100), F.when(F.col("needs_review"), "review").otherwise(""))
