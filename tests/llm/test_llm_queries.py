@@ -52,3 +52,21 @@ def test_pipeline_stages(spark):
         ids = left
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r["doc_id"] for r in packed.collect()} == ids
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, rep long, token string, line string, component long"
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_pipeline_stages_take_empty_tables_and_awkward_rows(spark, rows):
+    said = ["The river ran past the old mill and the wide green fields.", "Une petite maison sur la colline, pr\u00e8s de la mer bleue."]
+    data = [(i if i % 7 else None, f"{said[i % 2]} Number {chr(97 + i % 26) * 3} of many.\nshared line of all documents", ["en", "fr"][i % 2], None if i % 5 == 0 else "s", 9, i, "t", "l", 1) for i in range(rows)]
+    data += [(100, None, "en", "s", None, 1, None, None, None), (101, "", None, "s", 0, 1, "t", "l", 1), (5, data[5][1], "fr", "s", 9, 5, "t", "l", 1)] if rows else []
+    docs = spark.createDataFrame(data, COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert bool(rows) == (docs.count() > 0), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert bool(packed) == bool(rows)
