@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +89,22 @@ def coerce(label: Column, confidence: Column, span: Column, spec: Column) -> Col
     return verdict(label, F.when(label != "MISSING", literal), number)
 
 
+def judged_by(elements: DataFrame, spec: str, answer: Callable[[pd.Series, str], pd.DataFrame]) -> DataFrame:
+    """``elements`` with the coerced verdicts of an outside judge.
+
+    ``answer`` gets a batch of elements, nulls included, and the specification; it returns as many rows of
+    ``label, confidence, span``, all strings or null. What it says is never trusted: see ``coerce``.
+    """
+
+    @F.pandas_udf("label string, confidence string, span string")
+    def ask(said: pd.Series) -> pd.DataFrame:
+        return answer(said, spec)
+
+    rows = elements.withColumn("_said", ask("element"))
+    rows = rows.withColumn("_v", coerce(F.col("_said.label"), F.col("_said.confidence"), F.col("_said.span"), F.lit(spec)))
+    return rows.select(*elements.columns, "_v.*")
+
+
 def judge(elements: DataFrame, spec: DataFrame) -> DataFrame:
     """``elements`` (with ``element``) with both channels' verdicts; the specification is one row."""
     rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(spec.limit(1)))

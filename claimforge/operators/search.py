@@ -187,6 +187,15 @@ def fused(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return rows.select("id", "score", "semantic", ((F.col("k") + F.col("s")) / 2).alias("combined"), (F.abs(F.col("k") - F.col("s")) > APART).alias("needs_review"))
 
 
+def against(rows: DataFrame, asked: DataFrame, block: int = 512) -> DataFrame:
+    """Every row with every query, by blocks: queries are dealt to blocks of about ``block`` rows, and a row goes once to
+    each block, so that no task ever holds all queries."""
+    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("_n"))  # one row
+    dealt = asked.crossJoin(F.broadcast(blocks)).withColumn("_b", F.pmod(F.xxhash64("query_id"), "_n").cast("int")).drop("_n")
+    each = rows.crossJoin(F.broadcast(blocks)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return each.join(dealt, "_b").drop("_b")
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, 0 at least; a zero vector has norm 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +18,16 @@ SNAPSHOT = "canonical string, fetched_at string, content_hash string"
 SHARDS = 256
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share, under ``spark.checkpoint.dir``; of this machine only where the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='claimforge-')}"
+    return f"{root.rstrip('/')}/claimforge/{name}-{uuid.uuid4().hex}"
+
+
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, empty at first."""
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
@@ -74,7 +87,7 @@ def snapshots(spark: SparkSession, incoming: str, store: str, checkpoint: str) -
         last = latest(stored.join(batch.select("canonical").distinct(), "canonical", "left_semi").select(*columns, "shard"))
         came = batch.join(last.select("canonical", F.col("fetched_at").alias("_last")), "canonical", "left").filter("_last IS NULL OR fetched_at > _last")
         both = came.select(*columns, "shard", F.lit(True).alias("_new")).unionByName(last.select(*columns, "shard", F.lit(False).alias("_new")))
-        changes(both).filter("_new").select(*columns, "shard").write.mode("append").partitionBy("shard").parquet(store)
+        changes(both).filter("_new").select(*columns, "shard").repartition("shard").write.mode("append").partitionBy("shard").parquet(store)
         batch.unpersist()
 
     stream = spark.readStream.schema(SNAPSHOT).json(incoming)
