@@ -156,26 +156,39 @@ def one_per_family(ranked: DataFrame) -> DataFrame:
     return own.filter("_k = 1").drop("_k").unionByName(alone)
 
 
-def tfidf(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Normalised weights ``id, term, weight`` of all documents, and of the query, which counts as one of them."""
+def _weighed(docs: DataFrame, query: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, term, w`` of all documents, not yet normalised, and ``term, weight`` of the query, which counts as one of them."""
     asked = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(semantic_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
     tf = docs.select(F.col(id_col).alias("id"), F.explode(semantic_tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.agg((F.count(F.lit(1)) + 1).alias("n"))  # one row
     df = tf.select("term").unionAll(asked.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weighted.join(norm, "id").select("id", "term", (F.col("w") / F.coalesce(F.nullif("norm", F.lit(0.0)), F.lit(1.0))).alias("weight"))
     own = asked.join(idf, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
     total = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked_weights = own.crossJoin(F.broadcast(total)).select("term", (F.col("w") / F.col("norm")).alias("weight"))
-    return weights, asked_weights
+    return weighted, own.crossJoin(F.broadcast(total)).select("term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _norm() -> Column:
+    """The length of the weights of a group, 1 for none."""
+    return F.coalesce(F.nullif(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0)), F.lit(1.0))
+
+
+def tfidf(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Normalised weights ``id, term, weight`` of all documents, and of the query, which counts as one of them."""
+    weighted, asked = _weighed(docs, query, id_col, text_col)
+    norm = weighted.groupBy("id").agg(_norm().alias("norm"))
+    return weighted.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), asked
 
 
 def similarity(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, semantic``: cosine of every document with the query, 0 without common terms."""
-    weights, asked = tfidf(docs, query, id_col, text_col)
-    dots = weights.join(asked.withColumnRenamed("weight", "q"), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    """``id, semantic``: cosine of every document with the query, 0 without common terms.
+
+    One aggregate gives each document's norm and its product with the query; no table of normalised weights is made.
+    """
+    weighted, asked = _weighed(docs, query, id_col, text_col)
+    rows = weighted.join(F.broadcast(asked.withColumnRenamed("weight", "q")), "term", "left")  # the query's terms
+    dots = rows.groupBy("id").agg((F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))) / _norm()).alias("dot"))
     return docs.select(F.col(id_col).alias("id")).join(dots, "id", "left").select("id", F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0))).alias("semantic"))
 
 
