@@ -105,15 +105,23 @@ def judged_by(elements: DataFrame, spec: str, answer: Callable[[pd.Series, str],
     return rows.select(*elements.columns, "_v.*")
 
 
+def rationale(element: Column, found: dict[str, Column]) -> Column:
+    """What the channels' verdicts rest on: how many of the element's terms each found, and which, in order."""
+    size = F.size(element).cast("string")
+    said = lambda name, terms: F.concat(F.lit(f"{name}: "), F.size(terms).cast("string"), F.lit(" of "), size, F.lit(" terms"), F.when(F.size(terms) > 0, F.concat(F.lit(" ("), F.array_join(F.array_sort(terms), ", "), F.lit(")"))).otherwise(""))
+    return F.when(F.size(element) == 0, "no terms to look for").otherwise(F.concat_ws("; ", *[said(name, terms) for name, terms in found.items()]))
+
+
 def judge(elements: DataFrame, spec: DataFrame) -> DataFrame:
-    """``elements`` (with ``element``) with both channels' verdicts; the specification is one row."""
+    """``elements`` (with ``element``) with both channels' verdicts and their rationale; the specification is one row."""
     rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(spec.limit(1)))
     # Matches and spans are columns of their own, so that each is worked out once however often a verdict refers to it.
     exact = F.array_intersect("element_tokens", "spec_tokens")
     rows = rows.withColumns({"_strict": exact, "_recall": lenient_matches(F.col("element_tokens"), F.col("spec_stems"))})
     rows = rows.withColumns({"_strict_span": best_sentence(F.col("_strict"), F.col("spec_sentences")), "_recall_span": best_sentence(F.array_intersect("_recall", "spec_tokens"), F.col("spec_sentences"))})
     verdicts = [make(F.col("element_tokens"), F.col(f"_{name}"), F.col(f"_{name}_span")).alias(name) for name, make in CHANNELS.items()]
-    return rows.select(*elements.columns, "element_tokens", "spec_tokens", *verdicts)
+    why = rationale(F.col("element_tokens"), {name: F.col(f"_{name}") for name in CHANNELS}).alias("rationale")
+    return rows.select(*elements.columns, "element_tokens", "spec_tokens", *verdicts, why)
 
 
 def coverage(one: Column) -> Column:

@@ -72,10 +72,10 @@ def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200)
 
 
 def claim_charts(fused: DataFrame) -> DataFrame:
-    """``canonical, chart``: elements in claim order with coverage, evidence and the review mark."""
-    line = _row(cell(F.col("element"), 80), F.col("band"), F.round("p_coverage", 2), cell(F.col("span"), 100), F.when(F.col("needs_review"), "review").otherwise(""))
+    """``canonical, chart``: elements in claim order with coverage, evidence, what it rests on and the review mark."""
+    line = _row(cell(F.col("element"), 80), F.col("band"), F.round("p_coverage", 2), cell(F.col("span"), 100), cell(F.col("rationale"), 120), F.when(F.col("needs_review"), "review").otherwise(""))
     out = _lines(fused, "canonical", [F.col("pos")], line, "chart")
-    return out.withColumn("chart", F.concat(F.lit(_table("Element", "Band", "Coverage", "Evidence", "Review") + "\n"), F.col("chart")))
+    return out.withColumn("chart", F.concat(F.lit(_table("Element", "Band", "Coverage", "Evidence", "Basis", "Review") + "\n"), F.col("chart")))
 
 
 def escalations(fused: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ def test_run_writes_reports_and_what_is_missing(spark, case):
     assert commands.main(["run", f"{case}/numbers.csv", f"{case}/records", f"{case}/spec.txt", f"{case}/out", "--legal", f"{case}/legal.json"], spark) == 0
     assert [r["canonical"] for r in spark.read.option("header", True).csv(f"{case}/out/missing").collect()] == ["US-8000009-B2"]
     text = "\n".join(r["value"] for r in spark.read.text(f"{case}/out/reports").collect())
+    assert "strict: " in text and " of " in text
     assert "US-8000001-B2" in text and "not a legal conclusion" in text
     assert "LAPSED" in spark.read.text(f"{case}/out/facts").first()["value"]
     assert spark.read.parquet(f"{case}/out/scores").count() == 1
