@@ -46,3 +46,21 @@ def test_compare(spark, case):
     (case / "labels.csv").write_text("case,element_substring,expected\nUS-8000001-B2,housing,MATCH\nUS-8000001-B2,motor,MISSING\n")
     assert commands.main(["compare", f"{case}/labels.csv", f"{case}/records", f"{case}/spec.txt", f"{case}/out"], spark) == 0
     assert spark.read.parquet(f"{case}/out/accuracy").first()["total"] == 2
+
+
+def test_watch_and_snapshots(spark, case):
+    for name, row in (("hits", {"theme": "t", "run_date": "2024-01-01", "pub": "A"}), ("shots", {"canonical": "X", "fetched_at": "2024-01-01", "content_hash": "a"})):
+        (case / name).mkdir()
+        (case / name / "1.json").write_text(json.dumps(row))
+    assert commands.main(["watch", f"{case}/hits", f"{case}/seen", f"{case}/mark1"], spark) == 0
+    assert commands.main(["snapshots", f"{case}/shots", f"{case}/store", f"{case}/mark2"], spark) == 0
+    assert spark.read.parquet(f"{case}/seen/seen").count() == 1
+    assert spark.read.parquet(f"{case}/store").count() == 1
+
+
+def test_selfcheck_fails_on_a_broken_gate(spark, monkeypatch):
+    rows = spark.createDataFrame([("G-A", True, 3, 0), ("G-B", False, 3, 1)], "gate string, passed boolean, checked int, violations int")
+    monkeypatch.setattr(commands.catalogue, "queries", lambda: {"gates": lambda spark, tables: rows})
+    assert commands.main(["selfcheck", "anywhere"], spark) == 1
+    monkeypatch.setattr(commands.catalogue, "queries", lambda: {"gates": lambda spark, tables: rows.filter("passed")})
+    assert commands.main(["selfcheck", "anywhere"], spark) == 0
