@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,41 +19,57 @@ CAPACITY = 1024
 END_ID = 2
 #: Fillings that the search may try before it takes its incumbent.
 NODES = 20_000
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Characters of chunks whose ids a Python worker remembers; characters encoded at a time.
+REMEMBERED, BLOCK = 3_000_000, 2**18
+
+#: White space as the vocabulary's splitting pattern has it: U+001C to U+001F are none there.
+_SPACE, _SEEN = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+#: A word of A-Z alone stands apart from the marks after it, so that fewer chunks are to be known.
+_CHUNK = re.compile(f"{_SPACE}*+(?:[A-Za-z]++(?![^\\s!-/:-@\\[-`{{-~])|{_SEEN}++)|{_SPACE}+")
+_EDGE = re.compile(f"(?<={_SEEN}){_SPACE}")
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """A text in parts of ``size`` characters or little more, cut before white space only."""
+    at = 0
+    while len(text) - at > size and (edge := _EDGE.search(text, at + size)):
+        yield text[at : edge.start()]
+        at = edge.start()
+    yield text[at:]
 
 
 class Encoder:
-    """Ids (little-endian 32 bit) of texts, by way of chunks: a word with the one space before it. Pieces of the
-    vocabulary's splitting pattern never reach over a space between two visible characters, so chunks can be encoded one
-    by one; texts with other white space before a word, or with an added token of the vocabulary, are encoded whole."""
+    """Ids (little-endian 32 bit) of texts, by way of chunks: a word with the white space before it. Pieces of the
+    vocabulary's splitting pattern never reach from a visible character into white space, nor look there, so chunks can
+    be encoded one by one and memory is that of one block; texts with an added token are encoded whole."""
 
     def __init__(self, vocabulary: str | None):
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        first, *rest = text.split(" ")
-        if "" in rest or any(w[0].isspace() or p[-1:].isspace() for p, w in zip([first, *rest], rest, strict=False)):
-            return None  # runs of white space: no safe cut
-        return None if any(a in text for a in self.added) else [first, *(" " + w for w in rest)]
+    def _block(self, text: str) -> bytes:
+        chunks = _CHUNK.findall(text)
+        new = list(set(chunks).difference(self.known))
+        if new and self.held > REMEMBERED:
+            self.known, self.held, new = {}, 0, list(set(chunks))
+        if new:
+            self.known.update(zip(new, self._encoded(new), strict=True))
+            self.held += sum(map(len, new))
+        return b"".join([self.known[c] for c in chunks])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [self._chunks(t) for t in texts]
-        whole = iter(self._encoded([t for t, c in zip(texts, chunked, strict=True) if c is None]))
-        needed = set().union(*(c for c in chunked if c))
-        if len(self.known) + len(needed) > REMEMBERED:
-            self.known = {"": b""}
-        new = list(needed.difference(self.known))
-        self.known.update(zip(new, self._encoded(new), strict=True))
-        return [next(whole) if c is None else b"".join([self.known[w] for w in c]) for c in chunked]
+    def encode(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self._encoded([text])[0]
+        return b"".join(map(self._block, blocks(text)))
 
 
 @functools.cache
@@ -66,9 +84,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
         own, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            encoded = own.encode([text.as_py() or "" for text in batch.column(1)])
-            for doc, text_ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids = text_ids + end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = own.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]

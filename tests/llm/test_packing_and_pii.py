@@ -58,8 +58,14 @@ def test_patterns_of_large_histograms_keep_to_the_bound():
 def test_ids_are_those_of_the_tokenizer():
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["", " ", "a  b", "plain words, and more.", " lead", "trail ", "<|endoftext|> hello", "x<|endoftext|>", "tab\tand\nline \n end", "Ünï codé 😀 1234 don't", "　wide space", "a  b"]
-    encode = packing.encoder(None).encode
-    assert [np.frombuffer(e, "<u4").tolist() for e in encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    rng = random.Random(0)
+    marks = " \t\n\r\v\f\x1c\x1f\x85\xa0\u180e\u2003\u200b\u2028\u3000\ufeff'sTab1é漢,-_.!{\u0301İ😀"
+    texts += ["".join(rng.choices(marks, k=rng.randrange(40))) for _ in range(2000)]
+    encoder = packing.encoder(None)
+    wanted = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == wanted
+    cut = [b"".join(map(encoder.encode, packing.blocks(t, 3))) for t in texts if "<|" not in t]
+    assert [np.frombuffer(b, "<u4").tolist() for b in cut] == [w for t, w in zip(texts, wanted, strict=True) if "<|" not in t]
 
 
 def plain_spans(text: str) -> list[tuple[str, int, int]]:
