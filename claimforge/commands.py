@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import numbers
 from .operators import evaluation, judges, legal, records, scoring, search
 from .plans import catalogue
-from .render import markdown
+from .render import markdown, pages
 from .sources import readers
 from .streaming import monitor
 
@@ -45,6 +45,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def site(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Pages of all records: banner, index in triage order and a page each; with ``--history`` what changed in each."""
+    found = readers.SOURCES[a.source](spark, a.records)
+    spec, judged = _judged(spark, found, a.spec)
+    changes = spark.read.parquet(a.history) if a.history else None
+    pages.write_site(found, records.summaries(found), scoring.score(found, spec), judges.fuse(judged), a.out, changes)
+    return 0
+
+
 def find(spark: SparkSession, a: argparse.Namespace) -> int:
     """Candidates of a brief, one per family, and the log of the search."""
     brief = search.Brief.load(Path(a.brief).read_text(encoding="utf-8"))
@@ -90,6 +99,7 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> int:
 COMMANDS = {
     "normalize": (normalize, ["numbers", "out"]),
     "run": (run, ["numbers", "records", "spec", "out"]),
+    "site": (site, ["records", "spec", "out"]),
     "search": (find, ["brief", "records", "out"]),
     "watch": (watch, ["incoming", "state", "checkpoint"]),
     "snapshots": (snapshots, ["incoming", "state", "checkpoint"]),
@@ -105,10 +115,12 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         sub = commands.add_parser(name, help=does.__doc__)
         for place in places:
             sub.add_argument(place)
-        if name in ("run", "compare"):
+        if name in ("run", "site", "compare"):
             sub.add_argument("--source", choices=sorted(readers.SOURCES), default="fixture")
         if name == "run":
             sub.add_argument("--legal")
+        if name == "site":
+            sub.add_argument("--history")
     a = parser.parse_args(argv)
     return COMMANDS[a.command][0](spark or SparkSession.builder.appName("claimforge").getOrCreate(), a)
 

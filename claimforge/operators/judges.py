@@ -128,6 +128,11 @@ def coverage(one: Column) -> Column:
     return F.when(one["verdict"] == "MISSING", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), one["confidence"])))
 
 
+def channels() -> Column:
+    """Coverage by channel of fused elements, names in order."""
+    return F.create_map(*[x for name in sorted(CHANNELS) for x in (F.lit(name), F.col(f"p_{name}"))])
+
+
 def fuse(judged: DataFrame) -> DataFrame:
     """Element coverage from both channels: mean, agreement, span, band, review flag and the terms both texts have."""
     a, b = coverage(F.col("strict")), coverage(F.col("recall"))

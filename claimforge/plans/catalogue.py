@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import evaluation, judges, legal, records, scoring, search, state
-from ..render import markdown
+from ..render import markdown, pages
+from ..sources import readers
 from ..streaming import monitor
 from . import oracle_text as O
 from .views import BRIEF, QUERY, SPEC, cte, spec, view
@@ -663,3 +664,46 @@ def watch_report(spark, sf_dir):
 @query()
 def patent_report(spark, sf_dir):
     return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), _fused(spark, sf_dir))
+
+
+@query(JUDGED + """, c AS (SELECT count(*) AS n, sum(review_count) AS r, count(*) FILTER (risk_band = 'HIGH') AS h, count(*) FILTER (risk_band = 'MEDIUM') AS m, count(*) FILTER (risk_band = 'LOW') AS l, count(*) FILTER (risk_band = 'UNKNOWN') AS u FROM sc)
+    SELECT concat('<p>', concat_ws(', ', concat('patents: ', n), CASE WHEN h > 0 THEN concat('HIGH: ', h) END, CASE WHEN m > 0 THEN concat('MEDIUM: ', m) END, CASE WHEN l > 0 THEN concat('LOW: ', l) END,
+        CASE WHEN u > 0 THEN concat('UNKNOWN: ', u) END, CASE WHEN r > 0 THEN concat('to review: ', r::BIGINT) END), '</p>') AS html FROM c""")
+def pages_banner(spark, sf_dir):
+    return pages.banner(_scores(spark, sf_dir))
+
+
+@query()
+def pages_index(spark, sf_dir):
+    return pages.index_rows(_records(spark, sf_dir), _scores(spark, sf_dir))
+
+
+@query()
+def pages_detail(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))
+    return pages.detail_pages(rows, records.summaries(rows), _scores(spark, sf_dir), _fused(spark, sf_dir))
+
+
+@query("SELECT concat('US-', p_partkey, '-B2') AS canonical, p_name AS title, p_type AS abstract, p_brand AS claim, '2020-01-07' AS pub_date FROM part")
+def xml_bulk_parse(spark, sf_dir):
+    """Every part as a grant in weekly files, written by the tasks and read back by the bulk reader."""
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
+    own = lambda c: T.escaped(F.col(c).cast("string"))
+    number = tag("document-id", F.lit("<country>US</country>"), tag("doc-number", F.lpad(own("p_partkey"), 8, "0")), F.lit("<kind>B2</kind><date>20200107</date>"))
+    claims = tag("claims", tag("claim", tag("claim-text", own("p_brand"))))
+    grant = tag("us-patent-grant", tag("publication-reference", number), tag("invention-title", own("p_name")), tag("abstract", own("p_type")), claims)
+    path = monitor.new_folder(spark, "grants")
+    _table(spark, sf_dir, "part").select(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>'), grant)).toDF("value").write.text(f"{path}/weekly")
+    found = readers.bulk_grants(spark, f"{path}/weekly", "*.txt")
+    return found.select("canonical", "title", "abstract", F.get("claims", F.lit(0)).alias("claim"), "pub_date")
+
+
+@query(JUDGED + " SELECT canonical, pos::INTEGER AS pos, round(CASE WHEN v1 = 'MISSING' THEN 0.0 ELSE greatest(0.0, least(1.0, c1)) END, 4)::DOUBLE AS strict, round(CASE WHEN v2 = 'MISSING' THEN 0.0 ELSE greatest(0.0, least(1.0, c2)) END, 4)::DOUBLE AS recall FROM j")
+def channel_map(spark, sf_dir):
+    rows = _fused(spark, sf_dir).select("canonical", "pos", judges.channels().alias("by"))
+    return rows.select("canonical", "pos", *[F.round(F.col("by")[name], 4).alias(name) for name in judges.CHANNELS])
+
+
+@query(_CELLS + " SELECT expected AS label, concat('| ', expected, ' | ', string_agg(n, ' | ' ORDER BY actual), ' |') AS line FROM cell GROUP BY 1")
+def eval_matrix(spark, sf_dir):
+    return markdown.matrix_rows(eval_confusion(spark, sf_dir))

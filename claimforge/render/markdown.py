@@ -105,6 +105,12 @@ def diff_reports(changes: DataFrame) -> DataFrame:
     return out.select("canonical", F.concat(F.lit("## "), F.col("canonical"), head, F.col("rows"), F.lit("\n\n" + DISCLAIMER)).alias("text"))
 
 
+def matrix_rows(cells: DataFrame) -> DataFrame:
+    """``label, line``: the confusion matrix, a line per expected label, found labels in order."""
+    counts = F.array_sort(F.collect_list(F.struct("actual", F.col("n").cast("string").alias("n"))))["n"]
+    return cells.groupBy(F.col("expected").alias("label")).agg(_row(F.col("expected"), F.array_join(counts, " | ")).alias("line"))
+
+
 def watch_reports(themes: DataFrame, new_hits: DataFrame) -> DataFrame:
     """``theme, text``: the new hits of each watched search, or that there is no change."""
     found = _lines(new_hits, "theme", [F.col("pub")], F.concat(F.lit("- "), F.col("pub")), "rows")

@@ -108,14 +108,14 @@ def grant_record(xml: str) -> dict | None:
     }
 
 
-def bulk_grants(spark: SparkSession, path: str) -> DataFrame:
+def bulk_grants(spark: SparkSession, path: str, plain_files: str = "*.xml") -> DataFrame:
     """Records of weekly bulk files: XML, several documents to a file, or ZIP files whose largest member is such a file.
 
     Plain files are cut at their prologs by Spark's text reader, so one file is read by many tasks; each ZIP is one.
     Broken documents, and files that can't be read, are passed over with a warning in the task's log; text that isn't
     UTF-8 is read as Latin-1. Of equal numbers the last counts, by file name and place.
     """
-    plain = spark.read.option("lineSep", "<?xml").option("pathGlobFilter", "*.xml").option("ignoreCorruptFiles", True).text(path)
+    plain = spark.read.option("lineSep", "<?xml").option("pathGlobFilter", plain_files).option("ignoreCorruptFiles", True).text(path)
     legible = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
     plain = plain.select(F.regexp_replace(legible, r"^[^>]*\?>", "").alias("xml"), *_place())
     zipped = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("ignoreCorruptFiles", True).load(path).select("path", "content")

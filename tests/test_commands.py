@@ -64,3 +64,10 @@ def test_selfcheck_fails_on_a_broken_gate(spark, monkeypatch):
     assert commands.main(["selfcheck", "anywhere"], spark) == 1
     monkeypatch.setattr(commands.catalogue, "queries", lambda: {"gates": lambda spark, tables: rows.filter("passed")})
     assert commands.main(["selfcheck", "anywhere"], spark) == 0
+
+
+def test_site(spark, case):
+    assert commands.main(["site", f"{case}/records", f"{case}/spec.txt", f"{case}/out"], spark) == 0
+    assert "patents: 1" in spark.read.text(f"{case}/out/banner").first()["value"]
+    assert "US-8000001-B2.html" in spark.read.text(f"{case}/out/index").first()["value"]
+    assert "<mark>" in spark.read.parquet(f"{case}/out/pages").first()["html"]
