@@ -155,12 +155,33 @@ def fuzzy_lines(
     )
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` less those whose numbers stand in ``gone``: the stretches between, so each line is met once."""
+    ends = lambda x: F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(x)))
+    stretch = lambda x: F.transform(
+        F.arrays_zip(F.slice(ends(x), 1, F.size(gone) + 1).alias("a"), F.slice(ends(x), 2, F.size(gone) + 1).alias("b")),
+        lambda e: F.slice(x, e["a"] + 2, e["b"] - e["a"] - 1),
+    )
+    # The outer lambda holds the lines, so that the text is split once.
+    return F.transform(F.array(lines), lambda x: F.flatten(stretch(x)))[0]
+
+
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with all its columns, texts without the lines that go; a document left without visible text goes."""
-    gone = fuzzy_lines(docs, id_col=id_col, text_col=text_col, **how).filter("NOT kept")
-    gone = gone.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left")
-    out = out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
-    return out.filter(F.col("_gone").isNull() | (F.trim(F.regexp_replace(text_col, r"\s+", " ")) != "")).select(*docs.columns)
+    """``docs`` with all its columns, texts without the lines that go; a document left without visible text goes.
+
+    A document is what its id and its text say: rows of one id (or of none) with unlike texts are documents of their
+    own, so no line goes by the number of another row's. Rows equal in both share one fate. Of like lines the one of the
+    smallest id stays, a null id being the smallest, then of the text with the smallest hash. Null texts pass.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(7), text_col).alias("h2"))
+    gone = fuzzy_lines(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **how)
+    gone = gone.filter("NOT kept").groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
+    gone = gone.select(F.col("_key.id").alias("_id"), F.col("_key.h1").alias("_h1"), F.col("_key.h2").alias("_h2"), "_gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    same = F.col("_key.id").eqNullSafe(F.col("_id")) & (F.col("_key.h1") == F.col("_h1")) & (F.col("_key.h2") == F.col("_h2"))
+    out = rows.join(gone, same, "left")
+    text = F.col("_row").getField(text_col)
+    left = F.array_join(_without(F.split(text, "\n", -1), F.col("_gone")), "\n")
+    out = out.withColumn("_left", F.when(F.col("_gone").isNull(), text).otherwise(left))
+    out = out.filter(F.col("_gone").isNull() | F.col("_left").rlike(r"\S"))
+    return out.select(*[F.col("_left").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -19,13 +19,15 @@ SPAN, DECAY, POWER = 6, 0.6, 2
 LETTERS = 32
 #: Landmarks: words that mark toxic sentences, and clean words like them.
 MARKING, CLEAN = 48, 16
-#: Most labelled documents of each class to learn from, and the longest text among them.
-SAMPLE, LONGEST = 1500, 20_000
+#: Most labelled documents of each class to learn from.
+SAMPLE = 1500
 REMEMBERED = 300_000
 
 _EDGE = ".,;:!?'\"()[]{}|*#%$&-_"
-#: Letters that stand one by one are read as one word as well.
-_SPELLED = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){3,}\w(?!\S)")
+#: Letters that stand one by one are read as one word as well. Letters and what parts them have no character in common
+#: and nothing is tried twice, so a search takes time linear in the text.
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\s.*_-]++){3,}+(?:[^\W_](?!\S))?")
+_SPELLED_END = re.compile(r".*[^\W_](?!\S)", re.DOTALL)
 _PATTERNS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 
 
@@ -33,7 +35,11 @@ def text_words(text: str) -> set[str]:
     """The distinct lower-cased words of all sentences of a text, as they stand."""
     text = text.lower()
     out = set(text.split())
-    out.update(re.sub(r"\W|_", "", m[0]) for m in _SPELLED.finditer(text))
+    for run in _SPELLED.finditer(text):
+        if end := _SPELLED_END.match(run[0]):
+            letters = re.sub(r"\W|_", "", end[0])
+            if len(letters) > 3:
+                out.add(letters)
     return out
 
 
@@ -114,13 +120,13 @@ def kernel(words: list[str], marks: Landmarks) -> np.ndarray:
     return out**POWER
 
 
-def fit(labelled: list[tuple[str, int]]) -> Model | None:
-    """Learn from ``(text, 0 or 1)``; none without both classes.
+def fit(labelled: list[tuple[frozenset[str], int]]) -> Model | None:
+    """Learn from ``(words of a text, 0 or 1)``; none without both classes.
 
     A toxic text says only that some word in some sentence of it is toxic. So each round takes of every toxic text the
     word that scores highest as its witness, and all words of clean texts, and trains the machine on these.
     """
-    texts = [(text_words(t), y) for t, y in sorted(set(labelled))]
+    texts = sorted(set(labelled), key=lambda t: (t[1], sorted(t[0])))
     n_bad = sum(y for _, y in texts)
     if not n_bad or n_bad == len(texts):
         return None
@@ -195,22 +201,28 @@ def _sigmoid(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` labelled documents of each class, in the order of a hash of the id, none of them held
-    out and none longer than ``LONGEST`` characters. Of several labels the largest counts."""
+    out. Of several labels the largest counts. Texts are read whole by the tasks; the driver gets their distinct words.
+    """
     one = labels.filter(~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y")).dropna()
     pick = [one.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (1, 0)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * sample rows at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.length("_text") <= LONGEST)
-    rows = texts.join(chosen, "_id").select("_id", "_text", "_y").collect()
-    return fit([(r["_text"], int(r["_y"])) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))])
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = pa.array([" ".join(sorted(text_words(v.as_py()))) for v in b.column(0)], pa.string())
+            yield pa.RecordBatch.from_arrays([said, b.column(1).cast(pa.int32())], ["words", "y"])
 
+    rows = texts.join(chosen, "_id").select("_text", "_y").mapInArrow(words, "words string, y int").collect()
+    return fit([(frozenset(r["words"].split()), r["y"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, held_out, score, predicted`` for every row: a text scores as the worst word of its sentences.
 
     Null and empty texts score as a text whose words are all like none of the landmarks; under no model every score is
-    0. Repeated rows are judged alike; an empty table gives an empty result. Other columns are not read.
+    0. Texts of any length are read whole, in time linear in their length. Repeated rows are judged alike, and of words
+    that tie for the worst each gives the same score; an empty table gives an empty result. Other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # landmarks are a fixed number
 
