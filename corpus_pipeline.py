@@ -2,9 +2,9 @@
 
 Every stage takes an empty table and gives an empty one, reads ``doc_id``, ``text``, ``lang``, ``source`` and ``n_chars``
 only, and passes on the columns that it got, whatever their names. Null, empty and letterless texts go in the first stage;
-texts of any length are read whole. Rows with a null id and rows that share an id are documents of their own to every
-stage but the n-gram join, which keeps all rows of an id if it keeps one of them. Of documents that tie in a group of near
-copies the smallest id stays.
+texts of any length are read whole. Rows with a null id and rows that share an id are documents of their own, with two
+exceptions: to line dedup rows equal in id and text are one document and share its fate, and the n-gram join keeps all
+rows of an id if it keeps one of them. Of documents that tie in a group of near copies the smallest id stays.
 """
 
 from __future__ import annotations
