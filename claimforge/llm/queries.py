@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe as op11
 from . import embedding_dedup as op5
 from . import exact_dedup as op1
 from . import language as op8
@@ -69,6 +70,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.ngram_join(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.digests(op11.encode(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_licences": op9_licences,
         "op10_ngram_join": op10_ngram_join,
+        "op11_bpe": op11_bpe,
     }
 
 
