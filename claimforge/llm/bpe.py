@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
 
 #: Characters of text that share a block of words, but for a single longer text.
-BLOCK = 8_000_000
+BLOCK = 64_000_000
+#: Words of a row of places, and ids that are decoded at a time, but for a single longer document.
+ROW = 500_000
 
 #: Words as rows of the table: letters a-z apart from what follows them, if that is an ASCII mark, and else whatever
 #: stands between ASCII white space. The vocabulary drops white space and never looks across it, nor past the end of a
@@ -41,36 +44,65 @@ def tokenizer(vocabulary: str | None):
     return found
 
 
-def pieces(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
-    """``id, piece``: a row for every id of the vocabulary."""
-    known = tokenizer(vocabulary).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(known.values(), pa.int32()), "piece": pa.array(known.keys(), pa.string())}))
+@functools.cache
+def pieces(vocabulary: str | None) -> pa.Array:
+    """The vocabulary's pieces, that of an id at its place."""
+    known = {i: piece for piece, i in tokenizer(vocabulary).get_vocab(with_added_tokens=True).items()}
+    return pa.array([known.get(i) for i in range(max(known) + 1)])
+
+
+def _pack(places: np.ndarray) -> bytes:
+    """32-bit numbers, mostly small ones, byte by byte of their weight and deflated."""
+    return zlib.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of neighbours whose sizes sum up to ``most``, or of one that is larger."""
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes)
 
 
-def split(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
+def split(docs: DataFrame, id_col: str, text_col: str, block: int, row: int) -> DataFrame:
     """Texts as places in the word lists of their blocks.
 
-    A row with ``word`` says that this is word ``no`` of ``block``. A row without is a document: ``places`` has the
-    numbers of its words in order, 32 bits each, deflated. A block is of ``block`` characters of texts that one task
-    met, so neither its list nor its documents grow with the table.
+    A row with ``word`` says that this is word ``no`` of ``block``. A row without has some documents: their ids, how
+    many words each has, and the numbers of the words in order. A block is of ``block`` characters of texts that one
+    task met, so neither its list nor its documents grow with the table; frequent words have small numbers.
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known, rows, held = TaskContext.get().partitionId() << 32, {}, [], 0
-
-        def flush(id_type: pa.DataType) -> pa.RecordBatch:
-            n, m = len(rows), len(known)
-            columns = {
-                "block": pa.array([number] * (n + m), pa.int64()),
-                "doc": pa.concat_arrays([pa.array([r[0] for r in rows], id_type), pa.nulls(m, id_type)]),
-                "places": pa.array([r[1] for r in rows] + [None] * m, pa.binary()),
-                "no": pa.array([None] * n + list(range(m)), pa.int32()),
-                "word": pa.array([None] * n + list(known), pa.string()),
-            }
-            return pa.RecordBatch.from_pydict(columns)
-
-        id_type = None
+        number, known, ids, texts, held, id_type = TaskContext.get().partitionId() << 32, {}, [], [], 0, None
+
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            types = {"docs": pa.list_(id_type), "sizes": pa.list_(pa.int32()), "places": pa.binary(), "no": pa.int32(), "word": pa.string()}
+            made = {c: pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()}
+            return pa.RecordBatch.from_pydict({"block": pa.array([number] * n, pa.int64())} | made)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            often = np.zeros(len(known), np.int64)
+            for a, b in _runs([len(t) for t in texts], 10 * row):
+                often += np.bincount(np.concatenate(texts[a:b]), minlength=len(known))
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(known), np.uint32)
+            rank[order] = np.arange(len(known), dtype=np.uint32)
+            sizes = [len(t) for t in texts]
+            for a, b in _runs(sizes, row):
+                yield rows(1, docs=[ids[a:b]], sizes=[sizes[a:b]], places=[_pack(rank[np.concatenate(texts[a:b])])])
+            words = list(known)
+            for at in range(0, len(words), 10_000):
+                yield rows(len(order[at : at + 10_000]), no=np.arange(at, min(at + 10_000, len(words))), word=[words[i] for i in order[at : at + 10_000].tolist()])
+
         for batch in batches:
             id_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -78,39 +110,34 @@ def split(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
                 words = _WORD.findall(said)
                 for w in set(words).difference(known):
                     known[w] = len(known)
-                places = np.fromiter(map(known.__getitem__, words), "<u4", len(words))
-                rows.append((doc, zlib.compress(places.tobytes(), 1)))
+                ids.append(doc)
+                texts.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 held += len(said)
                 if held >= block:
-                    yield flush(id_type)
-                    number, known, rows, held = number + 1, {}, [], 0
-        if rows:
-            yield flush(id_type)
+                    yield from flush()
+                    number, known, ids, texts, held = number + 1, {}, [], [], 0
+        if ids:
+            yield from flush()
 
     wanted = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return wanted.mapInArrow(blocks, f"block long, doc {kind}, places binary, no int, word string")
+    return wanted.mapInArrow(blocks, f"block long, docs array<{kind}>, sizes array<int>, places binary, no int, word string")
 
 
-def encoded_words(words: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``word, ids`` of a table of distinct ``word``."""
+def encoded_words(listed: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``block, no, ids`` from ``block, no, word``: equal words come together, and each distinct one is encoded once. Ids
+    are little-endian unsigned 32-bit integers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(vocabulary)
+        own, last = tokenizer(vocabulary), {}
         for batch in batches:
-            found = own.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+            words = batch.column(2).to_pylist()
+            new = [w for w in dict.fromkeys(words) if w not in last]
+            found = own.encode_batch_fast(new, add_special_tokens=False)
+            known = last | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[w] for w in words], pa.binary())], ["block", "no", "ids"])
+            last = {words[-1]: known[words[-1]]} if words else last
 
-
-def decoded_words(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``word, ids, said`` from ``word, ids``: the pieces of the ids, each joined by its id, parted by spaces in the order
-    of the ids. ``pieces`` is bounded by the vocabulary."""
-    spread = words.select("word", F.posexplode_outer("ids").alias("at", "id"))
-    met = spread.join(F.broadcast(pieces), "id", "left")
-    own = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "id", "piece"))))
-    found = met.groupBy("word").agg(own.alias("own"))
-    return found.select("word", F.col("own.id").alias("ids"), F.array_join("own.piece", " ").alias("said"))
+    return listed.select("block", "no", "word").repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, no int, ids binary")
 
 
 def encode(
@@ -119,48 +146,67 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     block: int = BLOCK,
+    row: int = ROW,
 ) -> DataFrame:
-    """One row per document: ``id_col, ids, decoded``; ids are little-endian unsigned 32-bit integers.
+    """One row per document: ``id_col, ids``; ids are little-endian unsigned 32-bit integers.
 
-    Texts are split into words once, and kept as places in the word lists of blocks. Each distinct word of the table is
-    encoded once and decoded once, by a join of its ids with the vocabulary's pieces; a word goes back to each block
-    that has it, however often, and there to its places. So what is shuffled is a list of words for every ``block``
+    Texts are split into words once, and kept as places in the word lists of blocks. The lists of all blocks make the
+    table of words, dealt and sorted by word, where each distinct word of all texts is encoded once; its ids go back to
+    each block that has it, and there to its places. So what is shuffled is a list of words for every ``block``
     characters and the places, never a row for each word of each text, and a word in all texts is one row per block.
 
     The ids are those of the vocabulary's own tokenizer without special tokens added, for a vocabulary that drops white
-    space and has no decoder (else ``ValueError``); ``decoded`` is its decoding with special tokens. Null and empty
-    texts, and texts of white space, have no ids and decode to an empty text. Very long texts are read whole and are a
-    block of their own. Rows that repeat, share an id or have none are encoded each; an empty table gives an empty
-    result. Other columns are not read.
+    space and has no decoder (else ``ValueError``). Null and empty texts, and texts of white space, have no ids. Very
+    long texts are read whole and are a block of their own. Rows that repeat, share an id or have none are encoded each;
+    an empty table gives an empty result. Other columns are not read.
     """
-    parts = cut(split(docs, id_col, text_col, block), "bpe-blocks")
-    listed = parts.filter("word IS NOT NULL").select("block", "no", "word")
-    table = decoded_words(encoded_words(listed.select("word").distinct(), vocabulary), pieces(docs.sparkSession, vocabulary))
-    lists = listed.join(table, "word").select(F.col("block").alias("of_block"), "no", "ids", "said")
-    texts = parts.filter("word IS NULL").select("block", "doc", "places")
+    parts = cut(split(docs, id_col, text_col, block, row), "bpe-blocks")
+    lists = encoded_words(parts.filter("word IS NOT NULL"), vocabulary).withColumnRenamed("block", "of_block")
+    texts = parts.filter("word IS NULL").select("block", "docs", "sizes", "places")
+    id_type = texts.schema["docs"].dataType.elementType
 
     def join_back(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        lists = lists.sort_by("no").combine_chunks()
-        # An empty table has no chunk to take values from.
-        own = lists["ids"].chunk(0) if lists.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = own.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * 4).tolist()
-        ids = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        said = [s + " " if i else "" for s, i in zip(lists["said"].to_pylist(), ids, strict=True)]
-        of_ids, of_said = [], []
-        for packed in texts["places"]:
-            places = np.frombuffer(zlib.decompress(packed.as_py()), "<u4").tolist()
-            of_ids.append(b"".join([ids[p] for p in places]))
-            of_said.append("".join([said[p] for p in places])[:-1])
-        return pa.table({"doc": texts["doc"], "ids": pa.array(of_ids, pa.binary()), "decoded": pa.array(of_said, pa.string())})
-
-    kind = texts.schema["doc"].dataType.simpleString()
-    out = texts.groupBy("block").cogroup(lists.groupBy("of_block")).applyInArrow(join_back, f"doc {kind}, ids binary, decoded string")
-    return out.withColumnRenamed("doc", id_col)
+        lists = lists.sort_by("no")["ids"].to_pylist()
+        flat, n = np.frombuffer(b"".join(lists), "<u4"), np.array([len(i) // 4 for i in lists], np.int64)
+        starts, out = np.cumsum(n) - n, []
+        for docs, sizes, packed in zip(texts["docs"], texts["sizes"], texts["places"], strict=True):
+            places = _unpack(packed.as_py())
+            long = n[places]
+            ends = np.cumsum(long)
+            ids = flat[np.repeat(starts[places] - ends + long, long) + np.arange(long.sum())]
+            edges = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])]
+            buffers = [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]
+            out.append(pa.table({"doc": docs.values, "ids": pa.Array.from_buffers(pa.binary(), len(edges) - 1, buffers)}))
+        return pa.concat_tables(out)
+
+    grouped = texts.groupBy("block").cogroup(lists.groupBy("of_block"))
+    return grouped.applyInArrow(join_back, f"doc {id_type.simpleString()}, ids binary").withColumnRenamed("doc", id_col)
+
+
+def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "ids", row: int = ROW) -> DataFrame:
+    """``encoded`` with ``decoded``, the pieces of the ids in order with spaces between, special tokens too.
+
+    Each id is joined with its piece within the task: ids count from 0, so the vocabulary's table, which doesn't grow
+    with the data, is looked up by place. Null ids, and none, decode to an empty text. A vocabulary with a decoder is a
+    ``ValueError``; an id beyond the vocabulary breaks the job.
+    """
+
+    def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(ids_col))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy() // 4
+            for a, b in _runs(sizes.tolist(), row):
+                ids = np.frombuffer(b"".join(x or b"" for x in column[a:b].to_pylist()), "<u4")
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int32), pieces(vocabulary).take(pa.array(ids)))
+                columns = [*batch.slice(a, b - a).columns, pc.binary_join(lists, " ")]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "decoded"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(join_pieces, f"{fields}, decoded string")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of what ``encode`` gives."""
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of encoded and decoded documents."""
     return encoded.select(
         F.col(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -71,7 +71,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op11.digests(op11.encode(_table(spark, sf_dir, "documents")))
+    return op11.digests(op11.decode(op11.encode(_table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,12 +33,12 @@ def wanted(text: str | None) -> tuple[bytes, str]:
 def test_agrees_with_the_tokenizer(spark, block):
     rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(i, "word " * (i % 9), "en") for i in range(100, 140)]
     table = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in bpe.encode(table, block=block).collect()}
+    got = {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in bpe.decode(bpe.encode(table, block=block, row=min(block, 7)), row=min(block, 7)).collect()}
     assert got == {i: wanted(t) for i, t, _ in rows}
 
 
 def test_digests(spark):
-    got = {r["doc_id"]: r for r in bpe.digests(bpe.encode(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))).collect()}
+    got = {r["doc_id"]: r for r in bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")))).collect()}
     for i, t in enumerate(TEXTS):
         ids, said = wanted(t)
         assert got[i][1:] == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
@@ -56,18 +56,24 @@ def test_awkward_rows(spark):
     rows = [("k", "one two"), ("k", "one two"), ("k", "two"), (None, None), (None, "three")]
     table = spark.createDataFrame(rows, "doc_id string, text string")
     table = table.withColumns({c: bpe.F.lit("x") for c in ("block", "doc", "no", "word", "places", "ids", "decoded", "said", "id")})
-    got = sorted(((r["doc_id"], r["decoded"]) for r in bpe.encode(table).collect()), key=str)
+    got = sorted(((r["doc_id"], r["decoded"]) for r in bpe.decode(bpe.encode(table)).collect()), key=str)
     assert got == sorted(((k, wanted(t)[1]) for k, t in rows), key=str)
 
 
 def test_empty_table(spark):
-    assert bpe.digests(bpe.encode(spark.createDataFrame([], SCHEMA))).count() == 0
+    assert bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA)))).count() == 0
 
 
-def test_each_word_is_encoded_once(spark):
-    words = spark.createDataFrame([("the",), ("caté,",)], "word string")
-    got = {r["word"]: r for r in bpe.decoded_words(bpe.encoded_words(words), bpe.pieces(spark)).collect()}
-    assert {w: (r["ids"], r["said"]) for w, r in got.items()} == {w: (WHOLE.encode(w, add_special_tokens=False).ids, wanted(w)[1]) for w in ("the", "caté,")}
+def test_words_of_all_blocks(spark):
+    rows = [(b, k, w) for b in range(5) for k, w in enumerate(["the", "caté,", "x" * 50, "\u0085"])]
+    got = {(r["block"], r["no"]): bytes(r["ids"]) for r in bpe.encoded_words(spark.createDataFrame(rows, "block long, no int, word string")).collect()}
+    assert got == {(b, k): wanted(w)[0] for b, k, w in rows}
+
+
+def test_decoding_alone(spark):
+    rows = [(1, np.array([49406, 320, 49407], "<u4").tobytes()), (2, b""), (3, None)]
+    got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k int, ids binary")).collect()}
+    assert got == {1: "<|startoftext|> " + WHOLE.id_to_token(320) + " <|endoftext|>", 2: "", 3: ""}
 
 
 def test_query_over_the_driver_tables(spark):
