@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut_by
 
 #: Characters of text that share a block of words, but for a single longer text.
-BLOCK = 64_000_000
+BLOCK = 32_000_000
 #: Words of a row of places, and ids that are decoded at a time, but for a single longer document.
 ROW = 500_000
 
@@ -153,14 +153,15 @@ def encode(
     Texts are split into words once, and kept as places in the word lists of blocks. The lists of all blocks make the
     table of words, dealt and sorted by word, where each distinct word of all texts is encoded once; its ids go back to
     each block that has it, and there to its places. So what is shuffled is a list of words for every ``block``
-    characters and the places, never a row for each word of each text, and a word in all texts is one row per block.
+    characters, never a row for each word of each text, and a word in all texts is one row per block. The places aren't
+    shuffled: they lie in buckets by block, and the lists come to them.
 
     The ids are those of the vocabulary's own tokenizer without special tokens added, for a vocabulary that drops white
     space and has no decoder (else ``ValueError``). Null and empty texts, and texts of white space, have no ids. Very
     long texts are read whole and are a block of their own. Rows that repeat, share an id or have none are encoded each;
     an empty table gives an empty result. Other columns are not read.
     """
-    parts = cut(split(docs, id_col, text_col, block, row), "bpe-blocks")
+    parts = cut_by(split(docs, id_col, text_col, block, row), "block", "bpe-blocks")
     lists = encoded_words(parts.filter("word IS NOT NULL"), vocabulary).withColumnRenamed("block", "of_block")
     texts = parts.filter("word IS NULL").select("block", "docs", "sizes", "places")
     id_type = texts.schema["docs"].dataType.elementType

@@ -30,6 +30,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As ``cut``, in as many buckets by ``column`` as a shuffle has partitions: a later group or join by it reads its
+    rows where they lie, and only the other side is shuffled."""
+    spark = df.sparkSession
+    table = f"claimforge_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/claimforge/{name}-{table}").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its files stay
+    return out
+
+
 def free(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``cut`` that nothing will read again."""
     for table in tables:
