@@ -21,6 +21,8 @@ from .scratch import cut_by
 BLOCK = 32_000_000
 #: Words of a row of places, and ids that are decoded at a time, but for a single longer document.
 ROW = 500_000
+#: Words whose ids go back to their blocks together.
+BACK = 200_000
 
 #: Words as rows of the table: letters a-z apart from what follows them, if that is an ASCII mark, and else whatever
 #: stands between ASCII white space. The vocabulary drops white space and never looks across it, nor past the end of a
@@ -99,9 +101,10 @@ def split(docs: DataFrame, id_col: str, text_col: str, block: int, row: int) ->
             sizes = [len(t) for t in texts]
             for a, b in _runs(sizes, row):
                 yield rows(1, docs=[ids[a:b]], sizes=[sizes[a:b]], places=[_pack(rank[np.concatenate(texts[a:b])])])
-            words = list(known)
+            words = sorted(known)  # neighbours that are alike pack well
             for at in range(0, len(words), 10_000):
-                yield rows(len(order[at : at + 10_000]), no=np.arange(at, min(at + 10_000, len(words))), word=[words[i] for i in order[at : at + 10_000].tolist()])
+                part = words[at : at + 10_000]
+                yield rows(len(part), no=rank[[known[w] for w in part]].astype(np.int32), word=part)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -123,21 +126,51 @@ def split(docs: DataFrame, id_col: str, text_col: str, block: int, row: int) ->
     return wanted.mapInArrow(blocks, f"block long, docs array<{kind}>, sizes array<int>, places binary, no int, word string")
 
 
-def encoded_words(listed: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``block, no, ids`` from ``block, no, word``: equal words come together, and each distinct one is encoded once. Ids
-    are little-endian unsigned 32-bit integers."""
+def _sorted_out(blocks: np.ndarray, nos: np.ndarray, ids: list[bytes]) -> pa.RecordBatch:
+    """A row for each block: the numbers of its words as steps upwards, how many ids each has, and the ids, all packed."""
+    order = np.lexsort((nos, blocks))
+    blocks, nos, ids = blocks[order], nos[order], [ids[i] for i in order.tolist()]
+    sizes = np.array([len(i) // 4 for i in ids], np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    rows = [(blocks[a], _pack(np.diff(nos[a:b], prepend=0)), _pack(sizes[a:b]), _pack(np.frombuffer(b"".join(ids[a:b]), "<u4"))) for a, b in zip(edges, edges[1:], strict=False)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["of_block", "nos", "sizes", "ids"])
+
+
+def encoded_words(listed: DataFrame, vocabulary: str | None = None, back: int = BACK) -> DataFrame:
+    """``of_block, nos, sizes, ids`` from ``block, no, word``: equal words come together, and each distinct one is encoded
+    once; the ids of about ``back`` words at a time are sorted out by block."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = tokenizer(vocabulary), {}
+        blocks, nos, ids = [], [], []
         for batch in batches:
             words = batch.column(2).to_pylist()
             new = [w for w in dict.fromkeys(words) if w not in last]
             found = own.encode_batch_fast(new, add_special_tokens=False)
             known = last | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[w] for w in words], pa.binary())], ["block", "no", "ids"])
             last = {words[-1]: known[words[-1]]} if words else last
+            blocks.append(batch.column(0).to_numpy())
+            nos.append(batch.column(1).to_numpy().astype(np.int64))
+            ids += [known[w] for w in words]
+            if len(ids) >= back:
+                yield _sorted_out(np.concatenate(blocks), np.concatenate(nos), ids)
+                blocks, nos, ids = [], [], []
+        if ids:
+            yield _sorted_out(np.concatenate(blocks), np.concatenate(nos), ids)
+
+    rows = listed.select("block", "no", "word").repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(encode, "of_block long, nos binary, sizes binary, ids binary")
+
 
-    return listed.select("block", "no", "word").repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, no int, ids binary")
+def word_ids(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's rows from ``encoded_words`` all ids, and by the number of a word where its ids start and how many."""
+    whole = lambda c: [_unpack(x.as_py()).astype(np.int64) for x in lists[c]]
+    none = [np.zeros(0, np.int64)]
+    nos, sizes = np.concatenate([np.cumsum(x) for x in whole("nos")] or none), np.concatenate(whole("sizes") or none)
+    starts, n = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
+    starts[nos], n[nos] = np.cumsum(sizes) - sizes, sizes
+    return np.concatenate(whole("ids") or none).astype("<u4"), starts, n
 
 
 def encode(
@@ -162,14 +195,12 @@ def encode(
     an empty table gives an empty result. Other columns are not read.
     """
     parts = cut_by(split(docs, id_col, text_col, block, row), "block", "bpe-blocks")
-    lists = encoded_words(parts.filter("word IS NOT NULL"), vocabulary).withColumnRenamed("block", "of_block")
+    lists = encoded_words(parts.filter("word IS NOT NULL"), vocabulary)
     texts = parts.filter("word IS NULL").select("block", "docs", "sizes", "places")
     id_type = texts.schema["docs"].dataType.elementType
 
     def join_back(texts: pa.Table, lists: pa.Table) -> pa.Table:
-        lists = lists.sort_by("no")["ids"].to_pylist()
-        flat, n = np.frombuffer(b"".join(lists), "<u4"), np.array([len(i) // 4 for i in lists], np.int64)
-        starts, out = np.cumsum(n) - n, []
+        (flat, starts, n), out = word_ids(lists), []
         for docs, sizes, packed in zip(texts["docs"], texts["sizes"], texts["places"], strict=True):
             places = _unpack(packed.as_py())
             long = n[places]

@@ -36,7 +36,7 @@ def cut_by(df: DataFrame, column: str, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"claimforge_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/claimforge/{name}-{table}").saveAsTable(table)
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/claimforge/{name}-{table}").saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # its files stay
     return out

@@ -64,10 +64,14 @@ def test_empty_table(spark):
     assert bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA)))).count() == 0
 
 
-def test_words_of_all_blocks(spark):
-    rows = [(b, k, w) for b in range(5) for k, w in enumerate(["the", "caté,", "x" * 50, "\u0085"])]
-    got = {(r["block"], r["no"]): bytes(r["ids"]) for r in bpe.encoded_words(spark.createDataFrame(rows, "block long, no int, word string")).collect()}
-    assert got == {(b, k): wanted(w)[0] for b, k, w in rows}
+@pytest.mark.parametrize("back", [1, 3, bpe.BACK])
+def test_words_of_all_blocks(spark, back):
+    said = ["the", "caté,", "x" * 50, "\u0085"]
+    rows = [(b, k, w) for b in range(5) for k, w in enumerate(said)]
+    out = bpe.encoded_words(spark.createDataFrame(rows, "block long, no int, word string"), back=back).toArrow()
+    for b in range(5):
+        flat, starts, n = bpe.word_ids(out.filter(bpe.pc.equal(out["of_block"], b)))
+        assert [flat[starts[k] : starts[k] + n[k]].tobytes() for k in range(len(said))] == [wanted(w)[0] for w in said]
 
 
 def test_decoding_alone(spark):
