@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # What revives a right, and what ends it, in the order tried; statuses that are final.
 REVIVAL = r"REINSTAT|RESTOR|RE-ESTABLISH"
 ENDS = ((r"\bEXPIR", "EXPIRED"), (r"\bLAPSE", "LAPSED"), (r"NON[- ]?PAYMENT", "LAPSED"), (r"\bREVOK", "REVOKED"), (r"\bWITHDRAW", "LAPSED"), (r"DEEMED TO BE WITHDRAWN", "LAPSED"))
@@ -20,11 +22,17 @@ def effect(code: Column, description: Column) -> Column:
     return F.when(text.rlike(REVIVAL), "UNKNOWN").otherwise(out)
 
 
+def evidence_line(date: Column, code: Column, description: Column) -> Column:
+    """An event as it is quoted, without white space at the ends."""
+    day = F.coalesce(F.nullif(date, F.lit("")), F.lit("?"))
+    return strip(F.concat(day, F.lit(" "), F.coalesce(code, F.lit("")), F.lit(": "), F.coalesce(description, F.lit(""))))
+
+
 def classify(events: DataFrame) -> DataFrame:
     """``canonical, status, evidence, needs_review`` from ``canonical, pos, date, code, description``: the last decisive
     event counts, by position; activity is never inferred. Only an end has evidence: a revival clears it."""
     rows = events.withColumn("effect", effect(F.col("code"), F.col("description")))
-    line = F.concat(F.coalesce("date", F.lit("?")), F.lit(" "), F.coalesce("code", F.lit("")), F.lit(": "), F.coalesce("description", F.lit("")))
+    line = evidence_line(F.col("date"), F.col("code"), F.col("description"))
     last = rows.groupBy("canonical").agg(F.max_by(F.struct("effect", line.alias("evidence")), F.when(F.col("effect").isNotNull(), F.col("pos"))).alias("last"), F.count("effect").alias("n"))
     status = F.when(F.col("n") > 0, F.col("last.effect")).otherwise("UNKNOWN")
     evidence = F.when(is_final(status), F.col("last.evidence"))

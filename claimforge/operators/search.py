@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,26 +60,29 @@ class Brief:
 
 
 def _says(texts: Column, terms: tuple[str, ...]) -> Column:
-    return F.exists(texts, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(x["text"], F.lit(""))), F.lit(t.lower())) for t in terms]))
+    return F.exists(texts, lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(x["text"], F.lit(""))), F.lit(t.strip().lower())) for t in terms]))
+
+
+def _day(d: str) -> int:
+    return int(d.replace("-", ""))
 
 
 def predicate(brief: Brief) -> Column:
     """The brief as one filter: scalar conditions first, which reach the scan, then those on nested texts."""
-    day = lambda d: int(d.replace("-", ""))
     out = F.lit(True)
     if brief.countries:
-        out = out & F.col("country_code").isin(*brief.countries)
+        out = out & F.col("country_code").isin(*[c.upper() for c in brief.countries])
     if brief.date_from:
-        out = out & (F.col("publication_date") >= day(brief.date_from))
+        out = out & (F.col("publication_date") >= _day(brief.date_from))
     if brief.date_to:
-        out = out & (F.col("publication_date") <= day(brief.date_to))
+        out = out & (F.col("publication_date") <= _day(brief.date_to))
     for group in brief.keywords:
         places = ["title_localized", "abstract_localized"] + ["claims_localized"] * brief.search_claims
         out = out & reduce(lambda a, b: a | b, [_says(F.col(c), group) for c in places])
     if brief.cpc:
         out = out & F.exists("cpc", lambda c: reduce(lambda a, b: a | b, [F.startswith(c["code"], F.lit(p.upper())) for p in brief.cpc]))
     if brief.assignees:
-        out = out & F.exists("assignee_harmonized", lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x["name"]), F.lit(n.lower())) for n in brief.assignees]))
+        out = out & F.exists("assignee_harmonized", lambda x: reduce(lambda a, b: a | b, [F.contains(F.lower(x["name"]), F.lit(n.strip().lower())) for n in brief.assignees]))
     return out
 
 
@@ -87,6 +91,58 @@ def search(rows: DataFrame, brief: Brief) -> DataFrame:
     return rows.filter(predicate(brief)).orderBy("publication_number").limit(brief.limit)
 
 
+class SearchSql(NamedTuple):
+    """A brief as SQL over a table ``{rows}``, its values as named parameters: nothing of a brief is ever spelled into the
+    text, so quotes and patterns in it mean themselves."""
+
+    sql: str
+    args: dict[str, str | int]
+
+    def logged(self) -> str:
+        """The text for a search log: the SQL, and after it the parameters as JSON on a line of their own."""
+        return f"{self.sql}\n-- {json.dumps(self.args, ensure_ascii=False, sort_keys=True)}"
+
+    @classmethod
+    def from_log(cls, text: str) -> SearchSql:
+        sql, _, args = text.rpartition("\n-- ")
+        return cls(sql, json.loads(args))
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        return rows.sparkSession.sql(self.sql, args=self.args, rows=rows)
+
+
+def search_sql(brief: Brief, columns: tuple[str, ...] = ("*",)) -> SearchSql:
+    """What ``search`` does, as SQL with named parameters; ``columns`` are those of the result."""
+    args: dict[str, str | int] = {}
+
+    def value(name: str, v: str | int) -> str:
+        args[name] = v
+        return f":{name}"
+
+    def any_of(column: str, condition: str, name: str, values: list[str]) -> str:
+        told = " OR ".join(condition.format(value(f"{name}_{i}", v)) for i, v in enumerate(values))
+        return f"exists({column}, x -> {told})"
+
+    where = []
+    if brief.countries:
+        where.append(f"country_code IN ({', '.join(value(f'country_{i}', c.upper()) for i, c in enumerate(brief.countries))})")
+    if brief.date_from:
+        where.append(f"publication_date >= {value('date_from', _day(brief.date_from))}")
+    if brief.date_to:
+        where.append(f"publication_date <= {value('date_to', _day(brief.date_to))}")
+    for g, group in enumerate(brief.keywords):
+        places = ["title_localized", "abstract_localized"] + ["claims_localized"] * brief.search_claims
+        terms = [t.strip().lower() for t in group]
+        where.append("(" + "\n    OR ".join(any_of(c, "contains(lower(coalesce(x.text, '')), {})", f"term_{g}", terms) for c in places) + ")")
+    if brief.cpc:
+        where.append(any_of("cpc", "startswith(x.code, {})", "class", [p.upper() for p in brief.cpc]))
+    if brief.assignees:
+        where.append(any_of("assignee_harmonized", "contains(lower(x.name), {})", "assignee", [n.strip().lower() for n in brief.assignees]))
+    conditions = "\n  AND ".join(where)
+    sql = f"SELECT {', '.join(columns)}\nFROM {{rows}}\nWHERE {conditions}\nORDER BY publication_number\nLIMIT {value('most', brief.limit)}"
+    return SearchSql(sql, args)
+
+
 def rank(rows: DataFrame, brief: Brief) -> DataFrame:
     """Score of every row: per keyword group a title or else an abstract hit, per class prefix a hit."""
     title, abstract = F.col("title_localized"), F.col("abstract_localized")

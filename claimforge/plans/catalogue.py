@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import evaluation, judges, legal, records, scoring, search, state
+from ..operators import evaluation, evidence, judges, legal, percolate, records, scoring, search, state
 from ..render import markdown, pages
 from ..sources import readers
-from ..streaming import monitor
+from ..streaming import legal_fold, monitor
 from . import oracle_text as O
 from .views import BRIEF, QUERY, SPEC, cte, spec, view
 
@@ -223,6 +223,16 @@ def legal_classify(spark, sf_dir):
     return _status(spark, sf_dir)
 
 
+@query(_LEGAL + " SELECT *, status = 'UNKNOWN' AS needs_review FROM s")
+def streaming_legal(spark, sf_dir):
+    """Events as a stream of three batches in no order, the stream stopped and started between them."""
+    events, path = view(spark, sf_dir, "v_legal"), monitor.new_folder(spark, "legal")
+    for part in (2, 0, 1):
+        events.filter(F.pmod(F.xxhash64("canonical", "pos"), F.lit(3)) == part).write.mode("append").json(f"{path}/in")
+        legal_fold.follow(spark, f"{path}/in", f"{path}/out", f"{path}/mark").awaitTermination()
+    return legal_fold.current(spark, f"{path}/out").select("canonical", "status", "evidence", "needs_review")
+
+
 @query(_LEGAL + """ SELECT c_custkey::VARCHAR AS canonical, coalesce(status, 'UNKNOWN') AS legal_status, CASE WHEN status IS NULL THEN 'legal status: no record at the provider'
     WHEN status = 'UNKNOWN' THEN 'legal status UNKNOWN: not determined from events' ELSE concat('legal status evidence: ', evidence) END AS note FROM customer LEFT JOIN s ON s.canonical = c_custkey::VARCHAR""")
 def legal_apply(spark, sf_dir):
@@ -263,12 +273,9 @@ _BEST = f"""WITH sn AS (SELECT doc_id, unnest(range(len(s)))::INTEGER AS pos, un
 
 @query(_BEST + " SELECT item_id, doc_id, pos, n, left(sentence, 200) AS span FROM k JOIN sn USING (doc_id, pos) WHERE k = 1")
 def best_evidence(spark, sf_dir):
-    """Evidence over a whole corpus: tokens joined with tokens and counted, no sentence against every element."""
+    """Evidence over a whole corpus, by the rare tokens of what is asked first."""
     rows = sentences(spark, sf_dir)
-    said = rows.select("doc_id", "pos", F.explode(T.tokens(F.col("sentence"))).alias("token"))
-    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    counts = said.join(asked, "token").groupBy("item_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("item_id").agg(F.max_by(F.struct("doc_id", "pos", "n"), F.struct("n", -F.col("doc_id"), -F.col("pos"))).alias("b")).select("item_id", "b.*")
+    best = evidence.best_sentences(rows, _table(spark, sf_dir, "benchmark"), "item_id", "text")
     return rows.join(best, ["doc_id", "pos"]).select("item_id", "doc_id", "pos", "n", F.substring("sentence", 1, 200).alias("span"))
 
 
@@ -382,6 +389,42 @@ def search_filter(spark, sf_dir):
     return search.search(_publications(spark, sf_dir), BRIEF).select("publication_number", F.col("title_localized")[1]["text"].alias("title"))
 
 
+@query(_PUB + _HITS + " SELECT publication_number, title FROM r WHERE country IN ('EN', 'DE') AND day >= 20010101 AND hit = 2 AND (starts_with(code, 'SRC1') OR starts_with(code, 'SRC2/3')) ORDER BY 1 LIMIT 5000")
+def search_by_sql(spark, sf_dir):
+    """The brief as SQL with parameters, run from its entry in a log."""
+    logged = search.search_sql(BRIEF, ("publication_number", "title_localized[1].text AS title")).logged()
+    return search.SearchSql.from_log(logged).run(_publications(spark, sf_dir))
+
+
+def _briefs(spark: SparkSession, sf_dir: str) -> dict[int, search.Brief]:
+    """A saved search for each item of the benchmark: two groups of two words, and by its number a class, a country, a date."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.slice(words, 1, 4).alias("w")).filter("size(w) = 4").collect()
+    out = {}
+    for i, w in sorted((r["item_id"], r["w"]) for r in items):
+        out[i] = search.Brief(
+            name=f"item {i}", keywords=(tuple(w[:2]), tuple(w[2:])), cpc=(f"SRC{i % 20}",) if i % 3 == 0 else (), countries=("en",) if i % 4 == 1 else (),
+            date_from="2004-01-01" if i % 5 == 2 else None, limit=20 if i % 2 == 0 else 5000,
+        )
+    return out
+
+
+_SAID = "contains('titre', w[{0}]) OR contains(lower(title), w[{0}]) OR contains(lower(abstract), w[{0}])"
+
+
+@query(_PUB + f""", b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM benchmark),
+    h AS (SELECT item_id, publication_number, row_number() OVER (PARTITION BY item_id ORDER BY publication_number) AS k FROM b, p WHERE len(w) >= 4
+        AND ({_SAID.format(1)} OR {_SAID.format(2)}) AND ({_SAID.format(3)} OR {_SAID.format(4)}) AND (item_id % 3 <> 0 OR starts_with(code, concat('SRC', item_id % 20)))
+        AND (item_id % 4 <> 1 OR country = 'EN') AND (item_id % 5 <> 2 OR day >= 20040101))
+    SELECT item_id, publication_number FROM h WHERE k <= CASE WHEN item_id % 2 = 0 THEN 20 ELSE 5000 END""")
+def watch_percolate(spark, sf_dir):
+    """All saved searches over all publications in one pass."""
+    briefs = _briefs(spark, sf_dir)
+    numbers = spark.createDataFrame(list(enumerate(briefs)), "brief int, item_id long")
+    hits = percolate.percolate(_publications(spark, sf_dir), list(briefs.values()))
+    return hits.join(F.broadcast(numbers), "brief").select("item_id", "publication_number")
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(_publications(spark, sf_dir), BRIEF)
 
