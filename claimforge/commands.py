@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
 from pathlib import Path
 
@@ -37,8 +38,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         found = legal.apply(found, readers.legal_status(spark, a.legal))
     spec, judged = _judged(spark, found, a.spec)
     scores = scoring.score(found, spec)
-    markdown.screening_rows(scores).select("line").write.mode("overwrite").text(f"{a.out}/screening")
-    markdown.fact_rows(found).select("line").write.mode("overwrite").text(f"{a.out}/facts")
+    markdown.write_table(markdown.screening_rows(scores), markdown.SCREENING_HEAD, f"{a.out}/screening")
+    markdown.write_table(markdown.fact_rows(found), markdown.FACTS_HEAD, f"{a.out}/facts")
     markdown.write(markdown.patent_reports(records.summaries(found), judges.fuse(judged)), f"{a.out}/reports")
     scores.write.mode("overwrite").parquet(f"{a.out}/scores")
     missing.write.mode("overwrite").option("header", True).csv(f"{a.out}/missing")
@@ -55,28 +56,37 @@ def site(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def find(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Candidates of a brief, one per family, and the log of the search."""
+    """Candidates of a brief, one per family, and the log of the search with the SQL that was run."""
     brief = search.Brief.load(Path(a.brief).read_text(encoding="utf-8"))
-    hits = search.search(readers.publications(spark, a.records), brief)
+    made = search.search_sql(brief)
+    hits = made.run(readers.publications(spark, a.records))
     explained = search.explained(hits, brief)
     best = search.one_per_family(search.rank(hits, brief))
     best.select(F.col("publication_number").alias("number"), F.concat(F.lit("score "), F.col("score").cast("string")).alias("note")).write.mode("overwrite").option("header", True).csv(f"{a.out}/candidates")
-    markdown.write(markdown.search_logs(explained, brief.name or "search", brief.purpose), f"{a.out}/log")
+    markdown.write(markdown.search_logs(explained, brief.name or "search", brief.purpose, sql=made.logged()), f"{a.out}/log")
     return 0
 
 
 def watch(spark: SparkSession, a: argparse.Namespace) -> int:
-    """New hits of watched searches among the files that have come in."""
-    monitor.watch(spark, a.incoming, a.state, a.checkpoint).awaitTermination()
+    """New hits of watched searches among the files that have come in: ready hits, or with ``--briefs`` publications,
+    which every brief of that folder is searched for in. Reports go beside the state."""
+    briefs = [search.Brief.load(p.read_text(encoding="utf-8")) for p in sorted(Path(a.briefs).glob("*.json"))] if a.briefs else None
+    monitor.watch(spark, a.incoming, a.state, a.checkpoint, briefs, a.date or datetime.date.today().isoformat()).awaitTermination()
     return 0
 
 
 def snapshots(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Changed records among the files that have come in."""
+    """Changed snapshots among the hashed records that have come in."""
     monitor.snapshots(spark, a.incoming, a.state, a.checkpoint).awaitTermination()
     return 0
 
 
+def follow(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Fetched records that have come in: snapshots, changes field by field, and a report for each changed record."""
+    monitor.records(spark, a.incoming, a.state, a.checkpoint).awaitTermination()
+    return 0
+
+
 def selfcheck(spark: SparkSession, a: argparse.Namespace) -> int:
     """The gates over a folder of tables; 1 if any fails."""
     failed = [g for g in catalogue.queries()["gates"](spark, a.tables).collect() if not g["passed"]]  # one row a gate
@@ -103,6 +113,7 @@ COMMANDS = {
     "search": (find, ["brief", "records", "out"]),
     "watch": (watch, ["incoming", "state", "checkpoint"]),
     "snapshots": (snapshots, ["incoming", "state", "checkpoint"]),
+    "monitor": (follow, ["incoming", "state", "checkpoint"]),
     "selfcheck": (selfcheck, ["tables"]),
     "compare": (compare, ["labels", "records", "spec", "out"]),
 }
@@ -119,6 +130,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             sub.add_argument("--source", choices=sorted(readers.SOURCES), default="fixture")
         if name == "run":
             sub.add_argument("--legal")
+        if name == "watch":
+            sub.add_argument("--briefs")
+            sub.add_argument("--date")
         if name == "site":
             sub.add_argument("--history")
     a = parser.parse_args(argv)

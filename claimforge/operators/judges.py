@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, stem, tokens
@@ -112,9 +112,16 @@ def rationale(element: Column, found: dict[str, Column]) -> Column:
     return F.when(F.size(element) == 0, "no terms to look for").otherwise(F.concat_ws("; ", *[said(name, terms) for name, terms in found.items()]))
 
 
+def only_one(spec: DataFrame) -> DataFrame:
+    """A specification's row; more than one is an error."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # two rows at most
+    told = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one specification"))).otherwise(F.lit(True))
+    return spec.limit(2).withColumn("_n", n).filter(told.cast("boolean")).drop("_n")
+
+
 def judge(elements: DataFrame, spec: DataFrame) -> DataFrame:
     """``elements`` (with ``element``) with both channels' verdicts and their rationale; the specification is one row."""
-    rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(spec.limit(1)))
+    rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(only_one(spec)))
     # Matches and spans are columns of their own, so that each is worked out once however often a verdict refers to it.
     exact = F.array_intersect("element_tokens", "spec_tokens")
     rows = rows.withColumns({"_strict": exact, "_recall": lenient_matches(F.col("element_tokens"), F.col("spec_stems"))})

@@ -590,6 +590,16 @@ def history_diff(spark, sf_dir):
     return state.scalar_changes(state.adjacent(_snapshots(spark, sf_dir), _FIELDS), _FIELDS)
 
 
+@query(_DIFF + " SELECT * FROM c")
+def streaming_monitor(spark, sf_dir):
+    """Fetched records as a stream: those up to the end of 1994 come in first, then the later ones; what changed when."""
+    rows, path = view(spark, sf_dir, "v_snapshots"), monitor.new_folder(spark, "records")
+    for arrived in (rows.filter("fetched_at < '1995'"), rows.filter("fetched_at >= '1995'")):
+        arrived.write.mode("append").json(f"{path}/in")
+        monitor.records(spark, f"{path}/in", f"{path}/store", f"{path}/mark").awaitTermination()
+    return spark.read.parquet(f"{path}/store/changes").drop("batch")
+
+
 _CLAIMS = cte("v_records") + """, v AS (SELECT canonical, CASE WHEN claim IS NULL THEN [] WHEN p_partkey % 4 = 1 THEN [claim] ELSE [claim, title] END AS o,
     CASE WHEN p_partkey % 4 = 0 THEN [claim, assignee] WHEN p_partkey % 4 = 1 THEN [claim, title, assignee] WHEN p_partkey % 4 = 2 THEN [claim] ELSE [claim, title] END AS n FROM v_records),
     x AS (SELECT canonical, unnest(range(greatest(len(o), len(n)))) AS i, o, n FROM v)"""

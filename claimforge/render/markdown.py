@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ def _lines(rows: DataFrame, key: str, order: list[Column], line: Column, name: s
 
 def screening_rows(scores: DataFrame) -> DataFrame:
     """``position key, line``: the screening table's lines; sort by ``band, coverage descending, canonical``."""
-    pct = lambda c: F.concat(F.round(c, 0).cast("int").cast("string"), F.lit("%"))
+    pct = lambda c: F.concat(F.bround(c, 0).cast("int").cast("string"), F.lit("%"))
     spread = F.concat(pct(F.col("low")), F.lit("–"), pct(F.col("high")))
     line = _row(F.col("canonical"), F.col("risk_band"), pct(F.col("coverage")), spread, F.col("gap_count"), F.col("review_count"))
     return scores.select(triage_rank().alias("band"), "coverage", "canonical", line.alias("line")).orderBy("band", F.desc("coverage"), "canonical")
@@ -57,8 +60,9 @@ def semantic_tables(verdicts: DataFrame) -> DataFrame:
     return out.select("canonical", F.concat(F.lit(_table("Element", "Verdict", "Evidence", "Confidence") + "\n"), F.col("rows")).alias("text"))
 
 
-def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200) -> DataFrame:
-    """One row ``text``: how many candidates a search has, and the best ``shown`` with number, evidence and notes."""
+def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200, sql: str = "") -> DataFrame:
+    """One row ``text``: how many candidates a search has, the SQL that was run, and the best ``shown`` with number,
+    evidence and notes."""
     best = explained.orderBy(F.desc("score"), "publication_number").limit(shown)
     ranked = best.withColumn("k", F.row_number().over(Window.orderBy(F.desc("score"), "publication_number")))  # ``shown`` rows
     joined = lambda c: cell(F.array_join(c, "; "), 200)
@@ -68,7 +72,8 @@ def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200)
     counts = explained.agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_review").alias("review"))
     head = F.concat(F.lit(f"## {name}\n\n{purpose}\n\nCandidates: "), F.col("n").cast("string"), F.lit(", to review: "), F.col("review").cast("string"))
     body = F.coalesce(F.concat(F.lit(_table("No.", "Publication", "Score", "Groups", "Evidence", "Notes") + "\n"), F.col("rows")), F.lit("No candidates."))
-    return counts.join(table, how="left").select(F.concat_ws("\n\n", head, body, F.lit(DISCLAIMER)).alias("text"))
+    ran = F.lit(f"```sql\n{sql}\n```" if sql else None)
+    return counts.join(table, how="left").select(F.concat_ws("\n\n", head, ran, body, F.lit(DISCLAIMER)).alias("text"))
 
 
 def claim_charts(fused: DataFrame) -> DataFrame:
@@ -122,3 +127,22 @@ def watch_reports(themes: DataFrame, new_hits: DataFrame) -> DataFrame:
 def write(reports: DataFrame, path: str) -> None:
     """Texts as files, each task writing its own."""
     reports.select("text").write.mode("overwrite").text(path, lineSep="\n\n")
+
+
+def write_table(rows: DataFrame, head: str, path: str) -> None:
+    """Lines of a table as files in their order. Every file that has lines is a table by itself, with its head before
+    and the disclaimer after it, however many files there are."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        said = lambda text: pa.RecordBatch.from_arrays([pa.array([text], schema.field(0).type)], schema=schema)
+        for batch in batches:
+            if batch.num_rows:
+                if schema is None:
+                    schema = batch.schema
+                    yield said(head)
+                yield batch
+        if schema is not None:
+            yield said(f"\n{DISCLAIMER}")
+
+    rows.select("line").mapInArrow(framed, "line string").write.mode("overwrite").text(path)

@@ -23,7 +23,7 @@ def _inside(tag: str, *parts: Column, of: str = "") -> Column:
 
 
 def _whole(percent: Column) -> Column:
-    return F.round(clamped_percent(percent), 0).cast("int").cast("string")
+    return F.bround(clamped_percent(percent), 0).cast("int").cast("string")
 
 
 def bar(percent: Column) -> Column:

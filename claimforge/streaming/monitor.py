@@ -1,16 +1,20 @@
-"""Streams over arriving files: new hits of watched searches, and changed records."""
+"""Streams over arriving files: new hits of watched searches, changed snapshots, and records that are monitored."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.search import absorb, split_seen
-from ..operators.state import changes, latest
+from ..operators.percolate import percolate
+from ..operators.search import Brief, absorb, split_seen
+from ..operators.state import TRACKED, adjacent, changes, claim_changes, hashed, latest, scalar_changes
+from ..render import markdown
+from ..sources.readers import PUBLICATION, RECORD
 
 HITS = "theme string, run_date string, pub string"
 SNAPSHOT = "canonical string, fetched_at string, content_hash string"
@@ -39,32 +43,44 @@ def new_hits(hits: DataFrame) -> DataFrame:
     return hits.dropDuplicates(["theme", "pub"])
 
 
-def watch(spark: SparkSession, incoming: str, state: str, checkpoint: str) -> StreamingQuery:
+def watch(spark: SparkSession, incoming: str, state: str, checkpoint: str, briefs: list[Brief] | None = None, run_date: str = "") -> StreamingQuery:
     """Run once over files that have come in: per batch, hits not seen before are absorbed and reported.
 
-    The log of runs is written last and tells a finished batch, which does nothing when it runs again. One that broke
-    off in between reads the seen table without its own rows, so what it writes again is what it wrote, and readers
-    take the first date of each pair.
+    Files hold hits (theme, run_date, pub); with ``briefs`` they hold publications, one to a line, and every brief is
+    searched for in all of them in one pass, its name being the theme. The log of runs is written last and tells a
+    finished batch, which does nothing when it runs again. One that broke off in between reads the seen table without
+    its own rows, so what it writes again is what it wrote, and readers take the first date of each pair. Reports are a
+    folder for each batch.
     """
     schema = "theme string, pub string, first_seen string, batch bigint"
     runs = "theme string, run_date string, hits bigint, new bigint, batch bigint"
     _table(spark, f"{state}/seen", schema)
     _table(spark, f"{state}/runs", runs)
 
+    def found(batch: DataFrame) -> DataFrame:
+        if briefs is None:
+            return batch
+        themes = spark.createDataFrame([(i, b.name) for i, b in enumerate(briefs)], "brief int, theme string")
+        hits = percolate(batch.filter("publication_number IS NOT NULL").dropDuplicates(["publication_number"]), briefs)
+        return hits.join(F.broadcast(themes), "brief").select("theme", F.lit(run_date).alias("run_date"), F.col("publication_number").alias("pub"))
+
     def each(batch: DataFrame, batch_id: int) -> None:
         seen = spark.read.schema(schema).parquet(f"{state}/seen").filter(F.col("batch") != batch_id)
         logged = spark.read.schema(runs).parquet(f"{state}/runs").filter(F.col("batch") == batch_id)
         if not logged.isEmpty():
             return
-        fresh, _ = split_seen(batch, seen)
+        hits = found(batch).persist()
+        fresh, _ = split_seen(hits, seen)
         new = absorb(seen.limit(0), fresh).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        marked = batch.join(seen.select("theme", "pub", F.lit(True).alias("_old")), ["theme", "pub"], "left")
+        marked = hits.join(seen.select("theme", "pub", F.lit(True).alias("_old")), ["theme", "pub"], "left")
         counts = marked.groupBy("theme", "run_date").agg(F.countDistinct("pub").alias("hits"), F.countDistinct(F.when(F.col("_old").isNull(), F.col("pub"))).alias("new"))
         counts = counts.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        markdown.write(markdown.watch_reports(hits, fresh.dropDuplicates(["theme", "pub"])), f"{state}/reports/batch={batch_id}")
         new.write.mode("append").parquet(f"{state}/seen")
         counts.write.mode("append").parquet(f"{state}/runs")
+        hits.unpersist()
 
-    stream = spark.readStream.schema(HITS).json(incoming)
+    stream = spark.readStream.schema(HITS if briefs is None else PUBLICATION).json(incoming)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -92,3 +108,51 @@ def snapshots(spark: SparkSession, incoming: str, store: str, checkpoint: str) -
 
     stream = spark.readStream.schema(SNAPSHOT).json(incoming)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def records(spark: SparkSession, incoming: str, store: str, checkpoint: str, after_write: Callable[[str], None] = lambda _: None) -> StreamingQuery:
+    """Run once over fetched records that have come in (JSON lines with ``fetched_at``): per batch, what changed against
+    the snapshots stored before, field by field, and a report for each changed record.
+
+    ``snapshots``, ``changes``, ``reports`` and ``runs`` of the store have a folder for each batch, which is written over
+    when the batch runs again, and a batch reads folders of earlier batches only. So a run that broke off after any of
+    its writes and is started again leaves what an unbroken one does. Snapshots lie in shards by record, and a batch
+    reads the shards of its own records. ``after_write`` is told the name of each table as it is written.
+    """
+    schema, kept = f"{RECORD}, fetched_at string", f"{RECORD}, fetched_at string, content_hash string"
+    layout = f"{kept}, batch bigint, shard int"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        def written(rows: DataFrame, name: str, *by: str) -> None:
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{store}/{name}/batch={batch_id}")
+            after_write(name)
+
+        now = hashed(batch.filter("canonical IS NOT NULL")).withColumn("shard", F.pmod(F.xxhash64("canonical"), F.lit(SHARDS)).cast("int")).persist()
+        shards = [r["shard"] for r in now.select("shard").distinct().collect()]  # SHARDS at most
+        spark.createDataFrame([], layout).write.mode("append").partitionBy("batch", "shard").parquet(f"{store}/snapshots")
+        old = spark.read.schema(layout).parquet(f"{store}/snapshots").filter((F.col("batch") < batch_id) & F.col("shard").isin(shards))
+        last = latest(old.drop("batch").join(now.select("canonical").distinct(), "canonical", "left_semi")).persist()
+        came = now.join(last.select("canonical", F.col("fetched_at").alias("_last")), "canonical", "left").filter("_last IS NULL OR fetched_at > _last").drop("_last")
+        mark = lambda rows, new: rows.select(*[c.split()[0] for c in kept.split(", ")], "shard", F.lit(new).alias("_new"))
+        fresh = changes(mark(came, True).unionByName(mark(last, False))).filter("_new").drop("_new", "is_new")
+        written(fresh, "snapshots", "shard")
+        stored = spark.read.schema(f"{kept}, shard int").parquet(f"{store}/snapshots/batch={batch_id}")
+        pairs = adjacent(mark(stored, True).unionByName(mark(last, False)), TRACKED)
+        written(scalar_changes(pairs).unionByName(claim_changes(pairs)), "changes")
+        found = spark.read.schema("canonical string, fetched_at string, field string, before string, after string, kind string").parquet(f"{store}/changes/batch={batch_id}")
+        written(markdown.diff_reports(found), "reports")
+        known = last.select("canonical", F.lit(True).alias("_old")).join(now.select("canonical").distinct(), "canonical", "right")
+        changed = stored.select("canonical").distinct().withColumn("_kept", F.lit(True))
+        tell = lambda c: F.count_if(c).alias
+        counts = known.join(changed, "canonical", "left").agg(
+            F.count(F.lit(1)).alias("fetched"),
+            tell(F.col("_old").isNull())("new"),
+            tell(F.col("_old").isNotNull() & F.col("_kept").isNotNull())("changed"),
+            tell(F.col("_old").isNotNull() & F.col("_kept").isNull())("unchanged"),
+        )
+        written(counts, "runs")
+        now.unpersist()
+        last.unpersist()
+
+    stream = spark.readStream.schema(schema).json(incoming)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,7 +30,7 @@ def test_run_writes_reports_and_what_is_missing(spark, case):
     text = "\n".join(r["value"] for r in spark.read.text(f"{case}/out/reports").collect())
     assert "strict: " in text and " of " in text
     assert "US-8000001-B2" in text and "not a legal conclusion" in text
-    assert "LAPSED" in spark.read.text(f"{case}/out/facts").first()["value"]
+    assert "LAPSED" in "\n".join(r["value"] for r in spark.read.text(f"{case}/out/facts").collect())
     assert spark.read.parquet(f"{case}/out/scores").count() == 1
 
 
@@ -71,3 +71,41 @@ def test_site(spark, case):
     assert "patents: 1" in spark.read.text(f"{case}/out/banner").first()["value"]
     assert "US-8000001-B2.html" in spark.read.text(f"{case}/out/index").first()["value"]
     assert "<mark>" in spark.read.parquet(f"{case}/out/pages").first()["html"]
+
+
+def test_watch_runs_its_searches(spark, case):
+    """Publications come in twice; each brief reports what it hadn't seen, and a batch that ran does nothing again."""
+    pub = lambda n, title: {"publication_number": n, "country_code": "US", "publication_date": 20200101, "title_localized": [{"text": title, "language": "en"}], "abstract_localized": [], "cpc": [{"code": "H02J"}]}
+    (case / "briefs").mkdir()
+    (case / "briefs/a.json").write_text(json.dumps({"name": "coils", "keywords": [["coil"], ["it's", "100%"]]}))
+    (case / "briefs/b.json").write_text(json.dumps({"name": "power", "cpc": ["h02"]}))
+    (case / "in").mkdir()
+    argv = ["watch", f"{case}/in", f"{case}/state", f"{case}/mark", "--briefs", f"{case}/briefs", "--date"]
+    (case / "in/1.json").write_text("\n".join(json.dumps(pub(*x)) for x in (("P1", "A Coil at 100%"), ("P2", "a rod"))))
+    assert commands.main([*argv, "2024-01-01"], spark) == 0
+    (case / "in/2.json").write_text("\n".join(json.dumps(pub(*x)) for x in (("P1", "A Coil at 100%"), ("P3", "it's a coil"))))
+    assert commands.main([*argv, "2024-01-08"], spark) == 0
+    seen = {(r["theme"], r["pub"], r["first_seen"]) for r in spark.read.parquet(f"{case}/state/seen").collect()}
+    assert seen == {("coils", "P1", "2024-01-01"), ("power", "P1", "2024-01-01"), ("power", "P2", "2024-01-01"), ("coils", "P3", "2024-01-08"), ("power", "P3", "2024-01-08")}
+    runs = {(r["theme"], r["run_date"], r["hits"], r["new"]) for r in spark.read.parquet(f"{case}/state/runs").collect()}
+    assert runs == {("coils", "2024-01-01", 1, 1), ("power", "2024-01-01", 2, 2), ("coils", "2024-01-08", 2, 1), ("power", "2024-01-08", 2, 1)}
+    text = "\n".join(r["value"] for r in spark.read.text(f"{case}/state/reports/batch=1").collect())
+    assert "- P3" in text and "- P1" not in text and text.count("not a legal conclusion") == 2
+
+
+def test_written_tables_have_head_and_disclaimer(spark, case):
+    assert commands.main(["run", f"{case}/numbers.csv", f"{case}/records", f"{case}/spec.txt", f"{case}/out"], spark) == 0
+    for name, head in (("screening", "| Patent | Band"), ("facts", "| Number | Office")):
+        lines = [r["value"] for r in spark.read.text(f"{case}/out/{name}").collect()]
+        assert lines[0].startswith(head) and lines[-1].endswith("not a legal conclusion.") and "US-8000001-B2" in lines[2]
+
+
+def test_search_log_has_the_sql_that_ran(spark, case):
+    pub = {"publication_number": "US-1-A1", "title_localized": [{"text": "It's a Widget", "language": "en"}], "abstract_localized": [], "cpc": []}
+    (case / "pubs.json").write_text(json.dumps(pub))
+    (case / "brief.json").write_text(json.dumps({"name": "w", "keywords": [["it's a widget"]]}))
+    assert commands.main(["search", f"{case}/brief.json", f"{case}/pubs.json", f"{case}/out"], spark) == 0
+    text = "\n".join(r["value"] for r in spark.read.text(f"{case}/out/log").collect())
+    logged = text.split("```sql\n")[1].split("\n```")[0]
+    again = commands.search.SearchSql.from_log(logged).run(commands.readers.publications(spark, f"{case}/pubs.json"))
+    assert [r["publication_number"] for r in again.collect()] == ["US-1-A1"] and "US-1-A1" in text
