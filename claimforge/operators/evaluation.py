@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 LABELS = ("MATCH", "MISSING", "UNCLEAR")
@@ -44,27 +47,51 @@ def gate(name: str, rows: DataFrame, bad: Column) -> DataFrame:
     return rows.agg(wrong.alias("violations"), F.count(F.lit(1)).alias("checked")).select(F.lit(name).alias("gate"), (F.col("violations") == 0).alias("passed"), "checked", "violations")
 
 
+def rules(spec_text: str, disclaimer: str) -> dict[str, dict[str, Column]]:
+    """By table of a run its gates, and what a row that breaks one looks like: ``numbers`` as normalised, ``records`` with
+    source, ``verdicts`` with span, ``reports`` with text, and ``saved_twice``, what a second save of the same records
+    would write."""
+    weak = (F.col("confidence") < 0.85) | (F.col("office") == "UNKNOWN")
+    return {
+        "numbers": {"G-NORMALIZE-REVIEW": weak & ~F.col("needs_review")},
+        "records": {"G-PROVENANCE": F.coalesce(F.col("source"), F.lit("")) == ""},
+        "verdicts": {
+            "G-NO-GUESS": (F.col("verdict") == "MATCH") & F.col("span").isNull(),
+            "G-EVIDENCE-SUBSTRING": F.col("span").isNotNull() & ~F.contains(F.lit(spec_text), F.col("span")),
+            "G-UNCLEAR-REVIEW": (F.col("verdict") == "UNCLEAR") & ~F.col("needs_review"),
+        },
+        "reports": {"G-DISCLAIMER": ~F.contains(F.col("text"), F.lit(disclaimer))},
+        "saved_twice": {"G-SNAPSHOT-STABLE": F.col("is_new") | F.col("changed")},
+    }
+
+
 def gates(numbers: DataFrame, records: DataFrame, verdicts: DataFrame, spec_text: str, reports: DataFrame, disclaimer: str, saved_twice: DataFrame) -> DataFrame:
-    """The gate table of a run: ``gate, passed, checked, violations``.
+    """The gate table of a run: ``gate, passed, checked, violations``; see ``rules`` for the tables."""
+    tables = {"numbers": numbers, "records": records, "verdicts": verdicts, "reports": reports, "saved_twice": saved_twice}
+    every = [gate(name, tables[t], bad) for t, own in rules(spec_text, disclaimer).items() for name, bad in own.items()]
+    return reduce(DataFrame.unionByName, every)
 
-    ``numbers`` as normalised, ``records`` with source, ``verdicts`` with span, ``reports`` with text, and
-    ``saved_twice`` what a second save of the same records would write.
+
+def written_and_gated(tables: dict[str, DataFrame], spec_text: str, disclaimer: str, out: str) -> list[tuple[str, bool, int, int]]:
+    """Write the tables of a run as Parquet folders of ``out``, and ``(gate, passed, checked, violations)`` of each gate.
+
+    The gates are metrics observed while the tables are written, so none of them costs a pass of its own. A rule that
+    can't be told of a row counts as broken.
     """
-    weak = (F.col("confidence") < 0.85) | (F.col("office") == "UNKNOWN")
-    outside = F.col("span").isNotNull() & ~F.contains(F.lit(spec_text), F.col("span"))
-    all_gates = [
-        gate("G-NORMALIZE-REVIEW", numbers, weak & ~F.col("needs_review")),
-        gate("G-PROVENANCE", records, F.coalesce(F.col("source"), F.lit("")) == ""),
-        gate("G-NO-GUESS", verdicts, (F.col("verdict") == "MATCH") & F.col("span").isNull()),
-        gate("G-EVIDENCE-SUBSTRING", verdicts, outside),
-        gate("G-UNCLEAR-REVIEW", verdicts, (F.col("verdict") == "UNCLEAR") & ~F.col("needs_review")),
-        gate("G-DISCLAIMER", reports, ~F.contains(F.col("text"), F.lit(disclaimer))),
-        gate("G-SNAPSHOT-STABLE", saved_twice, F.col("is_new") | F.col("changed")),
-    ]
-    out = all_gates[0]
-    for g in all_gates[1:]:
-        out = out.unionByName(g)
-    return out
+    found = []
+    for table, own in rules(spec_text, disclaimer).items():
+        seen = Observation(table)
+        metrics = [F.count_if(F.coalesce(bad, F.lit(True))).alias(name) for name, bad in own.items()]
+        tables[table].observe(seen, F.count(F.lit(1)).alias("checked"), *metrics).write.mode("overwrite").parquet(f"{out}/{table}")
+        told = seen.get
+        found += [(name, told[name] == 0, told["checked"], told[name]) for name in own]
+    return found
+
+
+def gate_report(found: list[tuple[str, bool, int, int]]) -> str:
+    """The outcome of a run's gates as JSON."""
+    named = [dict(zip(("gate", "passed", "checked", "violations"), row, strict=True)) for row in found]
+    return json.dumps({"passed": all(row[1] for row in found), "gates": named}, indent=1)
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.text import sentences, stem, tokens
 
 # Thresholds of the judges and of the fusion.
 MATCH_SHARE, MATCH_TOKENS, SPAN = 0.6, 2, 200
-LENIENT_SHARE = 0.40
+LENIENT_SHARE, PART = 0.40, 4
 LEAST_CONFIDENCE = 0.3
 COVERED, GAP, AGREEMENT = 0.60, 0.30, 0.60
 
@@ -59,13 +59,49 @@ def lenient_matches(element: Column, stems: Column) -> Column:
 
     def met(e: Column) -> Column:
         own = e["stem"]
-        inside = lambda s: (F.length(own) >= 4) & (F.length(s) >= 4) & (F.contains(s, own) | F.contains(own, s))
+        inside = lambda s: (F.length(own) >= PART) & (F.length(s) >= PART) & (F.contains(s, own) | F.contains(own, s))
         return F.exists(stems, lambda s: (s == own) | inside(s))
 
     stemmed = F.transform(element, lambda t: F.struct(t.alias("token"), stem(t).alias("stem")))
     return F.filter(stemmed, met)["token"]
 
 
+def _grams(word: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - (PART - 1)), lambda i: F.substring(word, i, F.lit(PART))))
+
+
+def stem_matches(own: DataFrame, other: DataFrame) -> DataFrame:
+    """``own, other`` for the stems (a column of that name each) that match leniently: equal ones, and of those with
+    ``PART`` characters one that the other contains.
+
+    What a stem contains has its first ``PART`` characters among the stem's own stretches of that length, so the two
+    meet by equality there and are held against each other after. Only distinct stems meet, never texts.
+    """
+    own, other = own.select("own").distinct(), other.select("other").distinct()
+    found = own.join(other, F.col("own") == F.col("other"))
+    for short, long, a, b in (("own", "other", own, other), ("other", "own", other, own)):
+        starts = a.filter(F.length(short) >= PART).withColumn("_g", F.substring(short, 1, PART))
+        held = b.filter(F.length(long) >= PART).withColumn("_g", F.explode(_grams(long)))
+        found = found.unionByName(starts.join(held, "_g").filter(F.contains(long, F.col(short))).select("own", "other"))
+    return found.distinct()
+
+
+def lenient_over(elements: DataFrame, specs: DataFrame, key: str) -> DataFrame:
+    """``element, key, n_terms, n_matched`` for every distinct element and every specification (``key, spec``) of which
+    it leniently meets the share of terms that a match takes.
+
+    Specifications are as many as they are and none is broadcast: stems match stems once for all of them, then each
+    stem of an element meets the specifications that have a match for it, and terms are counted. Elements without
+    terms meet nothing; null specifications have no stems.
+    """
+    terms = elements.select("element").distinct().withColumn("_t", tokens(F.col("element")))
+    terms = terms.select("element", F.size("_t").cast("long").alias("n_terms"), F.explode("_t").alias("_term")).withColumn("own", stem(F.col("_term")))
+    said = specs.select(key, F.explode(tokens(F.col("spec"))).alias("_term")).select(key, stem(F.col("_term")).alias("other")).distinct()
+    meets = stem_matches(terms, said).join(said, "other").select("own", key).distinct()
+    counts = terms.join(meets, "own").groupBy("element", key, "n_terms").agg(F.count(F.lit(1)).alias("n_matched"))
+    return counts.filter(F.col("n_matched") / F.col("n_terms") >= LENIENT_SHARE)
+
+
 def lenient(element: Column, matched: Column, span: Column) -> Column:
     """Stem overlap, for recall; its span comes from surface tokens only, so a match by stems alone becomes unclear."""
     n, size = F.size(matched), F.size(element)

@@ -294,6 +294,20 @@ def judge_lenient(spark, sf_dir):
     return rows.select("canonical", "pos", "recall.*").withColumn("confidence", F.round("confidence", 4))
 
 
+_SPECS = cte("v_records") + f""", el AS (SELECT DISTINCT unnest({O.elements('claim')}) AS element FROM v_records),
+    tk AS (SELECT element, len(t) AS n_terms, unnest(t) AS token FROM (SELECT element, {O.tokens('element')} AS t FROM el)), e AS (SELECT *, {O.stem('token')} AS e FROM tk),
+    pt AS (SELECT DISTINCT page_id, unnest({O.tokens("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS token FROM pages), ps AS (SELECT DISTINCT page_id, {O.stem('token')} AS s FROM pt),
+    v AS (SELECT a.e, b.s FROM (SELECT DISTINCT e FROM e) a, (SELECT DISTINCT s FROM ps) b WHERE a.e = b.s OR (length(a.e) >= 4 AND length(b.s) >= 4 AND (contains(b.s, a.e) OR contains(a.e, b.s)))),
+    r AS (SELECT DISTINCT e, page_id FROM v JOIN ps USING (s))"""
+
+
+@query(_SPECS + " SELECT element, page_id, n_terms::BIGINT AS n_terms, count(*) AS n_matched FROM e JOIN r USING (e) GROUP BY 1, 2, 3 HAVING count(*) / n_terms >= 0.4")
+def lenient_specifications(spark, sf_dir):
+    """All claim elements against every page as a specification."""
+    specs = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("spec"))
+    return judges.lenient_over(scoring.claim_elements(_records(spark, sf_dir)), specs, "page_id")
+
+
 _COERCE = f"""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'MISSING' WHEN 2 THEN 'maybe' WHEN 3 THEN NULL ELSE 'MATCH' END AS v,
     CASE doc_id % 7 WHEN 0 THEN 'high' WHEN 1 THEN '1.7' WHEN 2 THEN '0.2' ELSE '0.75' END AS c, CASE doc_id % 4 WHEN 0 THEN 'red widget' WHEN 1 THEN 'made up' WHEN 2 THEN '' END AS s FROM documents),
     a AS (SELECT doc_id, CASE WHEN upper(v) IN ('MATCH', 'MISSING', 'UNCLEAR') THEN upper(v) ELSE 'UNCLEAR' END AS v, greatest(0.0, least(1.0, coalesce(try_cast(c AS DOUBLE), 0.0))) AS c, s FROM p),
@@ -673,6 +687,33 @@ def gates(spark, sf_dir):
     return evaluation.gates(_numbers(spark, sf_dir), rows.withColumn("source", F.lit("fixture")), verdicts, SPEC, reports, markdown.DISCLAIMER, state.to_save(hashed, hashed))
 
 
+@query(JUDGED + ", nn AS (" + _NUM + """ SELECT * FROM n), v AS (SELECT v1, pos FROM j), g AS (
+    SELECT 'G-NORMALIZE-REVIEW' AS gate, count(*) AS checked, count(*) FILTER ((confidence < 0.85 OR office = 'UNKNOWN') AND p_partkey % 5 = 0) AS violations FROM nn
+    UNION ALL SELECT 'G-PROVENANCE', count(*), count(*) FILTER (p_partkey % 41 = 0) FROM v_records UNION ALL SELECT 'G-DISCLAIMER', count(*), count(*) FILTER (p_partkey % 13 = 0) FROM v_records
+    UNION ALL SELECT 'G-NO-GUESS', count(*), count(*) FILTER (v1 = 'MATCH' AND pos % 2 = 0) FROM v UNION ALL SELECT 'G-EVIDENCE-SUBSTRING', count(*), count(*) FILTER (v1 = 'UNCLEAR' AND pos % 2 = 1) FROM v
+    UNION ALL SELECT 'G-UNCLEAR-REVIEW', count(*), count(*) FILTER (v1 = 'UNCLEAR' AND pos = 2) FROM v UNION ALL SELECT 'G-SNAPSHOT-STABLE', count(*), count(*) FILTER (p_partkey % 17 = 0) FROM v_records)
+    SELECT gate, violations = 0 AS passed, checked, violations FROM g""")
+def gates_observed(spark, sf_dir):
+    """Violations planted in every table of a run, found while the tables are written."""
+    rows = _records(spark, sf_dir)
+    key = F.col("p_partkey")
+    verdicts = judges.judge(scoring.claim_elements(rows), spec(spark)).select("canonical", "pos", "strict.*")
+    match, unclear = F.col("verdict") == "MATCH", F.col("verdict") == "UNCLEAR"
+    span = F.when(match & (F.col("pos") % 2 == 0), None).when(unclear & (F.col("pos") % 2 == 1), "made up").otherwise(F.col("span"))
+    reports = records.summaries(rows).join(rows.select("canonical", "p_partkey"), "canonical")
+    hashed = lambda r: state.hashed(r, ("abstract", "assignee", "claims", "title")).select("canonical", "content_hash", F.lit("1").alias("fetched_at"))
+    other = rows.withColumn("assignee", F.when(key % 17 == 0, "someone else").otherwise(F.col("assignee")))
+    tables = {
+        "numbers": _numbers(spark, sf_dir).withColumn("needs_review", F.col("needs_review") & (key % 5 != 0)),
+        "records": rows.withColumn("source", F.when(key % 41 == 0, "").otherwise("fixture")),
+        "verdicts": verdicts.withColumn("span", span).withColumn("needs_review", unclear & (F.col("pos") != 2)),
+        "reports": reports.select(F.concat_ws("\n", "one_line", F.when(key % 13 != 0, markdown.DISCLAIMER)).alias("text")),
+        "saved_twice": state.to_save(hashed(other), hashed(rows)),
+    }
+    found = evaluation.written_and_gated(tables, SPEC, markdown.DISCLAIMER, monitor.new_folder(spark, "gates"))
+    return spark.createDataFrame(found, "gate string, passed boolean, checked long, violations long")
+
+
 @query()
 def fingerprint(spark, sf_dir):
     """One hash for a run; two runs over the same input agree whatever the partitioning."""

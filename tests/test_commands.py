@@ -58,12 +58,17 @@ def test_watch_and_snapshots(spark, case):
     assert spark.read.parquet(f"{case}/store").count() == 1
 
 
-def test_selfcheck_fails_on_a_broken_gate(spark, monkeypatch):
-    rows = spark.createDataFrame([("G-A", True, 3, 0), ("G-B", False, 3, 1)], "gate string, passed boolean, checked int, violations int")
-    monkeypatch.setattr(commands.catalogue, "queries", lambda: {"gates": lambda spark, tables: rows})
-    assert commands.main(["selfcheck", "anywhere"], spark) == 1
-    monkeypatch.setattr(commands.catalogue, "queries", lambda: {"gates": lambda spark, tables: rows.filter("passed")})
-    assert commands.main(["selfcheck", "anywhere"], spark) == 0
+def test_selfcheck_over_given_inputs(spark, case):
+    """A record that doesn't say where it is from breaks a gate; with its source all gates pass."""
+    argv = ["selfcheck", f"{case}/numbers.csv", f"{case}/records", f"{case}/spec.txt"]
+    assert commands.main([*argv, f"{case}/out1"], spark) == 1
+    report = json.loads("\n".join(r["value"] for r in spark.read.text(f"{case}/out1/gates").collect()))
+    assert not report["passed"] and len(report["gates"]) == 7
+    assert [(g["gate"], g["violations"]) for g in report["gates"] if not g["passed"]] == [("G-PROVENANCE", 1)]
+    said = json.loads((case / "records/a.json").read_text()) | {"source": "fixture"}
+    (case / "records/a.json").write_text(json.dumps(said))
+    assert commands.main([*argv, f"{case}/out2"], spark) == 0
+    assert spark.read.parquet(f"{case}/out2/verdicts").count() == 2
 
 
 def test_site(spark, case):

@@ -6,7 +6,7 @@ import random
 import time
 
 import pytest
-from claimforge.operators import evidence, legal, percolate, search
+from claimforge.operators import evidence, judges, legal, percolate, search
 from claimforge.streaming import legal_fold
 from pyspark.sql import functions as F
 
@@ -159,3 +159,25 @@ def test_frequent_tokens_meet_few_sentences(spark, monkeypatch):
     monkeypatch.setattr(evidence, "counted", watched)
     assert evidence.best_sentences(spark.createDataFrame(said, "doc_id long, pos int, sentence string"), asked, "item_id", "text").count() == 40
     assert sum(m for m, _ in met) < 0.1 * met[0][1]
+
+
+def test_stems_that_contain_others(spark):
+    own, other = ["motor", "mot", "moto", "aaaa", "x", "bolt", "é日本語", ""], ["motor", "motors", "mo", "aaaaa", "aaab", "thunderbolt", "x", "日本語é日本語", "oto"]
+    met = judges.stem_matches(spark.createDataFrame([(w,) for w in own + own[:2]], "own string"), spark.createDataFrame([(w,) for w in other], "other string"))
+    want = {(a, b) for a in own for b in other if a == b or (len(a) >= 4 and len(b) >= 4 and (a in b or b in a))}
+    got = [tuple(r) for r in met.select("own", "other").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_lenient_over_many_equals_one_by_one(spark):
+    said = ["the red housing holds motors", "blue carriers, rail mounted", "", None, "x"]
+    elements = spark.createDataFrame([("a red motor housing",), ("rails carried by carriers",), ("a red motor housing",), ("the of",), (None,)], "element string")
+    specs = spark.createDataFrame(list(enumerate(said)), "k int, spec string")
+    got = {(r["element"], r["k"], r["n_matched"]) for r in judges.lenient_over(elements, specs, "k").collect()}
+    want = set()
+    for k, text in enumerate(said):
+        one = judges.specification(spark, text or "")
+        rows = elements.filter("element IS NOT NULL").distinct().crossJoin(one).withColumn("t", judges.tokens(F.col("element")))
+        rows = rows.select("element", F.size("t").alias("n"), F.size(judges.lenient_matches(F.col("t"), F.col("spec_stems"))).alias("m"))
+        want |= {(r["element"], k, r["m"]) for r in rows.collect() if r["n"] and r["m"] / r["n"] >= judges.LENIENT_SHARE}
+    assert got == want and got
