@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .scratch import cut_by
 
 #: Characters of text that share a block of words, but for a single longer text.
-BLOCK = 16_000_000
+BLOCK = 24_000_000
 #: Words of a row of places, and ids that are decoded at a time, but for a single longer document.
 ROW = 500_000
 #: Words whose ids go back to their blocks together.
