@@ -39,7 +39,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     scores = scoring.score(found, spec)
     markdown.write_table(markdown.screening_rows(scores), markdown.SCREENING_HEAD, f"{a.out}/screening")
     markdown.write_table(markdown.fact_rows(found), markdown.FACTS_HEAD, f"{a.out}/facts")
-    markdown.write(markdown.patent_reports(records.summaries(found), judges.fuse(judged)), f"{a.out}/reports")
+    fused = judges.fuse(judged)
+    markdown.write(markdown.patent_reports(records.summaries(found), fused, scoring.proposals(scores, fused)), f"{a.out}/reports")
     scores.write.mode("overwrite").parquet(f"{a.out}/scores")
     missing.write.mode("overwrite").option("header", True).csv(f"{a.out}/missing")
     return 0
@@ -120,6 +121,25 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def golden(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Labelled cases, each with a specification of its own: matrix, precision and recall per label, and accuracy; 1 if
+    that is under ``--least``."""
+    cases = readers.golden_cases(spark, a.cases)
+    elements = scoring.claim_elements(cases.select(F.col("case").alias("canonical"), "claims")).withColumnRenamed("canonical", "case")
+    judged = judges.judge(elements, judges.specifications(cases.select("case", "spec")), "case")
+    labels = cases.select("case", F.explode("labels").alias("l")).select("case", "l.element_substring", "l.expected")
+    pairs = evaluation.matched_labels(labels, judged.select("case", "pos", "element", F.col("strict.verdict").alias("verdict")))
+    pairs.write.mode("overwrite").parquet(f"{a.out}/pairs")
+    pairs = spark.read.schema(pairs.schema).parquet(f"{a.out}/pairs")
+    cells = evaluation.confusion(pairs)
+    head = f"| Expected | {' | '.join(sorted(evaluation.LABELS))} |\n|{'---|' * 4}"
+    markdown.write_table(markdown.matrix_rows(cells).coalesce(1).sortWithinPartitions("label"), head, f"{a.out}/matrix")
+    evaluation.precision_recall(cells).write.mode("overwrite").parquet(f"{a.out}/labels")
+    told = evaluation.accuracy(pairs).first()
+    print(f"{told['agreed']} of {told['total']} labels", file=sys.stderr)
+    return 0 if told["total"] and told["accuracy"] >= float(a.least) else 1
+
+
 COMMANDS = {
     "normalize": (normalize, ["numbers", "out"]),
     "run": (run, ["numbers", "records", "spec", "out"]),
@@ -129,6 +149,7 @@ COMMANDS = {
     "snapshots": (snapshots, ["incoming", "state", "checkpoint"]),
     "monitor": (follow, ["incoming", "state", "checkpoint"]),
     "selfcheck": (selfcheck, ["numbers", "records", "spec", "out"]),
+    "golden": (golden, ["cases", "out"]),
     "compare": (compare, ["labels", "records", "spec", "out"]),
 }
 
@@ -144,6 +165,8 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             sub.add_argument("--source", choices=sorted(readers.SOURCES), default="fixture")
         if name == "run":
             sub.add_argument("--legal")
+        if name == "golden":
+            sub.add_argument("--least", default="0.6")
         if name == "watch":
             sub.add_argument("--briefs")
             sub.add_argument("--date")

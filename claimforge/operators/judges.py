@@ -17,14 +17,18 @@ LEAST_CONFIDENCE = 0.3
 COVERED, GAP, AGREEMENT = 0.60, 0.30, 0.60
 
 
-def specification(spark: SparkSession, text: str) -> DataFrame:
-    """One row: the text, its tokens, their stems, and its sentences with their tokens, all worked out once."""
-    one = spark.createDataFrame([(text,)], "spec string")
+def specifications(texts: DataFrame) -> DataFrame:
+    """``texts`` (with ``spec``) with each text's tokens, their stems, and its sentences with their tokens."""
     parts = F.transform(sentences(F.col("spec")), lambda s: F.struct(s.alias("text"), tokens(s).alias("tokens")))
-    own = one.select("spec", tokens(F.col("spec")).alias("spec_tokens"), parts.alias("spec_sentences"))
+    own = texts.withColumns({"spec_tokens": tokens(F.col("spec")), "spec_sentences": parts})
     return own.withColumn("spec_stems", F.array_distinct(F.transform("spec_tokens", stem)))
 
 
+def specification(spark: SparkSession, text: str) -> DataFrame:
+    """One row: the text and what ``specifications`` says of it, all worked out once."""
+    return specifications(spark.createDataFrame([(text,)], "spec string"))
+
+
 def verdict(label: Column, span: Column, confidence: Column) -> Column:
     """The verdict constraint: a match needs a span and some confidence, a miss has none; all else is unclear and for review."""
     none = F.lit(None).cast("string")
@@ -155,9 +159,11 @@ def only_one(spec: DataFrame) -> DataFrame:
     return spec.limit(2).withColumn("_n", n).filter(told.cast("boolean")).drop("_n")
 
 
-def judge(elements: DataFrame, spec: DataFrame) -> DataFrame:
-    """``elements`` (with ``element``) with both channels' verdicts and their rationale; the specification is one row."""
-    rows = elements.withColumn("element_tokens", tokens(F.col("element"))).crossJoin(F.broadcast(only_one(spec)))
+def judge(elements: DataFrame, spec: DataFrame, key: str | None = None) -> DataFrame:
+    """``elements`` (with ``element``) with both channels' verdicts and their rationale; the specification is one row, or
+    with ``key`` that of the element's key."""
+    rows = elements.withColumn("element_tokens", tokens(F.col("element")))
+    rows = rows.join(spec, key) if key else rows.crossJoin(F.broadcast(only_one(spec)))
     # Matches and spans are columns of their own, so that each is worked out once however often a verdict refers to it.
     exact = F.array_intersect("element_tokens", "spec_tokens")
     rows = rows.withColumns({"_strict": exact, "_recall": lenient_matches(F.col("element_tokens"), F.col("spec_stems"))})

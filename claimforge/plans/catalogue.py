@@ -757,7 +757,8 @@ def watch_report(spark, sf_dir):
 
 @query()
 def patent_report(spark, sf_dir):
-    return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), _fused(spark, sf_dir))
+    fused = _fused(spark, sf_dir)
+    return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), fused, scoring.proposals(_scores(spark, sf_dir), fused))
 
 
 @query(JUDGED + """, c AS (SELECT count(*) AS n, sum(review_count) AS r, count(*) FILTER (risk_band = 'HIGH') AS h, count(*) FILTER (risk_band = 'MEDIUM') AS m, count(*) FILTER (risk_band = 'LOW') AS l, count(*) FILTER (risk_band = 'UNKNOWN') AS u FROM sc)

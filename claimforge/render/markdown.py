@@ -34,11 +34,12 @@ def screening_rows(scores: DataFrame) -> DataFrame:
     """``position key, line``: the screening table's lines; sort by ``band, coverage descending, canonical``."""
     pct = lambda c: F.concat(F.bround(c, 0).cast("int").cast("string"), F.lit("%"))
     spread = F.concat(pct(F.col("low")), F.lit("–"), pct(F.col("high")))
-    line = _row(F.col("canonical"), F.col("risk_band"), pct(F.col("coverage")), spread, F.col("gap_count"), F.col("review_count"))
+    of = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("n_elements").cast("string"))
+    line = _row(F.col("canonical"), F.col("risk_band"), pct(F.col("coverage")), spread, pct(100 * F.col("least")), of("gap_count"), of("review_count"))
     return scores.select(triage_rank().alias("band"), "coverage", "canonical", line.alias("line")).orderBy("band", F.desc("coverage"), "canonical")
 
 
-SCREENING_HEAD = _table("Patent", "Band", "Coverage", "Range", "Gaps", "To review")
+SCREENING_HEAD = _table("Patent", "Band", "Coverage", "Range", "Weakest", "Gaps", "To review")
 
 
 FACTS_HEAD = _table("Number", "Office", "Title", "Status", "Claims", "Family", "Source")
@@ -88,14 +89,41 @@ def escalations(fused: DataFrame) -> DataFrame:
     return _lines(fused.filter("needs_review"), "canonical", [F.col("pos")], F.concat(F.lit("- "), cell(F.col("element"), 80)), "escalation")
 
 
-def patent_reports(summaries: DataFrame, fused: DataFrame) -> DataFrame:
-    """``canonical, text``: one report per patent; says so where nothing is to be reviewed or no claims are known."""
+#: What each kind of proposal asks for; the element that it is about follows.
+ASKED = {
+    "design_around": "Every element is covered: have the wording examined, the weakest element first",
+    "clarify": "Some elements are thin: look into those below; the weakest",
+    "monitor": "An element is plainly missing: low priority; the weakest",
+    "obtain_claims": "No claims are known: get them before anything else",
+    "defence": "The specification says nothing of this element: an argument, or where to design around",
+    "interpretation": "In part only: have the meaning of this element's terms checked",
+}
+
+
+def proposal_lists(proposals: DataFrame) -> DataFrame:
+    """``canonical, proposals``: what to do about each patent, the general one first, then by element; the quotation that
+    it rests on below, where it rests on one."""
+    asked = F.element_at(F.create_map(*[F.lit(x) for kv in ASKED.items() for x in kv]), F.col("category"))
+    about = F.when(F.col("about") != "", F.concat(F.lit(": "), cell(F.col("about"), 80))).otherwise("")
+    basis = F.when(F.coalesce(F.col("basis"), F.lit("")) != "", F.concat(F.lit("\n  - “"), cell(F.col("basis")), F.lit("”"))).otherwise("")
+    line = F.concat(F.lit("- **"), F.replace(F.col("category"), F.lit("_"), F.lit(" ")), F.lit("** "), asked, about, basis)
+    return _lines(proposals, "canonical", [F.col("pos"), F.col("category")], line, "proposals")
+
+
+def patent_reports(summaries: DataFrame, fused: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
+    """``canonical, text``: one report per patent, with its proposals under the chart; says so where nothing is to be
+    reviewed or no claims are known."""
     rows = summaries.join(claim_charts(fused), "canonical", "left").join(escalations(fused), "canonical", "left")
+    if proposals is None:
+        rows = rows.withColumn("proposals", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(proposal_lists(proposals), "canonical", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("## "), F.col("canonical")),
         F.col("one_line"),
         F.coalesce("chart", F.lit("No claim elements.")),
+        F.concat(F.lit("Proposals:\n"), F.col("proposals")),
         F.concat(F.lit("Review:\n"), F.coalesce("escalation", F.lit("nothing marked for review"))),
         F.lit(DISCLAIMER),
     )

@@ -28,6 +28,10 @@ PUBLICATION = (
     "cpc array<struct<code:string>>, assignee_harmonized array<struct<name:string,country_code:string>>"
 )
 LEGAL = "map<string,struct<status:string,events:array<struct<date:string,code:string,description:string>>>>"
+CASE = (
+    "name string, description string, target_spec string, patent struct<canonical:string,office:string,number:string,title:string,claims:array<string>>, "
+    "expected_verdicts array<struct<element_substring:string,expected:string,rationale:string>>"
+)
 WORKSHEET = "array<struct<canonical:string,element:string,verdict:string,evidence_span:string,confidence:string,rationale:string>>"
 
 
@@ -82,6 +86,15 @@ def worksheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k", "pos")
 
 
+def golden_cases(spark: SparkSession, directory: str) -> DataFrame:
+    """``case, spec, claims, labels`` of labelled cases, one JSON object per file; of cases with one name the last by file
+    name counts."""
+    rows = spark.read.schema(CASE).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory).withColumn("_file", F.input_file_name())
+    last = Window.partitionBy("name").orderBy(F.desc("_file"))
+    rows = rows.filter("name IS NOT NULL").withColumn("_k", F.row_number().over(last)).filter("_k = 1")
+    return rows.select(F.col("name").alias("case"), F.col("target_spec").alias("spec"), "patent.claims", F.col("expected_verdicts").alias("labels"))
+
+
 def _text(node: ElementTree.Element | None) -> str:
     return " ".join("".join(node.itertext()).split()) if node is not None else ""
 

@@ -29,6 +29,7 @@ def test_run_writes_reports_and_what_is_missing(spark, case):
     assert [r["canonical"] for r in spark.read.option("header", True).csv(f"{case}/out/missing").collect()] == ["US-8000009-B2"]
     text = "\n".join(r["value"] for r in spark.read.text(f"{case}/out/reports").collect())
     assert "strict: " in text and " of " in text
+    assert "Proposals:" in text and "**defence** The specification says nothing of this element" in text and "a blue motor" in text
     assert "US-8000001-B2" in text and "not a legal conclusion" in text
     assert "LAPSED" in "\n".join(r["value"] for r in spark.read.text(f"{case}/out/facts").collect())
     assert spark.read.parquet(f"{case}/out/scores").count() == 1
@@ -114,3 +115,19 @@ def test_search_log_has_the_sql_that_ran(spark, case):
     logged = text.split("```sql\n")[1].split("\n```")[0]
     again = commands.search.SearchSql.from_log(logged).run(commands.readers.publications(spark, f"{case}/pubs.json"))
     assert [r["publication_number"] for r in again.collect()] == ["US-1-A1"] and "US-1-A1" in text
+
+
+def test_golden_cases(spark, case):
+    """Each case is judged by its own specification, as it is alone; labels that match no element are missing."""
+    cases = [("one", "The red housing has a carrier.", "1. A thing comprising: a red housing with a carrier; a blue motor", [("HOUSING", "MATCH"), ("motor", "MISSING"), ("nothing like it", "MISSING")]), ("two", "A blue motor turns.", "1. A thing comprising: a red housing with a carrier; a blue motor", [("housing", "MISSING"), ("blue motor", "MATCH")])]
+    (case / "cases").mkdir()
+    for name, spec, claim, labels in cases:
+        said = {"name": name, "target_spec": spec, "patent": {"canonical": f"US-{name}", "claims": [claim]}, "expected_verdicts": [{"element_substring": s, "expected": e} for s, e in labels]}
+        (case / f"cases/{name}.json").write_text(json.dumps(said, indent=1))
+    assert commands.main(["golden", f"{case}/cases", f"{case}/out", "--least", "1"], spark) == 0
+    pairs = spark.read.parquet(f"{case}/out/pairs").collect()
+    assert len(pairs) == 5 and all(r["agreed"] for r in pairs)
+    lines = [r["value"] for r in spark.read.text(f"{case}/out/matrix").collect()]
+    assert lines[0] == "| Expected | MATCH | MISSING | UNCLEAR |" and lines[2:5] == ["| MATCH | 2 | 0 | 0 |", "| MISSING | 0 | 3 | 0 |", "| UNCLEAR | 0 | 0 | 0 |"]
+    (case / "cases/one.json").write_text((case / "cases/one.json").read_text().replace("MISSING", "UNCLEAR"))
+    assert commands.main(["golden", f"{case}/cases", f"{case}/out", "--least", "0.9"], spark) == 1

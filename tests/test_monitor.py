@@ -60,8 +60,8 @@ def test_monitor(spark, tmp_path, breaks):
 
 
 def test_percent_is_half_even(spark):
-    scores = spark.createDataFrame([("A", "LOW", 62.5, 0.5, 63.5, 0, 0)], "canonical string, risk_band string, coverage double, low double, high double, gap_count int, review_count int")
-    assert "| 62% | 0%–64% |" in markdown.screening_rows(scores).first()["line"]
+    scores = spark.createDataFrame([("A", "LOW", 62.5, 0.5, 63.5, 0.125, 4, 1, 2)], "canonical string, risk_band string, coverage double, low double, high double, least double, n_elements int, gap_count int, review_count int")
+    assert "| 62% | 0%–64% | 12% | 1/4 | 2/4 |" in markdown.screening_rows(scores).first()["line"]
 
 
 def test_two_specifications_are_an_error(spark):
