@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import evaluation, evidence, judges, legal, percolate, records, scoring, search, state
+from ..operators import evaluation, evidence, judges, legal, percolate, ranks, records, scoring, search, state
 from ..render import markdown, pages
 from ..sources import readers
 from ..streaming import legal_fold, monitor
@@ -773,6 +773,27 @@ def pages_index(spark, sf_dir):
     return pages.index_rows(_records(spark, sf_dir), _scores(spark, sf_dir))
 
 
+_RANKED = JUDGED + """, k AS (SELECT canonical, row_number() OVER (ORDER BY CASE risk_band WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 WHEN 'UNKNOWN' THEN 3 ELSE 9 END, round(coverage, 9) DESC, canonical) AS rank FROM sc)"""
+
+
+@query(_RANKED + " SELECT * FROM k")
+def triage_numbers(spark, sf_dir):
+    """The place of each record in triage order; coverages that only differ by how a mean was summed are equal."""
+    rows = _scores(spark, sf_dir).select("canonical", "risk_band", F.round("coverage", 9).alias("coverage"))
+    return ranks.numbered(rows, scoring.triage_rank(), F.desc("coverage"), "canonical").select("canonical", "rank")
+
+
+@query(_RANKED + """, g AS (SELECT ((rank - 1) // 50 + 1)::BIGINT AS number, count(*) AS n, arg_min(canonical, rank) AS first, arg_max(canonical, rank) AS last FROM k GROUP BY 1),
+    z AS (SELECT *, max(number) OVER () AS most FROM g)
+    SELECT number, CASE WHEN number = 1 THEN 'index.html' ELSE concat('index-', number, '.html') END AS page, n, first, last,
+        CASE WHEN number = 2 THEN 'index.html' WHEN number > 2 THEN concat('index-', number - 1, '.html') END AS previous,
+        CASE WHEN number < most THEN concat('index-', number + 1, '.html') END AS next FROM z""")
+def pages_of_index(spark, sf_dir):
+    """The index as pages of 50 records, and which pages they lead to."""
+    scores = _scores(spark, sf_dir).withColumn("coverage", F.round("coverage", 9))
+    return pages.index_pages(_records(spark, sf_dir), scores, 50).drop("html")
+
+
 @query()
 def pages_detail(spark, sf_dir):
     rows = _records(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))

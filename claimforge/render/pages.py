@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clamped_percent, escaped, safe_link, safe_name
+from ..operators.ranks import numbered
 from ..operators.scoring import BANDS, triage_rank
 from .markdown import DISCLAIMER
 
 STYLE = "table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px}.HIGH,.gap{color:#a00}.MEDIUM,.partial{color:#a60}.LOW,.covered{color:#060}"
 
+#: Sorts a page's table by the column whose head is clicked, numbers as numbers, a second click the other way round.
+SORT = """document.querySelectorAll("th").forEach(function (head) {
+  head.onclick = function () {
+    var body = head.closest("table").tBodies[0], column = head.cellIndex, way = head.dataset.way === "1" ? -1 : 1;
+    head.dataset.way = way;
+    var said = function (row) { return row.cells[column].textContent.trim(); };
+    var lines = Array.from(body.rows).filter(function (row) { return row.cells[0].tagName === "TD"; });
+    lines.sort(function (a, b) { return way * said(a).localeCompare(said(b), undefined, {numeric: true}); });
+    lines.forEach(function (row) { body.appendChild(row); });
+  };
+});"""
+HEAD = ("No.", "Patent", "Title", "Assignee", "Date", "Status", "Risk")
+
 
 def _said(c: Column | str) -> Column:
     """Escaped; a dash where nothing is known."""
@@ -67,12 +87,58 @@ def risk(column: str = "risk_band") -> Column:
     return F.when(F.col(column).isNull(), "—").otherwise(told)
 
 
+def _cells() -> list[Column]:
+    link = F.concat(F.lit('<a href="'), escaped(safe_name(F.col("canonical"))), F.lit('.html">'), _said("canonical"), F.lit("</a>"))
+    return [_inside("td", c) for c in (link, _said("title"), _said("assignee"), _said("pub_date"), _said("legal_status"), risk())]
+
+
+def _listed(records: DataFrame, scores: DataFrame) -> DataFrame:
+    return records.select("canonical", "title", "assignee", "pub_date", "legal_status").join(scores, "canonical", "left")
+
+
 def index_rows(records: DataFrame, scores: DataFrame) -> DataFrame:
     """``canonical, html``: a table row per record, sorted by band, coverage and number; those without a score last."""
-    rows = records.select("canonical", "title", "assignee", "pub_date", "legal_status").join(scores, "canonical", "left")
-    link = F.concat(F.lit('<a href="'), escaped(safe_name(F.col("canonical"))), F.lit('.html">'), _said("canonical"), F.lit("</a>"))
-    cells = [_inside("td", c) for c in (link, _said("title"), _said("assignee"), _said("pub_date"), _said("legal_status"), risk())]
-    return rows.orderBy(triage_rank(), F.desc("coverage"), "canonical").select("canonical", _inside("tr", *cells).alias("html"))
+    rows = _listed(records, scores)
+    return rows.orderBy(triage_rank(), F.desc("coverage"), "canonical").select("canonical", _inside("tr", *_cells()).alias("html"))
+
+
+def index_name(number: Column) -> Column:
+    """File of an index page; the first is ``index.html``."""
+    return F.when(number == 1, "index.html").otherwise(F.concat(F.lit("index-"), number.cast("string"), F.lit(".html")))
+
+
+def index_pages(records: DataFrame, scores: DataFrame, size: int = 500) -> DataFrame:
+    """``number, page, n, first, last, previous, next, html``: the index as whole pages of ``size`` records in triage
+    order, each with the banner, its records' numbers in that order, and links to the pages beside it.
+
+    Rows are numbered by ``numbered``, so no task sees more than a page of them. Without records there is one page that
+    says so.
+    """
+    rows = numbered(_listed(records, scores), triage_rank(), F.desc("coverage"), "canonical")
+    line = _inside("tr", _inside("td", F.col("rank").cast("string")), *_cells())
+    rows = rows.select("rank", "canonical", line.alias("line"), F.ceil(F.col("rank") / size).alias("number"))
+    pages = rows.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("rank", "canonical", "line"))).alias("l"))  # ``size`` rows
+    ends = rows.agg(F.coalesce(F.max("number"), F.lit(1)).alias("last_number"))  # one row
+    heads = ends.crossJoin(F.broadcast(banner(scores).withColumnRenamed("html", "banner"))).withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last_number"))))
+    pages = heads.join(pages, "number", "left")
+    number = F.col("number")
+    before = F.when(number > 1, index_name(number - 1))
+    after = F.when(number < F.col("last_number"), index_name(number + 1))
+    link = lambda to, said: F.coalesce(F.concat(F.lit('<a href="'), to, F.lit(f'">{said}</a> ')), F.lit(""))
+    steps = _inside("nav", link(before, "previous"), F.concat(F.lit("page "), number.cast("string"), F.lit(" of "), F.col("last_number").cast("string"), F.lit(" ")), link(after, "next"))
+    top = "<tr>" + "".join(f"<th>{h}</th>" for h in HEAD) + "</tr>"
+    table = F.coalesce(_inside("table", F.lit(top), F.array_join(F.col("l.line"), "")), F.lit("<p>No records.</p>"))
+    ids = F.col("l.canonical")
+    return pages.select(
+        number.alias("number"),
+        index_name(number).alias("page"),
+        F.when(F.col("l").isNull(), 0).otherwise(F.size("l")).cast("bigint").alias("n"),
+        F.get(ids, F.lit(0)).alias("first"),
+        F.get(ids, F.size(ids) - 1).alias("last"),
+        before.alias("previous"),
+        after.alias("next"),
+        page(F.lit("Patents"), F.col("banner"), steps, table, steps, F.lit(f"<script>{SORT}</script>")).alias("html"),
+    )
 
 
 def _table(rows: DataFrame, order: list[str], head: tuple[str, ...], cells: list[Column], name: str) -> DataFrame:
@@ -114,8 +180,36 @@ def detail_pages(records: DataFrame, summaries: DataFrame, scores: DataFrame, fu
     return rows.select("canonical", F.concat(safe_name(F.col("canonical")), F.lit(".html")).alias("page"), page(F.col("canonical"), *body).alias("html"))
 
 
-def write_site(records: DataFrame, summaries: DataFrame, scores: DataFrame, fused: DataFrame, folder: str, changes: DataFrame | None = None) -> None:
-    """``banner``, ``index`` (table rows in triage order, part after part) and ``pages`` (``page, html``), written by tasks."""
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Each row (``page, html``) as a file of that name in ``folder``, a path or address that pyarrow opens; the result
+    tells ``page, bytes``, and files are written when it is used.
+
+    A task writes its files one by one under another name and moves them into place, so a file is whole or absent, and a
+    task that runs again writes what it wrote. Of rows with one name the last one moved stays.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{posixpath.abspath(folder)}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, html in zip(batch.column("page").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                said, part = (html or "").encode(), f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(said)
+                store.move(part, f"{root}/{name}")
+                sizes.append(len(said))
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(sizes, pa.int64())], names=["page", "bytes"])
+
+    return rows.select("page", "html").filter("page IS NOT NULL").mapInArrow(write, "page string, bytes bigint")
+
+
+def write_site(records: DataFrame, summaries: DataFrame, scores: DataFrame, fused: DataFrame, folder: str, changes: DataFrame | None = None, size: int = 500) -> None:
+    """``html`` (a file for each index page and each patent), ``files`` (their names and sizes), and as tables ``banner``,
+    ``index`` (table rows in triage order, part after part) and ``pages`` (``page, html``), all written by tasks."""
+    spark = records.sparkSession
     banner(scores).write.mode("overwrite").text(f"{folder}/banner")
     index_rows(records, scores).select("html").write.mode("overwrite").text(f"{folder}/index")
     detail_pages(records, summaries, scores, fused, changes).select("page", "html").write.mode("overwrite").parquet(f"{folder}/pages")
+    every = spark.read.schema("page string, html string").parquet(f"{folder}/pages").unionByName(index_pages(records, scores, size).select("page", "html"))
+    write_files(every, f"{folder}/html").write.mode("overwrite").parquet(f"{folder}/files")

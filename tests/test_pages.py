@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from claimforge.operators import ranks
 from claimforge.render import pages
 
 
@@ -31,3 +32,40 @@ def test_site(spark):
     b = got["B"]["html"]
     assert b.index("first <mark>part</mark>") < b.index("second") and "https://b/?a&amp;b" in b and "<td>&lt;</td>" in b and "one &amp; all" in b
     assert all(r["html"].startswith("<!DOCTYPE html>") and "not a legal conclusion" in r["html"] for r in got.values())
+
+
+def scored(spark, n):
+    kind = "canonical string, coverage double, low double, high double, agreement double, review_count bigint, risk_band string"
+    return spark.createDataFrame([(f"N{i:04d}", float(i % 7), 0.0, 9.0, 0.9, 0, ("HIGH", "MEDIUM", "LOW", "UNKNOWN")[i % 4]) for i in range(n)], kind)
+
+
+def test_numbers_are_those_of_one_sort(spark):
+    scores = scored(spark, 1000).repartition(7)
+    got = {r["canonical"]: r["rank"] for r in ranks.numbered(scores, F.desc("coverage"), "canonical").collect()}
+    wanted = sorted(scores.collect(), key=lambda r: (-r["coverage"], r["canonical"]))
+    assert got == {r["canonical"]: k for k, r in enumerate(wanted, 1)}
+    assert ranks.numbered(scores.limit(0), "canonical").collect() == []
+    same = spark.createDataFrame([(None,)] * 5 + [("x",)] * 5, "a string").repartition(4)
+    assert sorted(r["k"] for r in ranks.numbered(same, "a", name="k").collect()) == list(range(1, 11))
+
+
+def test_site_files(spark, tmp_path):
+    scores = scored(spark, 25)
+    records = scores.select("canonical", *[F.lit("x").alias(c) for c in ("office", "title", "assignee", "pub_date", "legal_status", "source_url")])
+    fused = spark.createDataFrame([], "canonical string, pos int, element string, span string, rationale string, p_coverage double, band string, needs_review boolean, matched_terms array<string>")
+    pages.write_site(records, records.select("canonical", F.lit("one").alias("one_line")), scores, fused, str(tmp_path), size=10)
+    names = {p.name for p in (tmp_path / "html").iterdir() if not p.name.startswith(".")}
+    assert names == {"index.html", "index-2.html", "index-3.html"} | {f"N{i:04d}.html" for i in range(25)}
+    second = (tmp_path / "html" / "index-2.html").read_text()
+    assert 'href="index.html">previous' in second and 'href="index-3.html">next' in second and "page 2 of 3" in second
+    assert "<td>11</td>" in second and "<td>20</td>" in second and "<td>21</td>" not in second and second.count("<tr><td>") == 10
+    assert "patents: 25" in second and "not a legal conclusion" in second and "<script>" in second
+    told = {r["page"]: r["bytes"] for r in spark.read.parquet(f"{tmp_path}/files").collect()}
+    assert told["index-2.html"] == len(second.encode()) and set(told) == names
+
+
+def test_index_without_records(spark):
+    none = scored(spark, 0)
+    records = none.select("canonical", *[F.lit("x").alias(c) for c in ("title", "assignee", "pub_date", "legal_status")])
+    got = pages.index_pages(records, none).collect()
+    assert [(r["page"], r["n"], r["first"], r["previous"], r["next"]) for r in got] == [("index.html", 0, None, None, None)] and "No records." in got[0]["html"]
