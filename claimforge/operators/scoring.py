@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import elements, squeezed
-from .judges import GAP, fuse, judge
+from .judges import CHANNELS, COVERED, GAP, fuse, judge
 
 # Thresholds of the bands, the widest half range, and the triage order.
 HIGH, MEDIUM, HALF = 0.70, 0.45, 25.0
@@ -60,6 +60,30 @@ def score(records: DataFrame, spec: DataFrame) -> DataFrame:
     )
 
 
+def percent(share: Column) -> Column:
+    """A share as whole percent, halves to the even neighbour."""
+    return F.concat(F.bround(100 * share, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def rationale(band: str = "risk_band", n: str = "n_elements", gaps: str = "gap_count") -> Column:
+    """Why a record is in its band, from how many elements it has and how many of them the specification lacks."""
+    count = lambda c: F.col(c).cast("string")
+    return (
+        F.when(F.col(n) == 0, "No claim elements are known, so there is no score: get the claims by hand.")
+        .when(F.col(band) == "HIGH", F.concat(F.lit("All "), count(n), F.lit(" elements of the independent claim are covered well and none is plainly missing: by the all-elements rule a literal reading is possible. Have it examined.")))
+        .when(F.col(band) == "MEDIUM", F.concat(count(gaps), F.lit(" of "), count(n), F.lit(" elements are thin: equivalents and differences of design are to be examined.")))
+        .otherwise(F.concat(count(gaps), F.lit(" of "), count(n), F.lit(" elements are plainly missing: by the all-elements rule a literal reading is unlikely.")))
+    )
+
+
+def element_rationale() -> Column:
+    """How a fused element came by its coverage: the mean, each channel's share, their agreement, and whether it would be
+    covered but for a span to show for it."""
+    each = F.concat_ws(", ", *[F.concat(F.lit(f"{name} "), percent(F.col(f"p_{name}"))) for name in sorted(CHANNELS)])
+    lowered = F.when((F.col("p_coverage") >= COVERED) & F.col("span").isNull(), "; partial only, as no span shows it").otherwise("")
+    return F.concat(F.lit("coverage "), percent(F.col("p_coverage")), F.lit(" ("), each, F.lit("), agreement "), percent(F.col("confidence")), lowered)
+
+
 def triage_rank(column: str = "risk_band") -> Column:
     out = F.lit(9)
     for k, b in enumerate(BANDS):

@@ -757,8 +757,9 @@ def watch_report(spark, sf_dir):
 
 @query()
 def patent_report(spark, sf_dir):
-    fused = _fused(spark, sf_dir)
-    return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), fused, scoring.proposals(_scores(spark, sf_dir), fused))
+    fused, scores = _fused(spark, sf_dir), _scores(spark, sf_dir)
+    verdicts = fused.select("canonical", "pos", "element", "strict.*")
+    return markdown.patent_reports(records.summaries(_records(spark, sf_dir)), fused, scoring.proposals(scores, fused), scores, verdicts)
 
 
 @query(JUDGED + """, c AS (SELECT count(*) AS n, sum(review_count) AS r, count(*) FILTER (risk_band = 'HIGH') AS h, count(*) FILTER (risk_band = 'MEDIUM') AS m, count(*) FILTER (risk_band = 'LOW') AS l, count(*) FILTER (risk_band = 'UNKNOWN') AS u FROM sc)
@@ -776,6 +777,20 @@ def pages_index(spark, sf_dir):
 _RANKED = JUDGED + """, k AS (SELECT canonical, row_number() OVER (ORDER BY CASE risk_band WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 WHEN 'UNKNOWN' THEN 3 ELSE 9 END, round(coverage, 9) DESC, canonical) AS rank FROM sc)"""
 
 
+@query(JUDGED + """ SELECT canonical, CASE WHEN n_elements = 0 THEN 'No claim elements are known, so there is no score: get the claims by hand.'
+    WHEN risk_band = 'HIGH' THEN concat('All ', n_elements, ' elements of the independent claim are covered well and none is plainly missing: by the all-elements rule a literal reading is possible. Have it examined.')
+    WHEN risk_band = 'MEDIUM' THEN concat(gap_count, ' of ', n_elements, ' elements are thin: equivalents and differences of design are to be examined.')
+    ELSE concat(gap_count, ' of ', n_elements, ' elements are plainly missing: by the all-elements rule a literal reading is unlikely.') END AS rationale FROM sc""")
+def score_rationale(spark, sf_dir):
+    return _scores(spark, sf_dir).select("canonical", scoring.rationale().alias("rationale"))
+
+
+@query(JUDGED + """ SELECT canonical, pos::INTEGER AS pos, concat('coverage ', round_even(100 * p, 0)::INT, '% (recall ', round_even(100 * p2, 0)::INT, '%, strict ', round_even(100 * p1, 0)::INT, '%), agreement ',
+    round_even(100 * agreement, 0)::INT, '%', CASE WHEN p >= 0.6 AND span IS NULL THEN '; partial only, as no span shows it' ELSE '' END) AS rationale FROM f""")
+def element_rationale(spark, sf_dir):
+    return _fused(spark, sf_dir).select("canonical", "pos", scoring.element_rationale().alias("rationale"))
+
+
 @query(_RANKED + " SELECT * FROM k")
 def triage_numbers(spark, sf_dir):
     """The place of each record in triage order; coverages that only differ by how a mean was summed are equal."""

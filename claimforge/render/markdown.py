@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cell
-from ..operators.scoring import triage_rank
+from ..operators.scoring import element_rationale, rationale, triage_rank
 
 # Fixed value: stands at the end of every report.
 DISCLAIMER = "Screening support only; not a legal conclusion."
@@ -79,7 +79,7 @@ def search_logs(explained: DataFrame, name: str, purpose: str, shown: int = 200,
 
 def claim_charts(fused: DataFrame) -> DataFrame:
     """``canonical, chart``: elements in claim order with coverage, evidence, what it rests on and the review mark."""
-    line = _row(cell(F.col("element"), 80), F.col("band"), F.round("p_coverage", 2), cell(F.col("span"), 100), cell(F.col("rationale"), 120), F.when(F.col("needs_review"), "review").otherwise(""))
+    line = _row(cell(F.col("element"), 80), F.col("band"), F.bround("p_coverage", 2), cell(F.col("span"), 100), cell(F.col("rationale"), 120), F.when(F.col("needs_review"), "review").otherwise(""))
     out = _lines(fused, "canonical", [F.col("pos")], line, "chart")
     return out.withColumn("chart", F.concat(F.lit(_table("Element", "Band", "Coverage", "Evidence", "Basis", "Review") + "\n"), F.col("chart")))
 
@@ -110,19 +110,38 @@ def proposal_lists(proposals: DataFrame) -> DataFrame:
     return _lines(proposals, "canonical", [F.col("pos"), F.col("category")], line, "proposals")
 
 
-def patent_reports(summaries: DataFrame, fused: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
-    """``canonical, text``: one report per patent, with its proposals under the chart; says so where nothing is to be
-    reviewed or no claims are known."""
-    rows = summaries.join(claim_charts(fused), "canonical", "left").join(escalations(fused), "canonical", "left")
-    if proposals is None:
-        rows = rows.withColumn("proposals", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(proposal_lists(proposals), "canonical", "left")
+def score_lines(scores: DataFrame) -> DataFrame:
+    """``canonical, score``: band, coverage with its range and agreement, and why it is that band."""
+    pct = lambda c: F.concat(F.bround(c, 0).cast("int").cast("string"), F.lit("%"))
+    told = F.concat(F.lit("**"), F.col("risk_band"), F.lit("** "), pct(F.col("coverage")), F.lit(" ("), pct(F.col("low")), F.lit("–"), pct(F.col("high")), F.lit("), agreement "), pct(100 * F.col("agreement")))
+    return scores.select("canonical", F.concat(F.when(F.col("n_elements") == 0, F.lit("**UNKNOWN**")).otherwise(told), F.lit("\n\n"), rationale()).alias("score"))
+
+
+def element_lists(fused: DataFrame) -> DataFrame:
+    """``canonical, shares``: how each element came by its coverage, in claim order."""
+    return _lines(fused, "canonical", [F.col("pos")], F.concat(F.lit("- "), cell(F.col("element"), 80), F.lit(": "), element_rationale()), "shares")
+
+
+def patent_reports(summaries: DataFrame, fused: DataFrame, proposals: DataFrame | None = None, scores: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """``canonical, text``: one report per patent: its score and why, if ``scores`` are given, the chart and how each
+    element came by its coverage, the table of ``verdicts``, and proposals; says so where nothing is to be reviewed or no
+    claims are known."""
+    rows = summaries.join(claim_charts(fused), "canonical", "left").join(escalations(fused), "canonical", "left").join(element_lists(fused), "canonical", "left")
+    parts = {
+        "score": None if scores is None else score_lines(scores),
+        "verdicts": None if verdicts is None else semantic_tables(verdicts).withColumnRenamed("text", "verdicts"),
+        "proposals": None if proposals is None else proposal_lists(proposals),
+    }
+    for name, part in parts.items():
+        rows = rows.withColumn(name, F.lit(None).cast("string")) if part is None else rows.join(part, "canonical", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("## "), F.col("canonical")),
         F.col("one_line"),
+        F.col("score"),
         F.coalesce("chart", F.lit("No claim elements.")),
+        F.col("shares"),
+        F.concat(F.lit("Verdicts:\n\n"), F.col("verdicts")),
         F.concat(F.lit("Proposals:\n"), F.col("proposals")),
         F.concat(F.lit("Review:\n"), F.coalesce("escalation", F.lit("nothing marked for review"))),
         F.lit(DISCLAIMER),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamped_percent, escaped, safe_link, safe_name
 from ..operators.ranks import numbered
-from ..operators.scoring import BANDS, triage_rank
+from ..operators.scoring import BANDS, element_rationale, rationale, triage_rank
 from .markdown import DISCLAIMER
 
 STYLE = "table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:4px}.HIGH,.gap{color:#a00}.MEDIUM,.partial{color:#a60}.LOW,.covered{color:#060}"
@@ -152,7 +152,8 @@ def chart(fused: DataFrame) -> DataFrame:
     """``canonical, chart``: elements and their evidence, the terms that both have marked, with coverage and basis."""
     mark = lambda c: highlighted(F.col(c), F.col("matched_terms"))
     band = badge(F.col("band"), ("covered", "partial", "gap"))
-    cells = [mark("element"), band, bar(100 * F.col("p_coverage")), mark("span"), _said("rationale"), F.when(F.col("needs_review"), "review").otherwise("")]
+    why = [F.col("rationale")] + [element_rationale()] * ("p_strict" in fused.columns)
+    cells = [mark("element"), band, bar(100 * F.col("p_coverage")), mark("span"), F.concat_ws("<br>", *[_said(c) for c in why]), F.when(F.col("needs_review"), "review").otherwise("")]
     return _table(fused, ["pos"], ("Element", "Band", "Coverage", "Evidence", "Basis", "Review"), cells, "chart")
 
 
@@ -172,6 +173,7 @@ def detail_pages(records: DataFrame, summaries: DataFrame, scores: DataFrame, fu
     body = [
         _inside("h1", _said("canonical")),
         _inside("p", risk()),
+        F.when(F.col("risk_band").isNull(), "").otherwise(_inside("p", rationale())) if "n_elements" in scores.columns else F.lit(""),
         _inside("dl", *facts, fact("Source", link)),
         _inside("p", _said("one_line")),
         F.coalesce("chart", F.lit("<p>No claim elements.</p>")),
