@@ -17,9 +17,23 @@ from .sources import readers
 from .streaming import monitor
 
 
-def _judged(spark: SparkSession, found: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
-    one = judges.specification(spark, Path(spec).read_text(encoding="utf-8"))
-    return one, judges.judge(scoring.claim_elements(found), one)
+JUDGES = ("keyless", "worksheet")
+
+
+class Unconfigured(Exception):
+    """A choice that lacks what it needs; the message says what to do."""
+
+
+def _judged(spark: SparkSession, found: DataFrame, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """The specification, and the elements judged by it: the recall channel is that of the chosen judge."""
+    chosen, filled = getattr(a, "judge", "keyless"), getattr(a, "verdicts", None)
+    if chosen == "worksheet" and not filled:
+        raise Unconfigured("--judge worksheet needs --verdicts: write a worksheet with the command `worksheet`, fill it in, and name it")
+    if filled and chosen != "worksheet":
+        raise Unconfigured("--verdicts is for --judge worksheet only")
+    one = judges.specification(spark, Path(a.spec).read_text(encoding="utf-8"))
+    judged = judges.judge(scoring.claim_elements(found), one)
+    return one, judges.by_worksheet(judged, readers.worksheet(spark, filled), one) if filled else judged
 
 
 def normalize(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -35,12 +49,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     found, missing = records.fetch(asked, readers.SOURCES[a.source](spark, a.records))
     if a.legal:
         found = legal.apply(found, readers.legal_status(spark, a.legal))
-    spec, judged = _judged(spark, found, a.spec)
-    scores = scoring.score(found, spec)
+    _, judged = _judged(spark, found, a)
+    fused = judges.fuse(judged)
+    scores = scoring.score_fused(found, fused)
     markdown.write_table(markdown.screening_rows(scores), markdown.SCREENING_HEAD, f"{a.out}/screening")
     markdown.write_table(markdown.fact_rows(found), markdown.FACTS_HEAD, f"{a.out}/facts")
-    fused = judges.fuse(judged)
-    markdown.write(markdown.patent_reports(records.summaries(found), fused, scoring.proposals(scores, fused)), f"{a.out}/reports")
+    verdicts = judged.select("canonical", "pos", "element", f"{'recall' if a.judge == 'worksheet' else 'strict'}.*")
+    markdown.write(markdown.patent_reports(records.summaries(found), fused, scoring.proposals(scores, fused), scores, verdicts), f"{a.out}/reports")
     scores.write.mode("overwrite").parquet(f"{a.out}/scores")
     missing.write.mode("overwrite").option("header", True).csv(f"{a.out}/missing")
     return 0
@@ -49,9 +64,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
 def site(spark: SparkSession, a: argparse.Namespace) -> int:
     """Pages of all records: banner, index in triage order and a page each; with ``--history`` what changed in each."""
     found = readers.SOURCES[a.source](spark, a.records)
-    spec, judged = _judged(spark, found, a.spec)
+    _, judged = _judged(spark, found, a)
+    fused = judges.fuse(judged)
     changes = spark.read.parquet(a.history) if a.history else None
-    pages.write_site(found, records.summaries(found), scoring.score(found, spec), judges.fuse(judged), a.out, changes)
+    pages.write_site(found, records.summaries(found), scoring.score_fused(found, fused), fused, a.out, changes, int(a.size))
+    return 0
+
+
+def worksheet(spark: SparkSession, a: argparse.Namespace) -> int:
+    """A worksheet of all claim elements, to be filled in and given to ``run --judge worksheet --verdicts``."""
+    readers.write_worksheet(scoring.claim_elements(readers.SOURCES[a.source](spark, a.records)), a.out)
     return 0
 
 
@@ -91,7 +113,7 @@ def selfcheck(spark: SparkSession, a: argparse.Namespace) -> int:
     """A run over given inputs with its gates watched as its tables are written; a JSON report, and 1 if any fails."""
     asked = numbers.normalise(readers.number_list(spark, a.numbers))
     found = readers.SOURCES[a.source](spark, a.records)
-    spec, judged = _judged(spark, found, a.spec)
+    spec, judged = _judged(spark, found, a)
     text = spec.first()["spec"]  # the file that was just read
     hashed = state.hashed(found).select("canonical", "content_hash", F.lit("1").alias("fetched_at"))
     tables = {
@@ -113,8 +135,9 @@ def selfcheck(spark: SparkSession, a: argparse.Namespace) -> int:
 def compare(spark: SparkSession, a: argparse.Namespace) -> int:
     """Verdicts against labels (``case, element_substring, expected``): precision and recall per label, and accuracy."""
     labels = spark.read.option("header", True).csv(a.labels)
-    _, judged = _judged(spark, readers.SOURCES[a.source](spark, a.records), a.spec)
-    verdicts = judged.select(F.col("canonical").alias("case"), "pos", "element", F.col("strict.verdict").alias("verdict"))
+    _, judged = _judged(spark, readers.SOURCES[a.source](spark, a.records), a)
+    channel = "recall" if a.judge == "worksheet" else "strict"
+    verdicts = judged.select(F.col("canonical").alias("case"), "pos", "element", F.col(f"{channel}.verdict").alias("verdict"))
     pairs = evaluation.matched_labels(labels, verdicts)
     evaluation.precision_recall(evaluation.confusion(pairs)).write.mode("overwrite").parquet(f"{a.out}/labels")
     evaluation.accuracy(pairs).write.mode("overwrite").parquet(f"{a.out}/accuracy")
@@ -144,6 +167,7 @@ COMMANDS = {
     "normalize": (normalize, ["numbers", "out"]),
     "run": (run, ["numbers", "records", "spec", "out"]),
     "site": (site, ["records", "spec", "out"]),
+    "worksheet": (worksheet, ["records", "out"]),
     "search": (find, ["brief", "records", "out"]),
     "watch": (watch, ["incoming", "state", "checkpoint"]),
     "snapshots": (snapshots, ["incoming", "state", "checkpoint"]),
@@ -161,8 +185,11 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         sub = commands.add_parser(name, help=does.__doc__)
         for place in places:
             sub.add_argument(place)
-        if name in ("run", "site", "compare", "selfcheck"):
+        if name in ("run", "site", "compare", "selfcheck", "worksheet"):
             sub.add_argument("--source", choices=sorted(readers.SOURCES), default="fixture")
+        if name in ("run", "site", "compare", "selfcheck"):
+            sub.add_argument("--judge", choices=JUDGES, default="keyless")
+            sub.add_argument("--verdicts")
         if name == "run":
             sub.add_argument("--legal")
         if name == "golden":
@@ -172,8 +199,13 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             sub.add_argument("--date")
         if name == "site":
             sub.add_argument("--history")
+            sub.add_argument("--size", default="500")
     a = parser.parse_args(argv)
-    return COMMANDS[a.command][0](spark or SparkSession.builder.appName("claimforge").getOrCreate(), a)
+    try:
+        return COMMANDS[a.command][0](spark or SparkSession.builder.appName("claimforge").getOrCreate(), a)
+    except Unconfigured as e:
+        print(e, file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -173,6 +173,26 @@ def judge(elements: DataFrame, spec: DataFrame, key: str | None = None) -> DataF
     return rows.select(*elements.columns, "element_tokens", "spec_tokens", *verdicts, why)
 
 
+def by_worksheet(judged: DataFrame, filled: DataFrame, spec: DataFrame) -> DataFrame:
+    """``judged`` with the verdicts of a filled worksheet (``canonical, element, verdict, evidence_span, confidence``) as
+    its recall channel, looked up by record and by the element without white space around it.
+
+    A row without a canonical number counts for that element of every record that has no row of its own. What isn't
+    filled in is unclear and for review, and what is goes through ``coerce``, as the answers of every outside judge do.
+    A worksheet may hold a row only once; of repeated rows the readers keep the last.
+    """
+    said = filled.filter(F.trim(F.coalesce("verdict", F.lit(""))) != "")
+    payload = F.struct("verdict", F.col("confidence").cast("string").alias("confidence"), F.col("evidence_span").alias("span"))
+    own = said.filter("canonical IS NOT NULL").select("canonical", F.trim("element").alias("_e"), payload.alias("_own"))
+    any_of = said.filter("canonical IS NULL").select(F.trim("element").alias("_e"), payload.alias("_any"))
+    rows = judged.withColumn("_e", F.trim("element")).join(own, ["canonical", "_e"], "left").join(any_of, "_e", "left")
+    rows = rows.withColumn("_a", F.coalesce("_own", "_any")).crossJoin(F.broadcast(only_one(spec).select(F.col("spec").alias("_spec"))))
+    answer = F.when(F.col("_a").isNull(), verdict(F.lit("UNCLEAR"), F.lit(None).cast("string"), F.lit(0.0))).otherwise(coerce(F.col("_a.verdict"), F.col("_a.confidence"), F.col("_a.span"), F.col("_spec")))
+    terms = F.coalesce(F.regexp_extract("rationale", "^(.*); recall: ", 1), F.lit(""))
+    told = F.concat(F.when(terms != "", F.concat(terms, F.lit("; "))).otherwise(""), F.when(F.col("_a").isNull(), "worksheet: not filled in").otherwise("worksheet: filled in"))
+    return rows.withColumns({"recall": answer, "rationale": told}).select(*judged.columns)
+
+
 def coverage(one: Column) -> Column:
     return F.when(one["verdict"] == "MISSING", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), one["confidence"])))
 

@@ -31,8 +31,12 @@ def band(gaps: Column, mean: Column) -> Column:
 
 
 def score(records: DataFrame, spec: DataFrame) -> DataFrame:
+    """``score_fused`` with both channels of ``judges.judge``."""
+    return score_fused(records, fuse(judge(claim_elements(records), spec)))
+
+
+def score_fused(records: DataFrame, fused: DataFrame) -> DataFrame:
     """One row per record: coverage in percent with its range, gaps, reviews and risk band; UNKNOWN without elements."""
-    fused = fuse(judge(claim_elements(records), spec))
     summed = fused.groupBy("canonical").agg(
         F.count(F.lit(1)).alias("n_elements"),
         F.avg("p_coverage").alias("mean"),

@@ -62,9 +62,9 @@ def _place() -> list[Column]:
     return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_pos")]
 
 
-def _last(rows: DataFrame, key: str) -> DataFrame:
+def _last(rows: DataFrame, *key: str) -> DataFrame:
     """Of rows with one key the last by file name and place, however the files were split."""
-    order = Window.partitionBy(key).orderBy(F.desc("_file"), F.desc("_start"), F.desc("_pos"))
+    order = Window.partitionBy(*key).orderBy(F.desc("_file"), F.desc("_start"), F.desc("_pos"))
     return rows.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "_file", "_start", "_pos")
 
 
@@ -78,14 +78,28 @@ def legal_status(spark: SparkSession, path: str) -> DataFrame:
 
 
 def worksheet(spark: SparkSession, path: str) -> DataFrame:
-    """Filled verdict rows of a worksheet: an object with ``elements``, or a bare list; of equal elements the last counts."""
+    """Filled verdict rows of a worksheet, of equal elements of a record the last: a JSON document (an object with
+    ``elements``, or a bare list), or, where the path doesn't end in ``.json``, a folder of rows, one a line, as
+    ``write_worksheet`` leaves it. Rows without an element are dropped."""
+    if not path.endswith(".json"):
+        row = WORKSHEET.removeprefix("array<struct<").removesuffix(">>").replace(":", " ")
+        rows = spark.read.schema(row).json(path).select("*", *_place()).withColumn("element", F.trim("element")).filter("element <> ''")
+        return _last(rows, "canonical", "element")
     text = spark.read.text(path, wholetext=True)
     listed = F.coalesce(F.from_json(F.get_json_object("value", "$.elements"), WORKSHEET), F.from_json("value", WORKSHEET))
-    rows = text.select(F.posexplode(listed).alias("pos", "e")).select("pos", "e.*").withColumn("element", F.trim("element"))
+    rows = text.select(F.posexplode(listed).alias("pos", "e")).select("pos", "e.*").withColumn("element", F.trim("element")).filter("element <> ''")
     last = Window.partitionBy("canonical", "element").orderBy(F.desc("pos"))
     return rows.withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k", "pos")
 
 
+def write_worksheet(elements: DataFrame, path: str) -> None:
+    """Every element of every record once, a JSON line each, to be filled in: ``verdict``, ``evidence_span`` (copied from
+    the specification to the letter, else empty), ``confidence`` from 0 to 1, ``rationale``."""
+    blank = [F.lit("").alias(c) for c in ("verdict", "evidence_span", "confidence", "rationale")]
+    rows = elements.groupBy("canonical", F.trim("element").alias("element")).agg(F.min("pos").alias("pos"))
+    rows.select("canonical", "pos", "element", *blank).write.mode("overwrite").json(path)
+
+
 def golden_cases(spark: SparkSession, directory: str) -> DataFrame:
     """``case, spec, claims, labels`` of labelled cases, one JSON object per file; of cases with one name the last by file
     name counts."""

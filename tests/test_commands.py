@@ -131,3 +131,34 @@ def test_golden_cases(spark, case):
     assert lines[0] == "| Expected | MATCH | MISSING | UNCLEAR |" and lines[2:5] == ["| MATCH | 2 | 0 | 0 |", "| MISSING | 0 | 3 | 0 |", "| UNCLEAR | 0 | 0 | 0 |"]
     (case / "cases/one.json").write_text((case / "cases/one.json").read_text().replace("MISSING", "UNCLEAR"))
     assert commands.main(["golden", f"{case}/cases", f"{case}/out", "--least", "0.9"], spark) == 1
+
+
+def test_worksheet_filled_in_judges_a_run(spark, case, capsys):
+    base = [f"{case}/numbers.csv", f"{case}/records", f"{case}/spec.txt"]
+    assert commands.main(["worksheet", f"{case}/records", f"{case}/sheet"], spark) == 0
+    rows = [json.loads(line) for p in sorted((case / "sheet").glob("part-*.json")) for line in p.read_text().splitlines()]
+    assert [r["element"] for r in sorted(rows, key=lambda r: r["pos"])] == ["a red housing with a carrier", "a blue motor"]
+    assert commands.main(["run", *base, f"{case}/none", "--judge", "worksheet"], spark) == 2
+    assert "--verdicts" in capsys.readouterr().err and not (case / "none").exists()
+    assert commands.main(["run", *base, f"{case}/none", "--verdicts", "x"], spark) == 2
+    (case / "filled").mkdir()
+    said = [
+        {"canonical": "US-8000001-B2", "element": " a red housing with a carrier ", "verdict": "unclear", "evidence_span": "", "confidence": "0.1"},
+        {"canonical": "US-8000001-B2", "element": "a red housing with a carrier", "verdict": "match", "evidence_span": "red housing has a carrier", "confidence": "0.8"},
+        {"canonical": None, "element": "a blue motor", "verdict": "MATCH", "evidence_span": "made up", "confidence": "0.9"},
+        {"canonical": "US-8000001-B2", "element": "", "verdict": "MATCH"},
+    ]
+    (case / "filled" / "a.json").write_text("\n".join(json.dumps(r) for r in said))
+    assert commands.main(["run", *base, f"{case}/out", "--judge", "worksheet", "--verdicts", f"{case}/filled"], spark) == 0
+    got = spark.read.parquet(f"{case}/out/scores").first()
+    # First element: strict 1, worksheet 0.8; second: strict misses it (0), and the quotation stands nowhere, so it is unclear at 0.9.
+    assert got["n_elements"] == 2 and abs(got["coverage"] - 100 * (0.9 + 0.45) / 2) < 1e-9
+    text = "\n".join(r["value"] for r in spark.read.text(f"{case}/out/reports").collect())
+    assert "worksheet: filled in" in text and "| MATCH | red housing has a carrier | 0.80 |" in text and "Verdicts:" in text and "made up" not in text
+
+
+def test_worksheet_not_filled_in_is_unclear(spark, case):
+    (case / "sheet.json").write_text(json.dumps({"elements": [{"canonical": "US-8000001-B2", "element": "a blue motor", "verdict": " "}]}))
+    (case / "labels.csv").write_text("case,element_substring,expected\nUS-8000001-B2,housing,UNCLEAR\nUS-8000001-B2,motor,UNCLEAR\n")
+    assert commands.main(["compare", f"{case}/labels.csv", f"{case}/records", f"{case}/spec.txt", f"{case}/cmp", "--judge", "worksheet", "--verdicts", f"{case}/sheet.json"], spark) == 0
+    assert spark.read.parquet(f"{case}/cmp/accuracy").first()["accuracy"] == 1.0
