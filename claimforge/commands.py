@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers
-from .operators import evaluation, judges, legal, records, scoring, search, state
+from .operators import embedders, evaluation, judges, legal, records, scoring, search, state
 from .render import markdown, pages
 from .sources import readers
 from .streaming import monitor
@@ -78,13 +78,16 @@ def worksheet(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def find(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Candidates of a brief, one per family, and the log of the search with the SQL that was run."""
+    """Candidates of a brief, one per family, with ``--semantic`` in the order of both channels, and the log of the search with the SQL that was run."""
     brief = search.Brief.load(Path(a.brief).read_text(encoding="utf-8"))
     made = search.search_sql(brief)
     hits = made.run(readers.publications(spark, a.records))
     explained = search.explained(hits, brief)
-    best = search.one_per_family(search.rank(hits, brief))
-    best.select(F.col("publication_number").alias("number"), F.concat(F.lit("score "), F.col("score").cast("string")).alias("note")).write.mode("overwrite").option("header", True).csv(f"{a.out}/candidates")
+    best, note = search.one_per_family(search.rank(hits, brief)), F.concat(F.lit("score "), F.col("score").cast("string"))
+    if a.semantic:
+        best = embedders.both_channels(hits, brief, embedders.EMBEDDERS.get(a.semantic))
+        note = F.concat_ws("; ", note, F.concat(F.lit("combined "), F.format_string("%.3f", "combined")), F.array_join("notes", "; "))
+    best.select(F.col("publication_number").alias("number"), note.alias("note")).write.mode("overwrite").option("header", True).csv(f"{a.out}/candidates")
     markdown.write(markdown.search_logs(explained, brief.name or "search", brief.purpose, sql=made.logged()), f"{a.out}/log")
     return 0
 
@@ -190,6 +193,8 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         if name in ("run", "site", "compare", "selfcheck"):
             sub.add_argument("--judge", choices=JUDGES, default="keyless")
             sub.add_argument("--verdicts")
+        if name == "search":
+            sub.add_argument("--semantic", choices=["tfidf", *sorted(embedders.EMBEDDERS)])
         if name == "run":
             sub.add_argument("--legal")
         if name == "golden":

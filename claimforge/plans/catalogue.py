@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import evaluation, evidence, judges, legal, percolate, ranks, records, scoring, search, state
+from ..operators import embedders, evaluation, evidence, judges, legal, percolate, ranks, records, scoring, search, state
 from ..render import markdown, pages
 from ..sources import readers
 from ..streaming import legal_fold, monitor
@@ -390,6 +390,18 @@ def worksheet_join(spark, sf_dir):
     return joined.select("canonical", "pos", checked["verdict"].alias("verdict"), checked["span"].alias("span"))
 
 
+@query(JUDGED + """, w0 AS (SELECT canonical, pos, p1, CASE WHEN contains(element, 'red') THEN 'MATCH' ELSE 'UNCLEAR' END AS verdict, CASE WHEN contains(element, 'red') THEN 0.9 ELSE 0.0 END AS p2 FROM f)
+    SELECT canonical, pos::INTEGER AS pos, verdict, p2::DOUBLE AS p_recall, round((p1 + p2) / 2, 6) AS p_coverage FROM w0""")
+def worksheet_judge(spark, sf_dir):
+    """A filled worksheet as the recall channel, fused with the strict one."""
+    elements = scoring.claim_elements(_records(spark, sf_dir))
+    filled = elements.filter(F.contains("element", F.lit("red"))).select(F.trim("element").alias("element")).distinct()
+    filled = filled.select(F.lit(None).cast("string").alias("canonical"), "element", F.lit("MATCH").alias("verdict"), F.lit("red widget").alias("evidence_span"), F.lit("0.9").alias("confidence"))
+    one = spec(spark)
+    fused = judges.fuse(judges.by_worksheet(judges.judge(elements, one), filled, one))
+    return fused.select("canonical", "pos", F.col("recall.verdict").alias("verdict"), "p_recall", F.round("p_coverage", 6).alias("p_coverage"))
+
+
 # ---- search ----
 
 _HITS = """, k AS (SELECT *, contains(lower(title), 'thion') OR contains(lower(title), 'the') AS t1, contains(lower(abstract), 'thion') OR contains(lower(abstract), 'the') AS a1,
@@ -507,6 +519,20 @@ def semantic_fusion(spark, sf_dir):
     return rows.withColumn("semantic", F.round("semantic", 6)).withColumn("combined", F.round("combined", 6))
 
 
+_DENSE = ", d AS (" + O.hashed_counts("SELECT doc_id AS id, text FROM documents", 256) + "), dq AS (" + O.hashed_counts(f"SELECT 0 AS id, '{QUERY}' AS text", 256) + """),
+    dn AS (SELECT id, sqrt(sum(c * c)) AS norm FROM d GROUP BY 1), dp AS (SELECT d.id, sum(d.c * dq.c) AS dot FROM d JOIN dq ON dq.bucket = d.bucket GROUP BY 1),
+    dsem AS (SELECT x.doc_id AS id, coalesce(dot / (norm * (SELECT sqrt(sum(c * c)) FROM dq)), 0.0) AS semantic FROM documents x LEFT JOIN dn ON dn.id = x.doc_id LEFT JOIN dp ON dp.id = x.doc_id)"""
+
+
+@query(_PUB + _HITS + _DENSE + """, m AS (SELECT r.doc_id AS id, score, semantic, score / coalesce(nullif(max(score) OVER (), 0), 1) AS kn, semantic / coalesce(nullif(max(semantic) OVER (), 0), 1) AS sn FROM r JOIN dsem ON dsem.id = r.doc_id)
+    SELECT id, score::BIGINT AS score, round(semantic, 6) AS semantic, round((kn + sn) / 2, 6) AS combined, abs(kn - sn) > 0.5 AS needs_review FROM m""")
+def dense_fusion(spark, sf_dir):
+    """Keywords and the vectors of an embedder, over whole texts."""
+    keyword = _ranked(spark, sf_dir).select(F.split("publication_number", "-")[1].cast("bigint").alias("id"), "score")
+    rows = search.fused(keyword, embedders.dense_similarity(_table(spark, sf_dir, "documents"), QUERY, embedders.EMBEDDERS["hash"]))
+    return rows.withColumn("semantic", F.round("semantic", 6)).withColumn("combined", F.round("combined", 6))
+
+
 @query("""SELECT a.vec_id, b.vec_id AS query_id, round(greatest(0.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
     FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) b""")
 def embedding_cosine(spark, sf_dir):

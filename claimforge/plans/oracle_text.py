@@ -83,6 +83,12 @@ def semantic_tokens(x: str) -> str:
     return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]{{2,}}')"
 
 
+def hashed_counts(texts: str, dimensions: int) -> str:
+    """``id, bucket, c``: words of each text, dealt to buckets by the first 16 bits of their MD5, and counted."""
+    words = f"SELECT id, unnest({semantic_tokens('text')}) AS term FROM ({texts})"
+    return f"SELECT id, (('0x' || left(md5(term), 4))::BIGINT % {dimensions}) AS bucket, count(*) AS c FROM ({words}) GROUP BY 1, 2"
+
+
 def tfidf(query: str) -> str:
     """CTEs over documents to ``w`` (id, term, weight), ``qw`` (term, weight) and ``sem`` (id, semantic)."""
     return f"""
