@@ -41,7 +41,7 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "attribution sharealike"),
 )
-#: Anchors of a template: its words with the highest IDF; the share of its IDF that must stand in place.
+#: Anchors of a template: the words of its key phrase with the highest IDF; the share of its IDF that must stand in place.
 ANCHORS, SHARE = 2, 0.7
 
 
@@ -63,10 +63,19 @@ def idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text_col:
     return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) + 1e-3 for w in vocabulary}
 
 
+def key_place(template: Template) -> int:
+    """Where the key phrase first stands in the template, in words."""
+    own, key = template.text.split(), template.key.split()
+    return next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+
+
 def anchors(template: Template, weights: dict[str, float]) -> list[tuple[str, int]]:
-    """The words of the template with the highest IDF that it has once, and their places."""
-    own = template.text.split()
-    return sorted({w: own.index(w) for w in own if own.count(w) == 1}.items(), key=lambda x: (-weights[x[0]], x[1]))[:ANCHORS]
+    """The distinct words of the key phrase with the highest IDF, and their places in the template.
+
+    The key phrase has to stand whole, so its words are in place wherever the template is found: no start is missed for
+    a word that the file has changed elsewhere, and the share of IDF alone decides on those."""
+    at, key = key_place(template), template.key.split()
+    return sorted({w: at + key.index(w) for w in key}.items(), key=lambda x: (-weights[x[0]], x[1]))[:ANCHORS]
 
 
 def postings(tokens: Column, rare: list[str]) -> Column:
@@ -96,7 +105,7 @@ def _in_place(tokens: Column, start: Column, own: list[str], at: int = 0) -> lis
 def _verified(tokens: Column, found: Column, template: Template, weights: dict[str, float], share: float) -> Column:
     """``array<struct<start, score>>`` of the starts whose key phrase stands whole and whose words in place hold ``share`` of the IDF."""
     own, key = template.text.split(), template.key.split()
-    at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+    at = key_place(template)
     whole = sum(weights[w] for w in own)
 
     def judged(start: Column) -> Column:

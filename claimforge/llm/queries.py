@@ -134,4 +134,15 @@ def oracle_sql() -> dict[str, str]:
             z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
             SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 200
         """,
+        "op10_ngram_join": rf"""
+            WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2], ' ', w[i + 3])) END) AS g FROM d),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+            c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * met >= 85 * (a.n + b.n - met)),
+            e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+            r AS (SELECT doc_id, doc_id AS found FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.found)
+            SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(found) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1
+        """,
     }
