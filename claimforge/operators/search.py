@@ -7,8 +7,11 @@ from dataclasses import dataclass, fields
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import semantic_tokens
 
@@ -256,15 +259,6 @@ def fused(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return rows.select("id", "score", "semantic", ((F.col("k") + F.col("s")) / 2).alias("combined"), (F.abs(F.col("k") - F.col("s")) > APART).alias("needs_review"))
 
 
-def against(rows: DataFrame, asked: DataFrame, block: int = 512) -> DataFrame:
-    """Every row with every query, by blocks: queries are dealt to blocks of about ``block`` rows, and a row goes once to
-    each block, so that no task ever holds all queries."""
-    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).cast("int").alias("_n"))  # one row
-    dealt = asked.crossJoin(F.broadcast(blocks)).withColumn("_b", F.pmod(F.xxhash64("query_id"), "_n").cast("int")).drop("_n")
-    each = rows.crossJoin(F.broadcast(blocks)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    return each.join(dealt, "_b").drop("_b")
-
-
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, 0 at least; a zero vector has norm 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -272,6 +266,60 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), dot(a, b) / (norm(a) * norm(b)))
 
 
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the places of the vectors that have it and these as a matrix; those that are null or hold a null are in
+    none."""
+    lists = column.combine_chunks()
+    ends, values = lists.offsets.to_numpy(), lists.values
+    gaps = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    whole = lists.is_valid().to_numpy(zero_copy_only=False) & (gaps[ends[1:]] == gaps[ends[:-1]])
+    numbers, sizes = values.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(ends)
+    places = {int(n): np.flatnonzero(whole & (sizes == n)) for n in np.unique(sizes[whole])}
+    return {n: (at, numbers[ends[:-1][at][:, None] + np.arange(n)]) for n, at in places.items()}
+
+
+def _block_cosines(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """``dense_cosine`` of every vector of one block with every one of another, as a matrix product."""
+    out = np.zeros((left.num_rows, right.num_rows))
+    if not out.size:
+        return out
+    mine, theirs = _vectors(left["embedding"]), _vectors(right["q"])
+
+    def norm(m: np.ndarray) -> np.ndarray:
+        n = np.sqrt((m * m).sum(axis=1))
+        return np.where(n == 0, 1.0, n)
+
+    with np.errstate(all="ignore"):
+        for n in mine.keys() & theirs.keys():
+            (at, a), (to, b) = mine[n], theirs[n]
+            out[np.ix_(at, to)] = np.maximum(0.0, (a @ b.T) / np.outer(norm(a), norm(b)))
+    return out
+
+
+def cosines(rows: DataFrame, asked: DataFrame, block: int = 512, most: int = 2048) -> DataFrame:
+    """``vec_id, query_id, cosine`` of every row (``vec_id, embedding``) with every query (``query_id, q``), each cosine as
+    ``dense_cosine`` has it.
+
+    Rows are dealt to blocks of about ``most`` and queries to blocks of about ``block``, and every two blocks meet in a
+    task as one matrix product: what a task holds is bounded, whatever there is of either.
+    """
+    ids = {f.name: f.dataType for f in (rows.schema["vec_id"], asked.schema["query_id"])}
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _block_cosines(left, right)
+        mine = left["vec_id"].combine_chunks().take(pa.array(np.repeat(np.arange(left.num_rows), right.num_rows)))
+        theirs = right["query_id"].combine_chunks().take(pa.array(np.tile(np.arange(right.num_rows), left.num_rows)))
+        return pa.table({"vec_id": mine, "query_id": theirs, "cosine": found.ravel()})
+
+    blocks = lambda df, size, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias(name))
+    sizes = F.broadcast(blocks(rows, most, "_n").crossJoin(blocks(asked, block, "_m")))  # one row
+    dealt = lambda n: F.floor(F.rand(0) * F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.select("vec_id", "embedding").crossJoin(sizes).withColumn("_r", dealt("_n")).withColumn("_b", each("_m")).drop("_n", "_m")
+    right = asked.select("query_id", "q").crossJoin(sizes).withColumn("_b", dealt("_m")).withColumn("_r", each("_n")).drop("_n", "_m")
+    return left.groupBy("_r", "_b").cogroup(right.groupBy("_r", "_b")).applyInArrow(meet, StructType([*[StructField(k, t) for k, t in ids.items()], StructField("cosine", DoubleType())]))
+
+
 def split_seen(hits: DataFrame, seen: DataFrame, key: tuple[str, ...] = ("theme", "pub")) -> tuple[DataFrame, DataFrame]:
     """New hits, and those seen before."""
     known = seen.select(*key)

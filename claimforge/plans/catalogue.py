@@ -539,7 +539,7 @@ def embedding_cosine(spark, sf_dir):
     """Every vector whose id is divisible by 50 against all vectors."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return search.against(rows, asked).select("vec_id", "query_id", F.round(search.dense_cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+    return search.cosines(rows, asked).withColumn("cosine", F.round("cosine", 6))
 
 
 _SDI = cte("v_runs") + ", h AS (SELECT DISTINCT theme, run_date, pub FROM v_runs), d AS (SELECT theme, max(run_date) AS last FROM h GROUP BY 1)"
