@@ -53,11 +53,18 @@ VIEWS = {
         SELECT event_type AS theme, substr(CAST(ts AS STRING), 1, 10) AS run_date, CAST(user_id AS STRING) AS pub FROM {events}""",
 }
 
+#: Tables of short rows, of which a small file has so many that one or two tasks would do all the work on them; they are
+#: dealt by a key, to as many tasks as a shuffle has.
+DEALT = {"part": "p_partkey"}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     table = text[text.index("{") + 1 : text.index("}")]
-    return spark.sql(text, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table in DEALT:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), DEALT[table])
+    return spark.sql(text, **{table: rows})
 
 
 def cte(*names: str) -> str:
