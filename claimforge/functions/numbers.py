@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import once, strip
 
 # Japanese document types with their kind, and eras with the year before their first.
 DOCUMENT_TYPES = (("特開", "publication", "A"), ("公開特許公報", "publication", "A"), ("特表", "publication", "A"), ("特公", "grant", "B"), ("特許", "grant", "B"))
@@ -212,7 +212,7 @@ def normalised(raw: Column) -> Column:
 def normalise(numbers: DataFrame, raw_col: str = "raw") -> DataFrame:
     """``numbers`` with ``office, number, kind, doc_type, canonical, confidence, notes`` and ``needs_review``."""
     shown = ("office", "number", "kind", "doc_type", "canonical", "confidence", "notes")
-    out = numbers.withColumn("_n", normalised(F.col(raw_col))).select(*numbers.columns, *[F.col(f"_n.{c}").alias(c) for c in shown])
+    out = once(numbers, _n=normalised(F.col(raw_col))).select(*numbers.columns, *[F.col(f"_n.{c}").alias(c) for c in shown])
     return out.withColumn("needs_review", needs_review(F.col("confidence"), F.col("office")))
 
 
