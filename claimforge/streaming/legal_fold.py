@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -15,6 +14,7 @@ from ..operators.state import latest
 EVENT = "canonical string, pos int, date string, code string, description string"
 STATUS = "canonical string, status string, evidence string, needs_review boolean, version long, settled boolean"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TOLD = Row(*[c.split()[0] for c in STATUS.split(", ")])
 #: The position of no event.
 NONE = -(2**31)
 
@@ -31,19 +31,18 @@ class Fold(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "pos int, effect string, line string, version long")
 
-    def _told(self, canonical: str, state: tuple, settled: bool) -> pd.DataFrame:
+    def _told(self, canonical: str, state: tuple, settled: bool) -> Row:
         _, found, line, version = state
         status = found or "UNKNOWN"
-        row = (canonical, status, line if status in FINAL else None, status == "UNKNOWN", version, settled)
-        return pd.DataFrame([row], columns=[c.split()[0] for c in STATUS.split(", ")])
+        return TOLD(canonical, status, line if status in FINAL else None, status == "UNKNOWN", version, settled)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        before = tuple(self.last.get()) if self.last.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        held = self.last.get()
+        before = None if held is None else tuple(held)
         pos, found, line, version = before or (NONE, "", "", 0)
-        for frame in rows:
-            for at, now, said in frame.loc[frame["effect"].notna(), ["pos", "effect", "line"]].itertuples(index=False):
-                if (int(at), now, said) > (pos, found, line):
-                    pos, found, line = int(at), now, said
+        for _, at, now, said in rows:
+            if now is not None and (at, now, said) > (pos, found, line):
+                pos, found, line = at, now, said
         if self.quiet is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
@@ -55,7 +54,7 @@ class Fold(StatefulProcessor):
         elif pos != before[0]:
             self.last.update((pos, found, line, version))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
         pos, found, line, version = self.last.get()
         state = (pos, found, line, version + 1)
         self.last.update(state)
@@ -76,7 +75,7 @@ def statuses(events: DataFrame, quiet: int | None = None) -> DataFrame:
         evidence_line(F.col("date"), F.col("code"), F.col("description")).alias("line"),
     )
     mode = "none" if quiet is None else "processingTime"
-    return rows.groupBy("canonical").transformWithStateInPandas(Fold(quiet), STATUS, "Update", mode)
+    return rows.groupBy("canonical").transformWithState(Fold(quiet), STATUS, "Update", mode)
 
 
 def follow(spark: SparkSession, incoming: str, out: str, checkpoint: str, quiet: int | None = None) -> StreamingQuery:
