@@ -22,6 +22,12 @@ def once(rows: DataFrame, **made: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
 
 
+def met(rows: DataFrame) -> DataFrame:
+    """``rows`` that are joined where they are dealt by the key. Spark guesses the size of what comes from a small
+    compressed file by that of the file, and else sends millions of rows whole to the driver and every task."""
+    return rows.hint("merge")
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -58,9 +64,8 @@ def claims(blob: Column) -> Column:
 def elements(claim: Column) -> Column:
     """Elements of a claim: what follows the first colon, cut at semicolons and connecting words."""
     text = F.regexp_replace(strip(F.coalesce(claim, F.lit(""))), r"^\s*\d+\s*\.\s*", "")
-    at = F.locate(":", text)
-    body = F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise(text)
-    parts = F.split(body, r"(?i);\s*|\bwherein\b|\bcomprising\b|\bconfigured to\b|\barranged to\b")
+    body = F.regexp_replace(text, "^[^:]*:", "")  # names the text once, so it is worked out once
+    parts = F.split(body, r"(?i);\s*|\b(?:wherein|comprising|configured to|arranged to)\b")
     return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" ,.;\n\t"))), lambda p: F.length(p) > 3)
 
 

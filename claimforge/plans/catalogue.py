@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -50,8 +50,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("claims", F.when(F.col("claim").isNull(), F.array().cast("array<string>")).otherwise(F.array("claim")))
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judges.fuse(judges.judge(scoring.claim_elements(_records(spark, sf_dir)), spec(spark)))
+def _fused(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    return judges.judge_fused(scoring.claim_elements(_records(spark, sf_dir)), spec(spark), **more)
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +360,7 @@ def fto_triage(spark, sf_dir):
         CASE WHEN risk_band = 'HIGH' THEN coalesce(span, '') ELSE '' END AS basis, coalesce(element, '') AS about FROM sc LEFT JOIN wk USING (canonical)
     UNION ALL SELECT canonical, pos::INTEGER, CASE WHEN p < 0.3 THEN 'defence' ELSE 'interpretation' END, CASE WHEN p < 0.3 THEN '' ELSE coalesce(span, '') END, element FROM f WHERE p < 0.3 OR needs_review""")
 def proposals(spark, sf_dir):
-    return scoring.proposals(_scores(spark, sf_dir), _fused(spark, sf_dir))
+    return scoring.scored_proposals(_records(spark, sf_dir), _fused(spark, sf_dir, about=scoring.about()))
 
 
 @query(JUDGED + " SELECT risk_band, count(*) AS n, sum(review_count)::BIGINT AS reviews FROM sc GROUP BY 1")
