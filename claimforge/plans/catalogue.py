@@ -838,7 +838,7 @@ def pages_of_index(spark, sf_dir):
 @query()
 def pages_detail(spark, sf_dir):
     rows = _records(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))
-    return pages.detail_pages(rows, records.summaries(rows), _scores(spark, sf_dir), _fused(spark, sf_dir))
+    return pages.detail_pages(rows, records.summaries(rows), _scores(spark, sf_dir), _fused(spark, sf_dir, line=pages.chart_line()))
 
 
 @query("SELECT concat('US-', p_partkey, '-B2') AS canonical, p_name AS title, p_type AS abstract, p_brand AS claim, '2020-01-07' AS pub_date FROM part")

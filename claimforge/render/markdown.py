@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cell
+from ..functions.text import cell, met
 from ..operators.scoring import element_rationale, rationale, triage_rank
 
 # Fixed value: stands at the end of every report.
@@ -126,14 +126,14 @@ def patent_reports(summaries: DataFrame, fused: DataFrame, proposals: DataFrame
     """``canonical, text``: one report per patent: its score and why, if ``scores`` are given, the chart and how each
     element came by its coverage, the table of ``verdicts``, and proposals; says so where nothing is to be reviewed or no
     claims are known."""
-    rows = summaries.join(claim_charts(fused), "canonical", "left").join(escalations(fused), "canonical", "left").join(element_lists(fused), "canonical", "left")
+    rows = summaries.join(met(claim_charts(fused)), "canonical", "left").join(met(escalations(fused)), "canonical", "left").join(met(element_lists(fused)), "canonical", "left")
     parts = {
         "score": None if scores is None else score_lines(scores),
         "verdicts": None if verdicts is None else semantic_tables(verdicts).withColumnRenamed("text", "verdicts"),
         "proposals": None if proposals is None else proposal_lists(proposals),
     }
     for name, part in parts.items():
-        rows = rows.withColumn(name, F.lit(None).cast("string")) if part is None else rows.join(part, "canonical", "left")
+        rows = rows.withColumn(name, F.lit(None).cast("string")) if part is None else rows.join(met(part), "canonical", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("## "), F.col("canonical")),

@@ -11,7 +11,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clamped_percent, escaped, safe_link, safe_name
+from ..functions.text import clamped_percent, escaped, met, safe_link, safe_name
 from ..operators.ranks import numbered
 from ..operators.scoring import BANDS, element_rationale, rationale, triage_rank
 from .markdown import DISCLAIMER
@@ -93,7 +93,7 @@ def _cells() -> list[Column]:
 
 
 def _listed(records: DataFrame, scores: DataFrame) -> DataFrame:
-    return records.select("canonical", "title", "assignee", "pub_date", "legal_status").join(scores, "canonical", "left")
+    return records.select("canonical", "title", "assignee", "pub_date", "legal_status").join(met(scores), "canonical", "left")
 
 
 def index_rows(records: DataFrame, scores: DataFrame) -> DataFrame:
@@ -141,26 +141,41 @@ def index_pages(records: DataFrame, scores: DataFrame, size: int = 500) -> DataF
     )
 
 
-def _table(rows: DataFrame, order: list[str], head: tuple[str, ...], cells: list[Column], name: str) -> DataFrame:
-    """A table per patent; its rows are few, as those of one claim or one history are."""
-    lines = rows.select("canonical", F.struct(*order, _inside("tr", *[_inside("td", c) for c in cells]).alias("line")).alias("l"))
+def _line(cells: list[Column]) -> Column:
+    return _inside("tr", *[_inside("td", c) for c in cells])
+
+
+def _table(rows: DataFrame, order: list[str], head: tuple[str, ...], cells: list[Column] | str, name: str) -> DataFrame:
+    """A table per patent of cells, or of the lines that a column has; its rows are few, as those of one claim or one
+    history are."""
+    lines = rows.select("canonical", F.struct(*order, (F.col(cells) if isinstance(cells, str) else _line(cells)).alias("line")).alias("l"))
     top = "<tr>" + "".join(f"<th>{h}</th>" for h in head) + "</tr>"
     return lines.groupBy("canonical").agg(_inside("table", F.lit(top), F.array_join(F.array_sort(F.collect_list("l"))["line"], "")).alias(name))
 
 
-def chart(fused: DataFrame) -> DataFrame:
-    """``canonical, chart``: elements and their evidence, the terms that both have marked, with coverage and basis."""
+def _chart_cells(whole: bool) -> list[Column]:
     mark = lambda c: highlighted(F.col(c), F.col("matched_terms"))
     band = badge(F.col("band"), ("covered", "partial", "gap"))
-    why = [F.col("rationale")] + [element_rationale()] * ("p_strict" in fused.columns)
-    cells = [mark("element"), band, bar(100 * F.col("p_coverage")), mark("span"), F.concat_ws("<br>", *[_said(c) for c in why]), F.when(F.col("needs_review"), "review").otherwise("")]
+    why = [F.col("rationale")] + [element_rationale()] * whole
+    return [mark("element"), band, bar(100 * F.col("p_coverage")), mark("span"), F.concat_ws("<br>", *[_said(c) for c in why]), F.when(F.col("needs_review"), "review").otherwise("")]
+
+
+def chart_line() -> Column:
+    """The line of a fused element in its chart; what it says hangs on the element's text and what was found for it."""
+    return _line(_chart_cells(True))
+
+
+def chart(fused: DataFrame) -> DataFrame:
+    """``canonical, chart``: elements and their evidence, the terms that both have marked, with coverage and basis. Lines
+    (``line``) that ``fused`` brings are taken as they are."""
+    cells = "line" if "line" in fused.columns else _chart_cells("p_strict" in fused.columns)
     return _table(fused, ["pos"], ("Element", "Band", "Coverage", "Evidence", "Basis", "Review"), cells, "chart")
 
 
 def detail_pages(records: DataFrame, summaries: DataFrame, scores: DataFrame, fused: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """``canonical, page, html``: score, facts, summary, claim chart and, if given, what changed, of every record."""
     rows = records.select("canonical", "office", "title", "assignee", "pub_date", "legal_status", "source_url")
-    rows = rows.join(summaries.select("canonical", "one_line"), "canonical", "left").join(scores, "canonical", "left").join(chart(fused), "canonical", "left")
+    rows = rows.join(met(summaries.select("canonical", "one_line")), "canonical", "left").join(met(scores), "canonical", "left").join(met(chart(fused)), "canonical", "left")
     history = F.lit("No change is known.")
     if changes is not None:
         cells = [_said(c) for c in ("fetched_at", "field", "kind", "before", "after")]
