@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ END_ID = 2
 #: Fillings that the search may try before it takes its incumbent.
 NODES = 20_000
 #: Characters of chunks whose ids a Python worker remembers; characters encoded at a time.
-REMEMBERED, BLOCK = 3_000_000, 2**18
+REMEMBERED, BLOCK = 6_000_000, 2**18
 
 #: White space as the vocabulary's splitting pattern has it: U+001C to U+001F are none there.
 _SPACE, _SEEN = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -54,7 +55,7 @@ class Encoder:
         self.held = 0
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
     def _block(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text)
