@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..streaming.monitor import new_folder
+from ..functions.folders import new_folder
 
 
 def numbered(rows: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:

@@ -9,11 +9,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import semantic_tokens
+from ..functions.folders import new_folder
+from ..functions.text import met, semantic_tokens
 
 # Points for a title hit, an abstract hit and a class hit; a gap between channels that asks for review.
 TITLE, ABSTRACT, CLASS, APART = 3, 1, 2, 0.5
@@ -215,29 +216,44 @@ def one_per_family(ranked: DataFrame) -> DataFrame:
     return own.filter("_k = 1").drop("_k").unionByName(alone)
 
 
+def _term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, term, tf`` of all documents, written once, as texts cost far more to take apart than to be read again.
+
+    Texts are dealt by document before that, so their terms are counted where they are and only texts are shuffled.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    counts = texts.select("id", F.explode(semantic_tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    path = new_folder(spark, "terms")
+    counts.write.parquet(path)
+    return spark.read.schema(counts.schema).parquet(path)
+
+
 def _weighed(docs: DataFrame, query: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``id, term, w`` of all documents, not yet normalised, and ``term, weight`` of the query, which counts as one of them."""
     asked = docs.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(semantic_tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(semantic_tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _term_counts(docs, id_col, text_col)
     n = docs.agg((F.count(F.lit(1)) + 1).alias("n"))  # one row
     df = tf.select("term").unionAll(asked.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighted = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighted = tf.join(met(idf), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     own = asked.join(idf, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
     total = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted, own.crossJoin(F.broadcast(total)).select("term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _norm() -> Column:
+def _norm(over: WindowSpec | None = None) -> Column:
     """The length of the weights of a group, 1 for none."""
-    return F.coalesce(F.nullif(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0)), F.lit(1.0))
+    total = F.sum(F.col("w") * F.col("w"))
+    return F.coalesce(F.nullif(F.sqrt(total.over(over) if over else total), F.lit(0.0)), F.lit(1.0))
 
 
 def tfidf(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Normalised weights ``id, term, weight`` of all documents, and of the query, which counts as one of them."""
     weighted, asked = _weighed(docs, query, id_col, text_col)
-    norm = weighted.groupBy("id").agg(_norm().alias("norm"))
-    return weighted.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), asked
+    norm = _norm(Window.partitionBy("id"))  # the terms of a document
+    return weighted.filter("id IS NOT NULL").select("id", "term", (F.col("w") / norm).alias("weight")), asked
 
 
 def similarity(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

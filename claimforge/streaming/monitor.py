@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.folders import new_folder
 from ..operators.percolate import percolate
 from ..operators.search import Brief, absorb, split_seen
 from ..operators.state import TRACKED, adjacent, changes, claim_changes, hashed, latest, scalar_changes
@@ -22,16 +21,6 @@ SNAPSHOT = "canonical string, fetched_at string, content_hash string"
 SHARDS = 256
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share, under ``spark.checkpoint.dir``; of this machine only where the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='claimforge-')}"
-    return f"{root.rstrip('/')}/claimforge/{name}-{uuid.uuid4().hex}"
-
-
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table, empty at first."""
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
