@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import string
+import itertools
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from .scratch import cut, free
 from .skew import salted_join
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms in the bytes of a text, all beyond ASCII being part of one, and what stands between them.
+_TERM, _APART = re.compile(TERM.encode()), re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+#: Terms that a task counts before it tells them; bytes of a text taken apart at a time.
+HELD, STRETCH = 500_000, 2**20
 #: Documents of a language that a term must stand in; ranks of the terms that are given.
 LEAST, TOP = 3, 200
 #: Bits of a value, or of the bytes of a text, that one round of the selection looks at.
@@ -21,18 +29,50 @@ SMALL = 4096
 KEYS = ["lang", "source"]
 
 
+def _words(said: bytes, size: int = STRETCH) -> Iterator[list[bytes]]:
+    """The terms of a text, those of ``size`` bytes or little more at a time, cut where no term stands."""
+    at = 0
+    while at < len(said):
+        edge = _APART.search(said, at + size)
+        end = edge.start() if edge else len(said)
+        yield _TERM.findall(said, at, end)
+        at = end
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, docs`` of rows ``lang, source, text``; what is counted goes out once it has ``most`` terms."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for group, (n, docs) in held.items():
+            for terms in itertools.batched(n, 2**15):
+                said = pa.array(terms, pa.binary()).view(pa.string())
+                keys = [pa.array([x] * len(terms), pa.string()) for x in group]
+                yield pa.RecordBatch.from_arrays([*keys, said, *(pa.array([c[t] for t in terms], pa.int64()) for c in (n, docs))], names=[*KEYS, "term", "n", "docs"])
+        held.clear()
+
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+            (n, docs), seen = held[lang, source], set()
+            size -= len(n)
+            for words in _words(text.as_py().lower()):  # of bytes only A-Z
+                n.update(words)
+                seen.update(words)
+            docs.update(seen)
+            size += len(n)
+            if size >= most:
+                yield from told()
+                size = 0
+    yield from told()
+
+
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences, and documents that have the term; both summed within the tasks first."""
-    said = F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(
-        F.coalesce(F.col(lang_col), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("source"),
-        F.regexp_extract_all(said, F.lit(TERM), F.lit(0)).alias("terms"),
-    )
-    # Each document tells its terms twice: as they stand, and each once.
-    told = F.array(F.struct(F.lit(1).alias("n"), "terms"), F.struct(F.lit(0).alias("n"), F.array_distinct("terms").alias("terms")))
-    rows = rows.select(*KEYS, F.explode(told).alias("t")).select(*KEYS, "t.n", F.explode("t.terms").alias("term"))
-    return rows.groupBy(*KEYS, "term").agg(F.sum("n").alias("n"), F.sum(1 - F.col("n")).alias("docs"))
+    key = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = docs.select(key(lang_col).alias("lang"), key(source_col).alias("source"), key(text_col).cast("binary").alias("text"))
+    rows = rows.mapInArrow(_tallied, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy(*KEYS, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: str, total: str) -> Column:

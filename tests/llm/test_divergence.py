@@ -90,3 +90,19 @@ def test_awkward_columns(spark):
     rows = corpus(4, 40)
     table = spark.createDataFrame(rows, SCHEMA).withColumns({c: divergence.F.lit("x") for c in ("term", "terms", "n", "docs", "kept", "p", "q", "value", "item", "rank", "_digit")})
     assert got(divergence.audit(table)) == brute(rows)
+
+
+def test_texts_are_counted_in_the_bounds_of_a_task():
+    import pyarrow as pa
+
+    texts = ["Ab ab\x00ÄB äB 特許,x", "ab AB", "", "é" * 3 + " " + "zz " * 700_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), pa.array(["a", "a", "b", "b"]), pa.array([x.encode() for x in texts], pa.binary())], names=["lang", "source", "text"])
+    want = {("a", "ab"): (4, 2), ("a", "Äb"): (1, 1), ("a", "äb"): (1, 1), ("a", "特許"): (1, 1), ("a", "x"): (1, 1), ("b", "ééé"): (1, 1), ("b", "zz"): (700_000, 1)}
+    for most in (1, 3, 500_000):
+        found: dict = {}
+        for out in divergence._tallied(iter([batch]), most):
+            for r in out.to_pylist():
+                n, docs = found.get((r["source"], r["term"]), (0, 0))
+                found[r["source"], r["term"]] = (n + r["n"], docs + r["docs"])
+        assert found == want
+    assert max(map(len, divergence._words(texts[3].encode(), 1000))) < 1100
