@@ -61,7 +61,8 @@ def bands(lines: DataFrame, width: int, kind: int = 0) -> DataFrame:
     low = value * F.col("size") < LOW * buckets * 2**30
     lines = lines.select("line", "k1", "k2", F.length("line").alias("size"))
     rows = spread_shingles(lines, width, "k1", "k2", "size").filter(low).select("k1", "k2", part.alias("part"), value.cast("int").alias("value"))
-    signed = rows.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("part") == j, F.col("value"))).alias(f"m{j}") for j in range(buckets)])
+    # a row touches only the minimum that its filter lets through
+    signed = rows.groupBy("k1", "k2").agg(*[F.expr(f"min(value) FILTER (WHERE part = {j})").alias(f"m{j}") for j in range(buckets)])
     own = [[F.col(f"m{b * ROWS + r}") for r in range(ROWS)] for b in range(BANDS)]
     filled = lambda columns: sum((c.isNotNull().cast("int") for c in columns), F.lit(0))
     few = filled([c for o in own for c in o]) < FILLED
@@ -77,7 +78,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similar: float
     a = texts.select(F.col("rep").alias("a"), F.col("line").alias("la"))
     b = texts.select(F.col("rep").alias("b"), F.col("line").alias("lb"))
     both = salted_join(pairs.join(a, "a"), b, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    both = both.select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
+    # sets come from a generator, so the filter stays behind it and doesn't spell them out again wherever it names them
+    both = both.select("a", "b", F.inline(F.array(F.struct(sets("la").alias("sa"), sets("lb").alias("sb")))))
     return both.filter(F.size(F.array_intersect("sa", "sb")) >= similar * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
@@ -109,7 +111,7 @@ def fuzzy_lines(
     # the start of a line has no more of them than the whole.
     most = int((least - narrow) / similar + 1e-9)
     few = lambda line: F.size(F.array_distinct(_shingles(line, narrow))) <= most
-    start = F.substring("line", 1, 2 * least)
+    start = F.substring("line", 1, most + narrow + 3)
     brief = lines.withColumn("start", start).filter(F.when(F.length("line") < least, F.length("line") >= narrow).otherwise(few("start") & few("line")))
     signed = bands(lines.filter(F.length("line") >= least), width).unionByName(bands(brief.select("line", "k1", "k2"), narrow, 1))
     signed = cut(signed.join(classes.select("k1", "k2", "rep", "n"), ["k1", "k2"]).select("rep", F.col("n").alias("core"), "tokens"), "lines-bands")
@@ -134,7 +136,8 @@ def fuzzy_lines(
         spread = rest.select("rep", "component", F.explode(kinds).alias("of"))
         spread = spread.select((2 * F.col("rep") + F.col("of.kind")).alias("rep"), "component", F.size("of.h").alias("n"), "of.kind", F.explode("of.h").alias("h"))
         spread = cut(spread.select("rep", "component", "n", F.xxhash64("h", "kind").alias("token")), "lines-left")
-        pairs = completion(prefixes(ordered(spread, percent), percent), percent)
+        prefix = prefixes(ordered(spread, percent), percent).select("token", "rep", "component", "n", "rest")
+        pairs = completion(cut(prefix, "lines-prefix"), percent)
         pairs = cut(pairs.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b")).distinct(), "lines-pairs")
         links = links.unionByName(cut(verify(pairs), "lines-links"))
     found = components(links).withColumnRenamed("id", "rep")
