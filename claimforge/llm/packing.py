@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Fillings that the search may try before it takes its incumbent.
 NODES = 20_000
-#: Characters of chunks whose ids a Python worker remembers; characters encoded at a time.
-REMEMBERED, BLOCK = 6_000_000, 2**18
+#: Characters of chunks whose ids a Python worker remembers; characters encoded at a time; characters looked up at a time.
+REMEMBERED, BLOCK, STRETCH = 6_000_000, 2**18, 2**13
 
 #: White space as the vocabulary's splitting pattern has it: U+001C to U+001F are none there.
 _SPACE, _SEEN = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -57,20 +58,49 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _block(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        new = list(set(chunks).difference(self.known))
+    def _learn(self, chunks: set[str]) -> None:
+        new = list(chunks.difference(self.known))
         if new and self.held > REMEMBERED:
-            self.known, self.held, new = {}, 0, list(set(chunks))
+            self.known, self.held, new = {}, 0, list(chunks)
         if new:
             self.known.update(zip(new, self._encoded(new), strict=True))
             self.held += sum(map(len, new))
-        return b"".join([self.known[c] for c in chunks])
+
+    def _looked_up(self, text: str) -> bytes:
+        return b"".join([b"".join(map(self.known.__getitem__, _CHUNK.findall(part))) for part in blocks(text, STRETCH)])
+
+    def _all_known(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are a block at most together. Chunks are looked up once, a stretch that fits the processor's
+        caches at a time; once one isn't known, what is new in all that is left is encoded in one go."""
+        out = []
+        for i, text in enumerate(texts):
+            try:
+                ids = self._looked_up(text)
+            except KeyError:
+                self._learn({c for rest in texts[i:] for part in blocks(rest, STRETCH) for c in _CHUNK.findall(part)})
+                ids = self._looked_up(text)
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return self._encoded([text])[0]
-        return b"".join(map(self._block, blocks(text)))
+        return b"".join(self._all_known([block])[0] for block in blocks(text))
+
+    def encode_each(self, texts: Iterable[str], size: int = BLOCK) -> Iterator[bytes]:
+        """Ids of each of the texts, in order; short ones are taken together."""
+        held, chars = [], 0
+        for text in texts:
+            if held and (chars + len(text) > size or any(a in text for a in self.added)):
+                yield from self._all_known(held)
+                held, chars = [], 0
+            if len(text) > size or any(a in text for a in self.added):
+                yield self.encode(text)
+            else:
+                held.append(text)
+                chars += len(text)
+        if held:
+            yield from self._all_known(held)
 
 
 @functools.cache
@@ -85,8 +115,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: i
         own, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.encode(text.as_py() or "") + end
+            for doc, said in zip(batch.column(0).to_pylist(), own.encode_each(t.as_py() or "" for t in batch.column(1)), strict=True):
+                ids = said + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from claimforge.llm import line_dedup
+import struct
+
+from claimforge.llm import line_dedup, packing
 from pyspark.sql import functions as F
 
 
@@ -43,3 +45,19 @@ def test_signatures_take_the_least_value_of_each_bucket(spark):
     hashed = spark.createDataFrame([(b, *m) for b, m in made], schema).select("*", F.xxhash64("b", *[f"m{r}" for r in range(line_dedup.ROWS)]).alias("t")).collect()
     code = {(r[0], tuple(r[1:-1])): r["t"] for r in hashed}
     assert {(r["k1"], r["k2"]): list(r["tokens"]) for r in signed.collect()} == {k: [code[t] for t in ts] for k, ts in want.items()}
+
+
+def test_known_chunks_are_looked_up_once_and_short_texts_learnt_together():
+    encoder = packing.Encoder(None)
+    texts = ["Some words, and some more words", "", "é 日本 <|x|>  ", "word " * 90_000, " ".join(encoder.added) + " and more", "Some words again\n\tand some"]
+    calls, plain = [], encoder._encoded
+    encoder._encoded = lambda said: calls.append(said) or plain(said)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    unpacked = lambda said: list(struct.unpack(f"<{len(said) // 4}I", said))
+    assert [unpacked(ids) for ids in encoder.encode_each(texts)] == want
+    assert len(calls) <= 5  # the first three together, the long one, the added one, the last one
+    calls.clear()
+    assert [unpacked(ids) for ids in encoder.encode_each(t for t in texts)] == want
+    assert len(calls) == 1  # only the text with an added token
+    encoder.held = packing.REMEMBERED + 1
+    assert unpacked(next(encoder.encode_each(["Never seen beforehand, words"]))) == encoder.tokenizer.encode("Never seen beforehand, words", add_special_tokens=False).ids
