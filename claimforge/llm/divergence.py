@@ -47,8 +47,8 @@ def _tallied(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa
         for group, (n, docs) in held.items():
             for terms in itertools.batched(n, 2**15):
                 said = pa.array(terms, pa.binary()).view(pa.string())
-                keys = [pa.array([x] * len(terms), pa.string()) for x in group]
-                yield pa.RecordBatch.from_arrays([*keys, said, *(pa.array([c[t] for t in terms], pa.int64()) for c in (n, docs))], names=[*KEYS, "term", "n", "docs"])
+                keys = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in group]
+                yield pa.RecordBatch.from_arrays([*keys, said, *(pa.array(list(map(c.__getitem__, terms)), pa.int64()) for c in (n, docs))], names=[*KEYS, "term", "n", "docs"])
         held.clear()
 
     size = 0
@@ -76,8 +76,9 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
 
 
 def _share(n: str, total: str) -> Column:
-    """``1 + floor(10**9 * (n + 1) / total)``, exact; null where the total is 0."""
-    return F.expr(f"1 + CAST(1000000000 AS DECIMAL(10,0)) * CAST({n} + 1 AS DECIMAL(20,0)) div nullif(CAST({total} AS DECIMAL(20,0)), 0)")
+    """``1 + floor(10**9 * (n + 1) / total)``, exact; null where the total is 0. Decimals only where a long is too small."""
+    wide = f"CAST(1000000000 AS DECIMAL(10,0)) * CAST({n} + 1 AS DECIMAL(20,0)) div nullif(CAST({total} AS DECIMAL(20,0)), 0)"
+    return F.expr(f"1 + CASE WHEN {n} < 9000000000 THEN 1000000000L * ({n} + 1) div nullif({total}, 0) ELSE {wide} END")
 
 
 def _apart(p: str, q: str) -> Column:
@@ -150,8 +151,11 @@ def pair_values(scored: DataFrame, groups: DataFrame) -> DataFrame:
     b = scored.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("q"), F.col("p0").alias("q0"))
     both = a.join(b, ["lang", "term"]).filter("a < b")
     amiss = lambda p, p0, q, q0: _apart(p, q) - _apart(p0, q) - _apart(p, q0) + _apart(p0, q0)
-    total = lambda c, name: F.sum(c.cast("decimal(38,0)")).alias(name)
-    both = both.groupBy("lang", "a", "b").agg(total(amiss("p", "p0", "q", "q0"), "ab"), total(amiss("q", "q0", "p", "p0"), "ba"))
+    # sums go beyond a long, but those of the high and of the low 32 bits don't
+    both = both.select("lang", "a", "b", amiss("p", "p0", "q", "q0").alias("ab"), amiss("q", "q0", "p", "p0").alias("ba"))
+    halves = [F.sum(c).alias(name) for v in ("ab", "ba") for c, name in ((F.shiftright(v, 32), f"{v}_high"), (F.col(v).bitwiseAND(2**32 - 1), f"{v}_low"))]
+    both = both.groupBy("lang", "a", "b").agg(*halves)
+    both = both.select("lang", "a", "b", *[(F.col(f"{v}_high").cast("decimal(27,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col(f"{v}_low")).cast("decimal(38,0)").alias(v) for v in ("ab", "ba")])
     ways = F.array(*[F.struct(F.col(x).alias("source"), F.col(y).alias("item"), F.col(v).alias("value")) for x, y, v in (("a", "b", "ab"), ("b", "a", "ba"))])
     parts.append(both.select("lang", F.explode(ways).alias("w")).select("lang", "w.*"))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -191,8 +195,9 @@ def audit(
     groups = found.join(sizes, KEYS, "left").join(langs, "lang", "left").fillna(0, ["size", "rows", "kept", "lang_size"])
     groups = cut(groups.withColumn("total", F.expr("size + kept")).withColumn("lang_total", F.expr("lang_size + kept")), "divergence-groups")
 
-    scored = salted_join(rows, groups.select(*KEYS, "total", "lang_total"), KEYS, groups.select(*KEYS, F.col("rows").alias("n")))
-    scored = scored.withColumn("p", _share("n", "total")).withColumn("p0", _share("0", "total")).withColumn("q", _share("lang_n", "lang_total"))
+    shares = groups.select(*KEYS, "total", "lang_total", _share("0", "total").alias("p0"))
+    scored = salted_join(rows, shares, KEYS, groups.select(*KEYS, F.col("rows").alias("n")))
+    scored = scored.withColumn("p", _share("n", "total")).withColumn("q", _share("lang_n", "lang_total"))
     scored = cut(scored.select(*KEYS, "term", "n", "p", "p0", "q"), "divergence-scored")
     free(rows, kept)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from claimforge.llm import line_dedup, packing
+from claimforge.llm import divergence, line_dedup, packing
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,15 @@ def test_known_chunks_are_looked_up_once_and_short_texts_learnt_together():
     assert len(calls) == 1  # only the text with an added token
     encoder.held = packing.REMEMBERED + 1
     assert unpacked(next(encoder.encode_each(["Never seen beforehand, words"]))) == encoder.tokenizer.encode("Never seen beforehand, words", add_special_tokens=False).ids
+
+
+def test_shares_and_sums_are_of_longs_where_these_suffice(spark):
+    rows = [(0, 0), (0, 1), (5, 7), (8_999_999_999, 9 * 10**9), (9 * 10**9, 10**10), (10**15, 3 * 10**15)]
+    table = spark.createDataFrame(rows, "n long, total long")
+    assert [r[0] for r in table.select(divergence._share("n", "total")).collect()] == [None if not t else 1 + 10**9 * (n + 1) // t for n, t in rows]
+    scored = spark.createDataFrame([("en", s, "t", 1, 9, 1) for s in "ab"], "lang string, source string, term string, n long, p long, p0 long")
+    groups = spark.createDataFrame([("en", s, 1, 1) for s in "ab"], "lang string, source string, total long, kept long")
+    longest = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    assert "shiftright" in optimized(divergence.pair_values(scored, groups))
+    spark.conf.set("spark.sql.debug.maxToStringFields", longest)
